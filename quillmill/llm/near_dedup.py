@@ -5,9 +5,10 @@ pair is a link if the multisets of its five-word shingles have a Jaccard similar
 0.8, counted on the whole texts. Classes are the connected components of the links.
 
 A bucket of nodes is never expanded into all its pairs. Its members are compared with one hub, the
-member that shares most buckets, then with the earliest member; members that are then still in
-different components are compared with each other, if their sizes allow the similarity at all.
-Pairs inside a component cannot change the result and are not compared.
+member that shares most buckets, then with the earliest member. Members that are then still outside
+the bucket's largest component are compared with the rest, if the shingles they have in common with
+anything else can reach the similarity at all. Pairs inside a component cannot change the result and
+are not compared.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.bagminhash import SKETCH, sketch, verified
-from quillmill.llm.words import n_words
+from quillmill.llm.bagminhash import SHINGLE, SKETCH, sketch, verified
+from quillmill.llm.words import gram_hashes, let, words
 from quillmill.storage import cut, written
 
 THRESHOLD = 0.8
@@ -61,6 +62,19 @@ def _merge(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return cut(grown.unionByName(step.join(comp, "node", "left_anti").select("node", "label")))
 
 
+def _able(texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, size, common) of the nodes that can be linked to another node of ``texts`` at all.
+
+    ``common`` counts the shingles that any other node has too. No overlap exceeds it, so a node
+    whose own edits make up too much of it has no link and is compared with nothing.
+    """
+    grams = texts.select("node", F.explode(let(words(F.col("text")), lambda w: gram_hashes(w, SHINGLE))).alias("gram"))
+    held = grams.groupBy("gram", "node").agg(F.count("*").alias("w"))
+    again = held.groupBy("gram").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("gram", F.lit(1).alias("again"))
+    sums = held.join(again, "gram", "left").groupBy("node").agg(F.sum("w").alias("size"), F.coalesce(F.sum(F.col("w") * F.col("again")), F.lit(0)).alias("common"))
+    return sums.filter(F.col("common") >= threshold * F.col("size") - 1e-6)
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, crc, class_id, class_size, is_first.
 
@@ -88,7 +102,6 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     wanted = starred.select("node").distinct()
     keyed_node = docs.select(F.struct(ids, F.crc32(F.coalesce("text", F.lit(""))).cast("long").alias("crc")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     texts = written(keyed_node.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    sizes = texts.select("node", n_words(F.col("text")).alias("size"))
 
     def ordered(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
@@ -107,13 +120,17 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     star = starred.select(F.explode(F.array("hub", "earliest")).alias("other"), "node").filter("node <> other")
     comp = _merge(comp, cut(_links(apart(star.select(*ordered(F.col("node"), F.col("other"))).distinct()), texts, threshold)))
 
-    # what a bucket still holds of different components
+    # what a bucket still holds outside its largest component, against everything in it
     named = starred.select("band", "node").join(comp, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    split = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-    rest = named.join(split, "band").join(sizes, "node").select("band", "node", "label", "size")
-    other = rest.select("band", F.col("node").alias("b"), F.col("label").alias("b_l"), F.col("size").alias("b_s"))
-    reach = (F.least("size", "b_s") >= threshold * F.greatest("size", "b_s") - 5) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("b_l"))
-    pairs = rest.join(other, "band").filter(reach).select(F.col("node").alias("a"), "b").distinct()
+    parts = named.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("largest"))
+    mixed = named.join(parts.filter("labels > 1").select("band", "largest"), "band")
+    able = _able(mixed.select("node").distinct().join(texts, "node"), threshold)
+    rest = written(mixed.join(able, "node").select("band", "node", "label", "size", "common", (F.col("label") != F.col("largest")).alias("outside")), "rest")
+    outside = rest.filter("outside").select("band", "node", "label", "size", "common")
+    other = rest.select("band", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "size", "common")])
+    most = F.least("common", "b_common")
+    reach = (F.col("label") != F.col("b_label")) & (most * (1 + threshold) >= threshold * (F.col("size") + F.col("b_size")) - 1e-6)
+    pairs = outside.join(other, (outside["band"] == other["band"]) & reach).select(*ordered(F.col("node"), F.col("b_node"))).distinct()
     comp = _merge(comp, cut(_links(pairs, texts, threshold)))
 
     named = nodes.join(comp, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label"), "copies")
