@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.words import let, words
+from quillmill.storage import written
 
 MIN_DOCS = 10
 MIN_TOKENS = 4
 DEPTH = 4
 LEAF_TOKENS = 6
 FIELD = "<*>"
+#: Most line kinds of open leaves that are broadcast.
+BROADCAST_KINDS = 200_000
 
 
 def masked(line: Column) -> Column:
@@ -42,18 +45,26 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> tuple[DataF
 
     lines = keyed.select("key", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     lines = lines.select("key", "at", let(masked(F.col("raw")), light).alias("x")).select("key", "at", "x.*").filter(F.col("n") >= MIN_TOKENS)
+    lines = written(lines, "lines")
 
     seen = lines.groupBy("leaf", "line", "n", F.col("key.t").alias("t")).count().drop("count")
-    kinds = seen.groupBy("leaf", "line", "n").agg(F.count("*").alias("texts"))
+    kinds = written(seen.groupBy("leaf", "line", "n").agg(F.count("*").alias("texts")), "kinds")
     same = kinds.filter(F.col("texts") >= min_docs).select("line")
     whole = lines.join(same, "line", "left_semi").select("key", "at")
 
     # leaves of several kinds of lines, leaving out the kinds that already recur by themselves
     other = kinds.filter((F.col("texts") < min_docs) & (F.col("n") >= LEAF_TOKENS))
     leaves = other.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.count("*").alias("kinds")).filter((F.col("kinds") > 1) & (F.col("texts") >= min_docs))
-    open_ = lines.join(leaves, "leaf", "left_semi").join(same, "line", "left_anti").filter(F.col("n") >= LEAF_TOKENS)
-    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("at", "leaf")).alias("open"))
+    kinds_open = other.join(leaves, "leaf", "left_semi").select("line")
+    n_open = kinds_open.count()
     by_doc = keyed.repartition(parts, "key")
+    if n_open == 0:
+        return by_doc, whole
+    if n_open <= BROADCAST_KINDS:
+        open_ = lines.join(F.broadcast(kinds_open), "line", "left_semi")
+    else:
+        open_ = lines.join(kinds_open, "line", "left_semi")
+    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("at", "leaf")).alias("open"))
     full = by_doc.join(wanted, "key").select("key", F.split("text", "\n").alias("raw"), F.explode("open").alias("o"))
     full = full.select("key", "o.at", "o.leaf", masked(F.get("raw", F.col("o.at"))).alias("tokens"))
     tokens = full.select("leaf", F.posexplode("tokens").alias("place", "token"))
