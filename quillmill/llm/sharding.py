@@ -44,6 +44,13 @@ def _base(docs: DataFrame) -> DataFrame:
 DIMENSIONS = ("x_length", "x_id", "x_source", "x_lang")
 
 
+def _inline(spark, rows: list[tuple], names: str) -> DataFrame:
+    """A few rows as a literal table, which needs no Python on executors."""
+    kinds = {int: "{}L", float: "{!r}D"}
+    values = ", ".join("(" + ", ".join(kinds[type(v)].format(v) if abs(v) < 1 << 63 and v != -(1 << 63) else "(-9223372036854775807L - 1L)" for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+
+
 def _deal_heavy(heavy: list[tuple[int, ...]], total: int, shards: int) -> tuple[dict, list[float]]:
     """Shard of each heavy group, and the bytes every shard still takes from the tree."""
     loads, queue, to = [0] * shards, [(0, s) for s in range(shards)], {}
@@ -75,12 +82,12 @@ def _split(groups: DataFrame, nodes: dict[int, int], room: list[float]) -> tuple
         i = max(range(len(DIMENSIONS)), key=lambda d: (r[f"high_{DIMENSIONS[d]}"] - r[f"low_{DIMENSIONS[d]}"], -d))
         low, high = r[f"low_{DIMENSIONS[i]}"], r[f"high_{DIMENSIONS[i]}"]
         here, there = sum(room[a : middles[a]]), sum(room[a : open_[a]])
-        rows.append((a, i, float(low), float(high - low) or 1.0, r["weight"] * here / there if there else r["weight"] / 2, middles[a]))
+        rows.append((a, i, float(low), float(high - low) or 1.0, float(r["weight"] * here / there if there else r["weight"] / 2), middles[a]))
     done = {x: y for a, b in nodes.items() for x, y in ([(a, middles[a]), (middles[a], b)] if a in open_ else [(a, b)])}
     if not rows:
         return groups, done
-    plan = spark.createDataFrame(rows, "node int, dim int, low double, width double, goal double, middle int")
-    value = F.get(F.array(*[F.col(x) for x in DIMENSIONS]), F.col("dim"))
+    plan = _inline(spark, rows, "node, dim, low, width, goal, middle")
+    value = F.get(F.array(*[F.col(x) for x in DIMENSIONS]), F.col("dim").cast("int"))
     bin_ = F.least(F.floor((value - F.col("low")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("int")
     cell = F.shiftrightunsigned(F.xxhash64("text_hash", "text_crc32"), 52).cast("int")
     binned = groups.join(F.broadcast(plan), "node", "left").withColumn("bin", bin_).withColumn("cell", cell)
@@ -95,10 +102,10 @@ def _split(groups: DataFrame, nodes: dict[int, int], room: list[float]) -> tuple
 
     split = binned.filter(F.col("dim").isNotNull())
     bins = {r["node"]: (r["x"]["bin"], r["x"]["before"]) for r in crossing(split, "bin", F.col("goal")).collect()}
-    cuts = spark.createDataFrame([(n, b, float(w)) for n, (b, w) in bins.items()], "node int, cut_bin int, before double")
+    cuts = _inline(spark, [(n, b, float(w)) for n, (b, w) in bins.items()], "node, cut_bin, before")
     inside = split.join(F.broadcast(cuts), "node").filter("bin = cut_bin")
     cells = {r["node"]: r["x"]["cell"] for r in crossing(inside, "cell", F.col("goal") - F.col("before")).collect()}
-    edges = spark.createDataFrame([(n, b, cells.get(n, 0)) for n, (b, _) in bins.items()], "node int, cut_bin int, cut_cell int")
+    edges = _inline(spark, [(n, b, cells.get(n, 0)) for n, (b, _) in bins.items()], "node, cut_bin, cut_cell")
     right = (F.col("bin") > F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("cell") > F.col("cut_cell")))
     moved = binned.join(F.broadcast(edges), "node", "left").withColumn("node", F.when(right, F.col("middle")).otherwise(F.col("node")))
     return moved.select(groups.columns), done
@@ -120,7 +127,7 @@ def shard(docs: DataFrame, *, shards: int = N_SHARDS, target_bytes: int | None =
         shards = max(1, -(-total // target_bytes))
     weighed = base.groupBy(*_UNIT).agg(F.sum("size").alias("weight"), *[F.min(x).alias(x) for x in DIMENSIONS])
     scaled = [((F.col(x) - (whole[f"low_{x}"] or 0.0)) / (((whole[f"high_{x}"] or 0.0) - (whole[f"low_{x}"] or 0.0)) or 1.0)).alias(x) for x in DIMENSIONS]
-    groups = written(weighed.select(*_UNIT, "weight", F.lit(0).alias("node"), *scaled), "shard-groups")
+    groups = written(weighed.select(*_UNIT, "weight", F.lit(0).cast("long").alias("node"), *scaled), "shard-groups")
     edge = total / shards / HEAVY_PARTS
     heavy = [tuple(r) for r in groups.filter(F.col("weight") > edge).select(*_UNIT, "weight").collect()]
     dealt, room = _deal_heavy(heavy, total, shards)
@@ -130,7 +137,7 @@ def shard(docs: DataFrame, *, shards: int = N_SHARDS, target_bytes: int | None =
     placed = light.select(*_UNIT, F.col("node").alias("shard"))
     if dealt:
         rows = [(*unit, s) for unit, s in dealt.items()]
-        placed = placed.unionByName(docs.sparkSession.createDataFrame(rows, "text_hash long, text_crc32 long, size long, shard int"))
+        placed = placed.unionByName(_inline(docs.sparkSession, rows, "text_hash, text_crc32, size, shard"))
     rows = base.select("doc_id", *_UNIT).join(placed, _UNIT)
     buckets = max(1, -(-whole["n"] // (shards * SLOT_ROWS)))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)))
