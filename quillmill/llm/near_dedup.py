@@ -7,13 +7,15 @@ pair is a link if the multisets of its five-word shingles have a Jaccard similar
 A bucket of nodes is never expanded into all its pairs. Its members are compared with one hub, the
 member that shares most buckets, then with the earliest member. Members that are then still outside
 the bucket's largest component are compared with the rest, if the shingles they have in common with
-anything else can reach the similarity at all. Pairs inside a component cannot change the result and
+anything else can reach the similarity at all, less those that marks show to be on one side only. Pairs inside a component cannot change the result and
 are not compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.bagminhash import SHINGLE, SKETCH, sketch, verified
@@ -22,6 +24,8 @@ from quillmill.storage import cut, written
 
 THRESHOLD = 0.8
 NO_ID = -(1 << 63)
+#: 64-bit words of a node's shingle marks.
+MARK_WORDS = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -63,18 +67,33 @@ def _merge(comp: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _able(texts: DataFrame, threshold: float) -> DataFrame:
-    """(node, size, common) of the nodes that can be linked to another node of ``texts`` at all.
+    """(node, size, common, marks) of the nodes that can be linked to another node of ``texts`` at all.
 
     ``common`` counts the shingles that any other node has too. No overlap exceeds it, so a node
-    whose own edits make up too much of it has no link and is compared with nothing.
+    whose own edits make up too much of it has no link and is compared with nothing. ``marks`` are
+    ``MARK_WORDS`` words with a bit set for the hash of each of those shingles: a bit that one node
+    has and the other lacks stands for at least one shingle that is not in their overlap.
     """
     grams = texts.select("node", F.explode(let(words(F.col("text")), lambda w: gram_hashes(w, SHINGLE))).alias("gram"))
     held = grams.groupBy("gram", "node").agg(F.count("*").alias("w"))
     again = held.groupBy("gram").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("gram", F.lit(1).alias("again"))
-    sums = held.join(again, "gram", "left").groupBy("node").agg(F.sum("w").alias("size"), F.coalesce(F.sum(F.col("w") * F.col("again")), F.lit(0)).alias("common"))
+    bit = F.when(F.col("again") == 1, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("gram").bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+    word = F.pmod(F.shiftrightunsigned("gram", 6), F.lit(MARK_WORDS))
+    marks = [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(MARK_WORDS)]
+    sums = held.join(again, "gram", "left").groupBy("node").agg(F.sum("w").alias("size"), F.coalesce(F.sum(F.col("w") * F.col("again")), F.lit(0)).alias("common"), F.array(*marks).alias("marks"))
     return sums.filter(F.col("common") >= threshold * F.col("size") - 1e-6)
 
 
+def _most_common(a: str, b: str) -> Column:
+    """An upper bound of the overlap of two nodes with columns ``{a}common``, ``{a}marks`` and ``{b}...``."""
+
+    def own(x: str, y: str) -> Column:
+        lacks = [F.bit_count(F.get(f"{x}marks", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{y}marks", F.lit(i))))) for i in range(MARK_WORDS)]
+        return F.col(f"{x}common") - reduce(Column.__add__, lacks)
+
+    return F.least(own(a, b), own(b, a))
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, crc, class_id, class_size, is_first.
 
@@ -125,11 +144,13 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     parts = named.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("largest"))
     mixed = named.join(parts.filter("labels > 1").select("band", "largest"), "band")
     able = _able(mixed.select("node").distinct().join(texts, "node"), threshold)
-    rest = written(mixed.join(able, "node").select("band", "node", "label", "size", "common", (F.col("label") != F.col("largest")).alias("outside")), "rest")
-    outside = rest.filter("outside").select("band", "node", "label", "size", "common")
-    other = rest.select("band", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "size", "common")])
-    most = F.least("common", "b_common")
-    reach = (F.col("label") != F.col("b_label")) & (most * (1 + threshold) >= threshold * (F.col("size") + F.col("b_size")) - 1e-6)
+    measured = ("node", "label", "size", "common", "marks", "outside")
+    rest = written(mixed.withColumn("outside", F.col("label") != F.col("largest")).join(able, "node").select("band", *measured), "rest")
+    other = rest.select("band", *[F.col(c).alias(f"b_{c}") for c in measured])
+    sizes = threshold * (F.col("size") + F.col("b_size")) - 1e-6
+    once = ~F.col("b_outside") | (F.col("node") < F.col("b_node"))
+    reach = (F.col("label") != F.col("b_label")) & once & (F.least("common", "b_common") * (1 + threshold) >= sizes) & (_most_common("", "b_") * (1 + threshold) >= sizes)
+    outside = rest.filter("outside")
     pairs = outside.join(other, (outside["band"] == other["band"]) & reach).select(*ordered(F.col("node"), F.col("b_node"))).distinct()
     comp = _merge(comp, cut(_links(pairs, texts, threshold)))
 
