@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.quality_rules import measurements
-from quillmill.llm.words import let, words
+from quillmill.llm.words import let, n_chars, words
 from quillmill.storage import cut
 
 #: Labelled rows that the model is fitted on, at most, taken by hash.
@@ -30,20 +30,17 @@ def statistics(text: Column) -> Column:
     """Struct of the statistics as doubles; a null text is measured as an empty one."""
     text = F.coalesce(text, F.lit(""))
 
-    def count(chars: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, chars, ""))
-
     def over(a: Column, b: Column) -> Column:
         return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
     distinct = let(words(text), lambda w: F.size(F.array_distinct(w)))
 
     def stats(m: Column) -> Column:
-        n, chars = m["w"]["n_words"], m["word_chars"]
+        n, chars = m["w"]["n_words"], m["w"]["word_chars"]
         values = (
-            n, over(chars, n), over(m["n_symbols"], chars), over(count("!"), n), over(count("|"), n), over(m["n_upper"], m["n_letters"]),
-            over(count("0123456789"), chars), over(m["w"]["n_repeat_words"], n), over(distinct, n), over(m["l"]["n_dup_lines"], m["l"]["n_lines"]),
-            over(n, m["l"]["n_lines"]), over(count(".?"), n),
+            n, over(chars, n), over(m["n_symbols"], chars), over(n_chars(text, "!"), n), over(n_chars(text, "|"), n), over(m["n_upper"], m["n_letters"]),
+            over(n_chars(text, "0-9"), chars), over(m["w"]["n_repeat_words"], n), over(distinct, n), over(m["l"]["n_dup_lines"], m["l"]["n_lines"]),
+            over(n, m["l"]["n_lines"]), over(n_chars(text, ".?"), n),
         )
         return F.struct(*[v.cast("double").alias(k) for k, v in zip(STATISTICS, values, strict=True)])
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
@@ -21,14 +20,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of characters other than ASCII white space; null and blank texts have none."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def n_chars(text: Column, chars: str) -> Column:
+    """Characters of a regex class; the others are cut out run by run."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
+
+
 def indices(n: Column) -> Column:
     """0 .. n-1, empty for n <= 0."""
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
