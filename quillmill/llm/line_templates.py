@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.words import let, words
+from quillmill.llm.words import words
 from quillmill.storage import written
 
 MIN_DOCS = 10
@@ -27,7 +27,8 @@ BROADCAST_KINDS = 200_000
 
 def masked(line: Column) -> Column:
     """A line's tokens, those with ASCII digits as variable fields."""
-    return F.transform(words(line), lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
+    tokens = words(line)
+    return F.when(line.rlike("[0-9]"), F.transform(tokens, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))).otherwise(tokens)
 
 
 def _leaf(tokens: Column) -> Column:
@@ -44,7 +45,9 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> tuple[DataF
         return F.struct(F.size(tokens).alias("n"), _leaf(tokens).alias("leaf"), F.xxhash64(tokens).alias("line"))
 
     lines = keyed.select("key", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    lines = lines.select("key", "at", let(masked(F.col("raw")), light).alias("x")).select("key", "at", "x.*").filter(F.col("n") >= MIN_TOKENS)
+    # filtered inside the generator: a filter above would be pushed down and parse every line twice
+    parsed = F.filter(F.transform(F.array(masked(F.col("raw"))), light), lambda x: x["n"] >= MIN_TOKENS)
+    lines = lines.select("key", "at", F.inline(parsed))
     lines = written(lines, "lines")
 
     seen = lines.groupBy("leaf", "line", "n", F.col("key.t").alias("t")).count().drop("count")
