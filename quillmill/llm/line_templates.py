@@ -37,7 +37,6 @@ def _leaf(tokens: Column) -> Column:
 
 def recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(docs with their key, (key, at) of the lines to drop)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.struct("doc_id", F.xxhash64(text).alias("t")).alias("key"))
 
@@ -60,15 +59,14 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> tuple[DataF
     leaves = other.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.count("*").alias("kinds")).filter((F.col("kinds") > 1) & (F.col("texts") >= min_docs))
     kinds_open = other.join(leaves, "leaf", "left_semi").select("line")
     n_open = kinds_open.count()
-    by_doc = keyed.repartition(parts, "key")
     if n_open == 0:
-        return by_doc, whole
+        return keyed, whole
     if n_open <= BROADCAST_KINDS:
         open_ = lines.join(F.broadcast(kinds_open), "line", "left_semi")
     else:
         open_ = lines.join(kinds_open, "line", "left_semi")
     wanted = open_.groupBy("key").agg(F.collect_list(F.struct("at", "leaf")).alias("open"))
-    full = by_doc.join(wanted, "key").select("key", F.split("text", "\n").alias("raw"), F.explode("open").alias("o"))
+    full = keyed.join(wanted, "key").select("key", F.split("text", "\n").alias("raw"), F.explode("open").alias("o"))
     full = full.select("key", "o.at", "o.leaf", masked(F.get("raw", F.col("o.at"))).alias("tokens"))
     tokens = full.select("leaf", F.posexplode("tokens").alias("place", "token"))
     counts = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
@@ -80,7 +78,7 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> tuple[DataF
     fits = full.join(template, "leaf").filter(10 * agree >= 9 * F.col("fixed")).select("key", "at", "leaf")
     support = fits.select("leaf", "key.t").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_docs)
     general = fits.join(support, "leaf", "left_semi").select("key", "at")
-    return by_doc, whole.unionByName(general)
+    return keyed, whole.unionByName(general)
 
 
 def drop_recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:
