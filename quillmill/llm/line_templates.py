@@ -5,7 +5,9 @@ tokens, with tokens that hold digits generalised to ``<*>``. A template is eithe
 that masking, or what a leaf has in common: at each place the token that at least 70 % of the leaf's
 lines share, and a variable field elsewhere. Templates with too few fixed tokens are no templates.
 A template that occurs in enough different texts is boilerplate, and its lines are dropped from
-every document. Copies of a text count as one text. Lines of under ``MIN_TOKENS`` tokens stay.
+every document. Copies of a text count as one text. A whole line needs the fewer texts the longer it
+is: ``MIN_DOCS`` up to ten tokens, two from ``PASSAGE`` tokens on, where chance does not repeat it; so
+a passage that only two near copies of a text share goes from both.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from quillmill.llm.words import words
 from quillmill.storage import written
 
 MIN_DOCS = 10
-MIN_TOKENS = 4
+#: Tokens from which on two different texts are enough.
+PASSAGE = 50
 DEPTH = 4
 LEAF_TOKENS = 6
 FIELD = "<*>"
@@ -31,6 +34,11 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.transform(tokens, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))).otherwise(tokens)
 
 
+def texts_needed(n: Column, min_docs: int) -> Column:
+    """How many different texts a whole line of ``n`` tokens must recur in."""
+    return F.least(F.lit(min_docs), F.greatest(F.lit(2), F.ceil(2 * PASSAGE / n)))
+
+
 def _leaf(tokens: Column) -> Column:
     return F.xxhash64(F.size(tokens), *[F.get(tokens, F.lit(i)) for i in range(DEPTH)])
 
@@ -45,13 +53,13 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> tuple[DataF
 
     lines = keyed.select("key", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     # filtered inside the generator: a filter above would be pushed down and parse every line twice
-    parsed = F.filter(F.transform(F.array(masked(F.col("raw"))), light), lambda x: x["n"] >= MIN_TOKENS)
+    parsed = F.filter(F.transform(F.array(masked(F.col("raw"))), light), lambda x: x["n"] > 0)
     lines = lines.select("key", "at", F.inline(parsed))
     lines = written(lines, "lines")
 
     seen = lines.groupBy("leaf", "line", "n", F.col("key.t").alias("t")).count().drop("count")
     kinds = written(seen.groupBy("leaf", "line", "n").agg(F.count("*").alias("texts")), "kinds")
-    same = kinds.filter(F.col("texts") >= min_docs).select("line")
+    same = kinds.filter(F.col("texts") >= texts_needed(F.col("n"), min_docs)).select("line")
     whole = lines.join(same, "line", "left_semi").select("key", "at")
 
     # leaves of several kinds of lines, leaving out the kinds that already recur by themselves

@@ -146,6 +146,15 @@ def test_line_templates(spark):
     assert all(out[i].text == f"body {c * 3} text" for i, c in enumerate("abcdefghijkl")) and out[50].text == ""
 
 
+def test_short_and_long_recurring_lines(spark):
+    passage = " ".join(f"w{c}" * 2 for c in "abcdefghijklmnopqrstuvwxyz") + " " + " ".join(f"v{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    rows = [(i, f"own {c * 4}\nAll rights reserved.\n\nOnly {'few' if i < 9 else c}") for i, c in enumerate("abcdefghijkl")] + [(50 + i, f"own {c * 4}\n{passage}") for i, c in enumerate("mn")] + [(60, "own oooo\n" + passage.upper())]
+    out = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == "own aaaa\n\nOnly few" and out[11].text == "own llll\n\nOnly l"
+    assert [out[i].text for i in (50, 51)] == ["own mmmm", "own nnnn"]
+    assert out[60].text == rows[-1][1] and out[60].n_dropped == 0
+
+
 def test_html(spark):
     page = "<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>A &amp; B</h1><p>Some  words in\n a sentence, really.<p>More words in a sentence, too.</article><footer>&copy; x</footer></body></html>"
     pages = spark.createDataFrame([(i, "u", page.replace("Some", f"Some{i}")) for i in range(20)] + [(98, None, None), (99, "u", "")], "page_id long, url string, html string")
