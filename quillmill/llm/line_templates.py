@@ -2,8 +2,10 @@
 
 Every line is parsed by a tree of fixed depth: first its number of tokens, then its leading
 tokens, with tokens that hold digits generalised to ``<*>``. A template is either a whole line after
-that masking, or what a leaf has in common: at each place the token that at least 70 % of the leaf's
-lines share, and a variable field elsewhere. Templates with too few fixed tokens are no templates.
+that masking, or what a group of a leaf's lines has in common: a leaf holds as many groups as it has
+sets of common tokens, and the whole leaf is one more. At each place the token that at least 70 % of
+a group's lines share is fixed, and elsewhere is a variable field; a line counts once for each
+different text. Templates with too few fixed tokens are no templates.
 A template that occurs in enough different texts is boilerplate, and its lines are dropped from
 every document. Copies of a text count as one text. A whole line needs the fewer texts the longer it
 is: ``MIN_DOCS`` up to ten tokens, two from ``PASSAGE`` tokens on, where chance does not repeat it; so
@@ -60,33 +62,60 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> tuple[DataF
     seen = lines.groupBy("leaf", "line", "n", F.col("key.t").alias("t")).count().drop("count")
     kinds = written(seen.groupBy("leaf", "line", "n").agg(F.count("*").alias("texts")), "kinds")
     same = kinds.filter(F.col("texts") >= texts_needed(F.col("n"), min_docs)).select("line")
-    whole = lines.join(same, "line", "left_semi").select("key", "at")
 
-    # leaves of several kinds of lines, leaving out the kinds that already recur by themselves
+    # leaves of several kinds of lines, leaving out the kinds that recur often by themselves
     other = kinds.filter((F.col("texts") < min_docs) & (F.col("n") >= LEAF_TOKENS))
     leaves = other.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.count("*").alias("kinds")).filter((F.col("kinds") > 1) & (F.col("texts") >= min_docs))
-    kinds_open = other.join(leaves, "leaf", "left_semi").select("line")
+    kinds_open = other.join(leaves, "leaf", "left_semi").select("line", "texts")
     n_open = kinds_open.count()
-    if n_open == 0:
-        return keyed, whole
-    if n_open <= BROADCAST_KINDS:
-        open_ = lines.join(F.broadcast(kinds_open), "line", "left_semi")
-    else:
-        open_ = lines.join(kinds_open, "line", "left_semi")
-    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("at", "leaf")).alias("open"))
-    full = keyed.join(wanted, "key").select("key", F.split("text", "\n").alias("raw"), F.explode("open").alias("o"))
-    full = full.select("key", "o.at", "o.leaf", masked(F.get("raw", F.col("o.at"))).alias("tokens"))
-    tokens = full.select("leaf", F.posexplode("tokens").alias("place", "token"))
-    counts = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
-    places = counts.groupBy("leaf", "place").agg(F.sum("n").alias("total"), F.max(F.struct("n", F.col("token"))).alias("top"))
+    if n_open:
+        # one place of every kind is enough to read its tokens
+        one = lines.join(F.broadcast(kinds_open) if n_open <= BROADCAST_KINDS else kinds_open, "line").groupBy("leaf", "line", "texts").agg(F.min(F.struct("key", "at")).alias("one"))
+        wanted = one.groupBy("one.key").agg(F.collect_list(F.struct(F.col("one.at").alias("at"), "leaf", "line", "texts")).alias("open"))
+        full = keyed.join(F.broadcast(wanted) if n_open <= BROADCAST_KINDS else wanted, "key").select(F.split("text", "\n").alias("raw"), F.explode("open").alias("o"))
+        full = full.select("o.leaf", "o.line", "o.texts", masked(F.get("raw", F.col("o.at"))).alias("tokens")).dropDuplicates(["line"])
+        fits = written(fitting(written(full, "open"), min_docs), "fits")
+        support = lines.join(fits, ["leaf", "line"]).select("leaf", "group", "key.t").distinct().groupBy("leaf", "group").agg(F.count("*").alias("texts"))
+        general = fits.join(support.filter(F.col("texts") >= min_docs), ["leaf", "group"], "left_semi")
+        same = same.unionByName(general.select("line")).distinct()
+    return keyed, lines.join(same, "line", "left_semi").select("key", "at")
+
+
+def fitting(kinds: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, line, group): the groups whose template a kind of line fits.
+
+    ``kinds`` has leaf, line, texts and tokens. The kinds of a leaf that share the commonest tokens
+    of their leaf, in six places of ten, form a group; all of the leaf together are group 0. A kind
+    fits the group it is in by those tokens, and any template of its leaf that it agrees with in
+    nine fixed places of ten.
+    """
+    core = -(-7 * min_docs // 10)
+    token = kinds.select("leaf", "line", "texts", F.posexplode("tokens").alias("place", "token")).filter((F.col("place") >= DEPTH) & (F.col("token") != FIELD))
+    counts = token.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).filter(F.col("n") >= core)
+    # commonest first, so the tokens of variable fields come after those of the template around them
+    chain = token.join(counts, ["leaf", "place", "token"]).groupBy("line").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "place", "token"))).alias("chain"))
+    lead = F.size(F.filter(F.slice("tokens", 1, DEPTH), lambda w: w != FIELD))
+    more = F.greatest(F.lit(0), F.ceil(F.size("tokens") * 6 / 10).cast("int") - lead)
+    held = F.coalesce("chain", F.array().cast("array<struct<less:bigint,place:int,token:string>>"))
+    first = F.sort_array(F.transform(F.slice(held, F.lit(1), more), lambda c: F.struct(c["place"].alias("place"), c["token"].alias("token"))))
+    group = F.when(F.size(held) >= more, F.xxhash64("leaf", first))
+    grouped = written(kinds.join(chain, "line", "left").select("leaf", "line", "texts", "tokens", group.alias("group")), "grouped")
+
+    member = grouped.select("leaf", "texts", "tokens", F.explode(F.array_compact(F.array(F.lit(0).cast("long"), "group"))).alias("group"))
+    tokens = member.select("leaf", "group", "texts", F.posexplode("tokens").alias("place", "token"))
+    voted = tokens.groupBy("leaf", "group", "place", "token").agg(F.sum("texts").alias("n"))
+    places = voted.groupBy("leaf", "group", "place").agg(F.sum("n").alias("total"), F.max(F.struct("n", F.col("token"))).alias("top")).filter(F.col("total") >= core)
     fixed = F.when(10 * F.col("top.n") >= 7 * F.col("total"), F.col("top.token")).otherwise(F.lit(FIELD))
-    template = places.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", fixed.alias("token")))), lambda p: p["token"]).alias("template"))
+    template = places.groupBy("leaf", "group").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", fixed.alias("token")))), lambda p: p["token"]).alias("template"))
     template = template.withColumn("fixed", F.size(F.filter("template", lambda t: t != FIELD))).filter(10 * F.col("fixed") >= 6 * F.size("template"))
-    agree = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: (b != FIELD) & (a == b)), lambda x: x))
-    fits = full.join(template, "leaf").filter(10 * agree >= 9 * F.col("fixed")).select("key", "at", "leaf")
-    support = fits.select("leaf", "key.t").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_docs)
-    general = fits.join(support, "leaf", "left_semi").select("key", "at")
-    return keyed, whole.unionByName(general)
+    of_leaf = template.groupBy("leaf").agg(F.collect_list(F.struct("group", "template", "fixed")).alias("templates"))
+
+    def agree(template: Column) -> Column:
+        return F.size(F.filter(F.zip_with("tokens", template, lambda a, b: (b != FIELD) & (a == b)), lambda x: x))
+
+    near = F.transform(F.filter("templates", lambda t: 10 * agree(t["template"]) >= 9 * t["fixed"]), lambda t: t["group"])
+    near = F.coalesce(near, F.array().cast("array<bigint>"))
+    return grouped.join(of_leaf, "leaf", "left").select("leaf", "line", F.explode(F.array_distinct(F.array_compact(F.concat(near, F.array("group"))))).alias("group"))
 
 
 def drop_recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -155,6 +155,19 @@ def test_short_and_long_recurring_lines(spark):
     assert out[60].text == rows[-1][1] and out[60].n_dropped == 0
 
 
+def test_templates_that_share_a_leaf(spark):
+    names = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(400)]
+    a = lambda i: f"User has logged in from {names[i]} with status good today by {names[i + 50]}"
+    b = lambda i: f"User has logged in again {names[i]} after reset of the password {names[i + 50]}"
+    chance = [" ".join(["User has logged in", *names[200 + 8 * i : 208 + 8 * i]]) for i in range(20)]
+    many = "\n".join(["User has logged in on every day of that year or two"] * 300)
+    lines = [a(i) for i in range(12)] + [b(i) for i in range(12)] + chance + [many]
+    rows = [(i, f"body {names[i]}\n{line}") for i, line in enumerate(lines)]
+    out = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == f"body {names[i]}" for i in range(24))
+    assert all(out[i] == rows[i][1] for i in range(24, len(rows)))
+
+
 def test_html(spark):
     page = "<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>A &amp; B</h1><p>Some  words in\n a sentence, really.<p>More words in a sentence, too.</article><footer>&copy; x</footer></body></html>"
     pages = spark.createDataFrame([(i, "u", page.replace("Some", f"Some{i}")) for i in range(20)] + [(98, None, None), (99, "u", "")], "page_id long, url string, html string")
