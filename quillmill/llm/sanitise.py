@@ -2,11 +2,11 @@
 
 Values of four kinds (email, ip, card, phone) are protected entities and are always spans. Other
 words can give an entity away: a surname that the corpus shows next to one address only is as good
-as the address. For every entity the words around it are counted over the whole corpus; a term
-discloses an entity if it stands beside it in at least ``min_contexts`` different contexts and
-texts, and if at least the share ``disclosure`` of all texts with the term are texts of the entity,
+as the address. For every entity the words that stand beside it anywhere are counted over the whole
+corpus; such a term discloses the entity if at least ``min_texts`` different texts hold both, near
+or far, and if at least the share ``disclosure`` of all texts with the term are texts of the entity,
 that is, if log2 1/P(entity | term) <= log2 1/disclosure bits are left to guess. Such terms become
-spans of kind ``term`` wherever they occur. Copies of a text or of a context count once.
+spans of kind ``term`` wherever they occur. Copies of a text count once.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = (*PATTERNS, "term")
 CONTEXT = 60
-MIN_CONTEXTS = 3
+MIN_TEXTS = 3
 DISCLOSURE = 0.8
 BROADCAST_TERMS = 100_000
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -93,12 +93,18 @@ def joined(spans: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """Distinct lower-cased words of letters, of four at least."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), "[^\\p{L}]+")), lambda w: F.length(w) >= 4)
+    """Distinct lower-cased words of letters."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), "[^\\p{L}]+")), "")
 
 
-def disclosing_terms(docs: DataFrame, *, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(term, entity, n_contexts, n_both, n_term) of terms that give an entity away.
+def _names(text: Column) -> Column:
+    """Distinct lower-cased words of letters, leaving out those of under four letters in small letters."""
+    named = F.filter(F.split(text, "[^\\p{L}]+"), lambda w: (F.length(w) >= 4) | w.rlike("^[^\\p{Ll}]"))
+    return F.array_distinct(F.transform(named, lambda w: F.lower(w)))
+
+
+def disclosing_terms(docs: DataFrame, *, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(term, entity, n_both, n_term) of terms that give an entity away.
 
     ``docs`` has text_key and text. The result is checkpointed.
     """
@@ -108,22 +114,25 @@ def disclosing_terms(docs: DataFrame, *, min_contexts: int = MIN_CONTEXTS, discl
     # words cut by the edges of the context do not count
     before = F.regexp_replace(F.substr("text", F.greatest(F.lit(1), F.col("s.start") - CONTEXT + 1), F.least(F.lit(CONTEXT), F.col("s.start"))), "^\\p{L}+", "")
     after = F.regexp_replace(F.substr("text", F.col("s.end") + 1, F.lit(CONTEXT)), "\\p{L}+$", "")
-    seen = spans.select("text_key", entity.alias("entity"), F.xxhash64(before, after).alias("context"), F.explode(_terms(F.concat_ws(" ", before, after))).alias("term"))
-    once = seen.groupBy("entity", "term", "context", "text_key").count().drop("count")
-    by_context = once.groupBy("entity", "term", "context").agg(F.count("*").alias("texts")).groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
-    by_text = once.groupBy("entity", "term", "text_key").agg(F.count("*").alias("contexts")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    near = cut(by_context.filter(F.col("n_contexts") >= min_contexts).join(by_text.filter(F.col("n_both") >= min_contexts), ["entity", "term"]))
-    wanted = near.select("term").distinct()
-    n = wanted.count()
-    if n == 0:
-        return near.withColumn("n_term", F.lit(0).cast("long"))
+    seen = cut(spans.select("text_key", entity.alias("entity"), _names(F.concat_ws(" ", before, after)).alias("terms")))
+    holders = seen.select("text_key", "entity").distinct()
+    often = holders.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= min_texts)
+    beside = cut(seen.join(often, "entity").select("entity", "n_entity", F.explode("terms").alias("term")).distinct())
+    wanted = beside.select("term").distinct()
     every = docs.select("text_key", F.explode(_terms(F.col("text"))).alias("term"))
-    holds = every.join(F.broadcast(wanted) if n <= BROADCAST_TERMS else wanted, "term")
-    counts = holds.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    return cut(near.join(counts, "term").filter(F.col("n_both") >= disclosure * F.col("n_term")))
 
+    def texts_of(terms: DataFrame) -> DataFrame:
+        return every.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term").distinct()
 
-def find_personal_data(docs: DataFrame, *, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+    counts = texts_of(wanted).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= min_texts)
+    # a term in more texts than the entity's by that share cannot pass
+    near = cut(beside.join(counts, "term").filter(F.col("n_entity") >= disclosure * F.col("n_term")))
+    both = texts_of(near.select("term").distinct()).join(near, "term").join(holders, ["text_key", "entity"])
+    both = both.groupBy("term", "entity", "n_term").agg(F.count("*").alias("n_both")).select("term", "entity", "n_both", "n_term")
+    return cut(both.filter((F.col("n_both") >= min_texts) & (F.col("n_both") >= disclosure * F.col("n_term"))))
+
+
+def find_personal_data(docs: DataFrame, *, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per row of ``docs``: doc_id, text, base, spans.
 
     ``base`` and ``spans`` are arrays of (start, kind, end) in code points, by start, then kind; a
@@ -131,7 +140,7 @@ def find_personal_data(docs: DataFrame, *, min_contexts: int = MIN_CONTEXTS, dis
     """
     text = F.coalesce("text", F.lit("")).alias("text")
     keyed = docs.select("doc_id", text, F.xxhash64(text, F.crc32(text)).alias("text_key"))
-    terms = disclosing_terms(keyed, min_contexts=min_contexts, disclosure=disclosure).select("term").distinct()
+    terms = disclosing_terms(keyed, min_texts=min_texts, disclosure=disclosure).select("term").distinct()
     based = keyed.select("doc_id", "text", "text_key", base_spans(F.col("text")).alias("base"))
     n = terms.count()
     if n == 0:
@@ -141,10 +150,8 @@ def find_personal_data(docs: DataFrame, *, min_contexts: int = MIN_CONTEXTS, dis
     of_text = holds.groupBy("text_key").agg(F.collect_set("term").alias("terms"))
     both = based.join(of_text, "text_key", "left")
 
-    def places(term: Column) -> Column:
-        return _matches(F.col("text"), F.concat(F.lit("(?iu)(?<![\\p{L}])"), term, F.lit("(?![\\p{L}])")), len(PATTERNS), "term")
-
-    added = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", F.flatten(F.transform("terms", places)))))
+    pattern = F.concat(F.lit("(?iu)(?<![\\p{L}])(?:"), F.array_join("terms", "|"), F.lit(")(?![\\p{L}])"))
+    added = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", _matches(F.col("text"), pattern, len(PATTERNS), "term"))))
     return both.select("doc_id", "text", "base", added.alias("spans"))
 
 

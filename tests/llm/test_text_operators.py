@@ -140,6 +140,15 @@ def test_personal_data_and_terms(spark):
     assert clean[100] == rows[8][1] and clean[201] == ""
 
 
+def test_terms_of_footers_far_away_and_short(spark):
+    footer = lambda i: "Kind regards, Quimby Li\n" + "of the office " * (2 if i < 2 else 8) + "jane@corp.org " + "and the office " * 8
+    rows = [(i, f"note {'abcdefgh'[i] * 5} {footer(i)}") for i in range(8)] + [(100 + i, f"and the kind office of note regards {i}") for i in range(30)] + [(200, "Li and QUIMBY, the office"), (201, "Liz")]
+    found = sanitise.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    clean = {r.doc_id: r.text for r in sanitise.sanitised(found).collect()}
+    assert clean[0] == rows[0][1].replace("Quimby Li", "<term> <term>").replace("jane@corp.org", "<email>")
+    assert clean[200] == "<term> and <term>, the office" and clean[201] == "Liz" and clean[100] == rows[8][1]
+
+
 def test_line_templates(spark):
     rows = [(i, f"body {c * 3} text\nUser has logged in from h{c} with status good today by {c}{c}") for i, c in enumerate("abcdefghijkl")] + [(50, None)]
     out = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
