@@ -9,7 +9,9 @@ from quillmill.llm import decontaminate, html_extract, line_templates, mixing, n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; one in far fewer files than the cluster has cores is dealt out, as texts cost time to read."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name != "labels" and len(rows.inputFiles()) < cores // 2 else rows
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms of every document."""
     found = sanitise.find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(sanitise.PATTERNS)]
+    counts = [sanitise.of_kind(F.col("base"), k).alias(f"n_{k}") for k in sanitise.PATTERNS]
     digest = F.sha2(sanitise.joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, sanitise.joined(F.col("spans")).alias("spans"))
 

@@ -1,12 +1,18 @@
 """Information-theoretic sanitisation of personal data.
 
 Values of four kinds (email, ip, card, phone) are protected entities and are always spans. Other
-words can give an entity away: a surname that the corpus shows next to one address only is as good
-as the address. For every entity the words that stand beside it anywhere are counted over the whole
-corpus; such a term discloses the entity if at least ``min_texts`` different texts hold both, near
-or far, and if at least the share ``disclosure`` of all texts with the term are texts of the entity,
-that is, if log2 1/P(entity | term) <= log2 1/disclosure bits are left to guess. Such terms become
-spans of kind ``term`` wherever they occur. Copies of a text count once.
+wording can give an entity away: a name that the corpus shows with one address only is as good as
+the address. Terms are words and pairs of neighbouring words, so a full name is a term even if both
+its parts are common. For every entity the terms that stand beside it anywhere are counted over the
+whole corpus; such a term discloses the entity if at least ``min_texts`` different texts hold both,
+near or far, and if at least the share ``disclosure`` of all texts with the term are texts of the
+entity, that is, if log2 1/P(entity | term) <= log2 1/disclosure bits are left to guess. Such terms
+become spans of kind ``term`` wherever they occur; a pair needs no span where one of its words is a
+term by itself. Copies of a text count once.
+
+Null and empty texts have no spans; repeated rows give repeated rows with equal spans; an empty
+table gives no rows; other columns are neither read nor returned. The work on a text grows in
+proportion to its length.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.words import let
+from quillmill.llm.words import indices, let
 from quillmill.storage import cut
 
 #: In the order of the output. The possessive forms match what the plain ones do, without
@@ -22,7 +28,8 @@ from quillmill.storage import cut
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?+[0-9])++",
+    # only whole runs of 14 to 19 digits; other runs match the plain form and then fail
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: A text without this has no match.
@@ -34,6 +41,8 @@ MIN_TEXTS = 3
 DISCLOSURE = 0.8
 BROADCAST_TERMS = 100_000
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Values per block of a running sum.
+BLOCK = 64
 
 
 def luhn(digits: Column) -> Column:
@@ -58,20 +67,36 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def running_sums(values: Column) -> Column:
+    """For every value of an array the sum of those before it.
+
+    Sums are taken in blocks, then over the blocks' totals: appending to one long list would copy it
+    once a value.
+    """
+
+    def sums(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(part, start, lambda a, v: F.struct((a["at"] + v).alias("at"), F.array_append(a["before"], a["at"]).alias("before")), lambda a: a["before"])
+
+    def add(x: Column, y: Column) -> Column:
+        return x + y
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(indices(F.ceil(F.size(v) / BLOCK)), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, sums(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), add)), F.lit(0)), sums)))
+
+    return let(values, lambda v: F.when(F.size(v) <= BLOCK, sums(v, F.lit(0))).otherwise(whole(v)))
+
+
 def _matches(text: Column, pattern: Column, number: int, kind: str) -> Column:
     """Valid matches of a pattern as spans: the pieces between matches give the places."""
 
     def place(pieces: Column, found: Column) -> Column:
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(pieces, i))
-            return F.struct((start + F.length(F.get(found, i))).alias("at"), F.array_append(acc["starts"], start).alias("starts"))
-
-        starts = F.aggregate(F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>")), first, step, lambda a: a["starts"])
-        every = F.zip_with(starts, found, lambda s, m: F.struct(s.alias("start"), F.lit(number).alias("kind"), (s + F.length(m)).alias("end"), m.alias("m")))
-        good = F.filter(every, lambda e: _valid(kind, e["m"]))
-        return F.transform(good, lambda e: F.struct(e["start"].alias("start"), e["kind"].alias("kind"), e["end"].alias("end")))
+        # pieces and matches take turns, and there is one piece more
+        steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
+        every = F.zip_with(F.arrays_zip(running_sums(steps).alias("before"), pieces.alias("piece")), found, lambda b, m: F.struct((b["before"] + F.length(b["piece"])).alias("start"), m.alias("m")))
+        good = F.filter(every, lambda e: e["m"].isNotNull() & _valid(kind, e["m"]))
+        return F.transform(good, lambda e: F.struct(e["start"].alias("start"), F.lit(number).alias("kind"), (e["start"] + F.length(e["m"])).alias("end")))
 
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     return let(found, lambda m: F.when(F.size(m) == 0, F.array().cast(SPAN)).otherwise(let(F.split(text, pattern, -1), lambda p: place(p, m))))
@@ -92,21 +117,54 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _terms(text: Column) -> Column:
-    """Distinct lower-cased words of letters."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(text), "[^\\p{L}]+")), "")
+def of_kind(spans: Column, kind: str) -> Column:
+    """How many spans are of a kind."""
+    number = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
+
+
+def _words(text: Column) -> Column:
+    """Lower-cased words of letters, in order."""
+    return F.array_remove(F.split(F.lower(text), "[^\\p{L}]+"), "")
+
 
+def _pairs(w: Column, make) -> Column:
+    return F.transform(indices(F.size(w) - 1), lambda i: make(F.get(w, i), F.get(w, i + 1)))
 
-def _names(text: Column) -> Column:
-    """Distinct lower-cased words of letters, leaving out those of under four letters in small letters."""
-    named = F.filter(F.split(text, "[^\\p{L}]+"), lambda w: (F.length(w) >= 4) | w.rlike("^[^\\p{Ll}]"))
-    return F.array_distinct(F.transform(named, lambda w: F.lower(w)))
 
+def _term_keys(text: Column) -> Column:
+    """Distinct hashes of a text's words and pairs of words."""
+    return let(_words(text), lambda w: F.array_distinct(F.concat(F.transform(w, lambda x: F.xxhash64(x)), _pairs(w, lambda x, y: F.xxhash64(x, y)))))
 
-def disclosing_terms(docs: DataFrame, *, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(term, entity, n_both, n_term) of terms that give an entity away.
 
-    ``docs`` has text_key and text. The result is checkpointed.
+def _candidates(side: Column) -> Column:
+    """Terms of the text on one side of an entity: words that can be names, and pairs of words that can be full names.
+
+    Words of under four letters in small letters are no names by themselves, and a full name has no
+    part that begins with a small letter.
+    """
+    big = "^[^\\p{Ll}]"
+    term = lambda *w: F.struct(F.xxhash64(*w).alias("key"), F.array(*w).alias("term"))
+
+    def of(w: Column) -> Column:
+        single = F.filter(w, lambda x: (F.length(x) >= 4) | x.rlike(big))
+        double = F.filter(_pairs(w, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["x"].rlike(big) & p["y"].rlike(big))
+        return F.concat(F.transform(single, lambda x: term(F.lower(x))), F.transform(double, lambda p: term(F.lower(p["x"]), F.lower(p["y"]))))
+
+    return let(F.array_remove(F.split(side, "[^\\p{L}]+"), ""), of)
+
+
+def _holding(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text_key, key): which texts hold which of the terms in ``keys``."""
+    every = docs.select("text_key", F.explode(_term_keys(F.col("text"))).alias("key"))
+    return every.join(F.broadcast(keys) if keys.count() <= BROADCAST_TERMS else keys, "key").distinct()
+
+
+def disclosing_terms(docs: DataFrame, *, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """(key, term, entity, n_both, n_term) of terms that give an entity away, and where terms stand.
+
+    ``docs`` has text_key and text. The second table is (text_key, key) and covers at least those
+    terms. Both are checkpointed.
     """
     spans = docs.select("text_key", "text", F.explode(base_spans(F.col("text"))).alias("s"))
     value = F.regexp_replace(F.lower(F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))), "[ ()-]", "")
@@ -114,42 +172,39 @@ def disclosing_terms(docs: DataFrame, *, min_texts: int = MIN_TEXTS, disclosure:
     # words cut by the edges of the context do not count
     before = F.regexp_replace(F.substr("text", F.greatest(F.lit(1), F.col("s.start") - CONTEXT + 1), F.least(F.lit(CONTEXT), F.col("s.start"))), "^\\p{L}+", "")
     after = F.regexp_replace(F.substr("text", F.col("s.end") + 1, F.lit(CONTEXT)), "\\p{L}+$", "")
-    seen = cut(spans.select("text_key", entity.alias("entity"), _names(F.concat_ws(" ", before, after)).alias("terms")))
+    seen = cut(spans.select("text_key", entity.alias("entity"), F.array_distinct(F.concat(_candidates(before), _candidates(after))).alias("terms")))
     holders = seen.select("text_key", "entity").distinct()
     often = holders.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= min_texts)
-    beside = cut(seen.join(often, "entity").select("entity", "n_entity", F.explode("terms").alias("term")).distinct())
-    wanted = beside.select("term").distinct()
-    every = docs.select("text_key", F.explode(_terms(F.col("text"))).alias("term"))
-
-    def texts_of(terms: DataFrame) -> DataFrame:
-        return every.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term").distinct()
-
-    counts = texts_of(wanted).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= min_texts)
+    beside = cut(seen.join(often, "entity").select("entity", "n_entity", F.explode("terms").alias("t")).select("entity", "n_entity", "t.*").distinct())
+    held = cut(_holding(docs, beside.select("key").distinct()))
+    counts = held.groupBy("key").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= min_texts)
     # a term in more texts than the entity's by that share cannot pass
-    near = cut(beside.join(counts, "term").filter(F.col("n_entity") >= disclosure * F.col("n_term")))
-    both = texts_of(near.select("term").distinct()).join(near, "term").join(holders, ["text_key", "entity"])
-    both = both.groupBy("term", "entity", "n_term").agg(F.count("*").alias("n_both")).select("term", "entity", "n_both", "n_term")
-    return cut(both.filter((F.col("n_both") >= min_texts) & (F.col("n_both") >= disclosure * F.col("n_term"))))
+    near = beside.join(counts, "key").filter(F.col("n_entity") >= disclosure * F.col("n_term"))
+    both = held.join(near, "key").join(holders, ["text_key", "entity"])
+    both = both.groupBy("key", "term", "entity", "n_term").agg(F.count("*").alias("n_both")).select("key", "term", "entity", "n_both", "n_term")
+    found = cut(both.filter((F.col("n_both") >= min_texts) & (F.col("n_both") >= disclosure * F.col("n_term"))))
+    words = found.filter(F.size("term") == 1).select(F.col("term")[0].alias("word")).distinct()
+    within = found.filter(F.size("term") == 2).select("key", F.explode("term").alias("word")).join(words, "word").select("key")
+    return cut(found.join(within, "key", "left_anti")), held
 
 
 def find_personal_data(docs: DataFrame, *, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per row of ``docs``: doc_id, text, base, spans.
 
     ``base`` and ``spans`` are arrays of (start, kind, end) in code points, by start, then kind; a
-    null text is empty. The base spans are always part of ``spans``.
+    null text is empty. The base spans are always part of ``spans``. Of terms that overlap, the one
+    that starts first is a span, the longer of two that start together.
     """
     text = F.coalesce("text", F.lit("")).alias("text")
     keyed = docs.select("doc_id", text, F.xxhash64(text, F.crc32(text)).alias("text_key"))
-    terms = disclosing_terms(keyed, min_texts=min_texts, disclosure=disclosure).select("term").distinct()
+    terms, held = disclosing_terms(keyed, min_texts=min_texts, disclosure=disclosure)
+    terms = terms.select("key", "term").distinct()
     based = keyed.select("doc_id", "text", "text_key", base_spans(F.col("text")).alias("base"))
-    n = terms.count()
-    if n == 0:
+    if terms.isEmpty():
         return based.select("doc_id", "text", "base", F.col("base").alias("spans"))
-    every = keyed.select("text_key", F.explode(_terms(F.col("text"))).alias("term"))
-    holds = every.join(F.broadcast(terms) if n <= BROADCAST_TERMS else terms, "term")
-    of_text = holds.groupBy("text_key").agg(F.collect_set("term").alias("terms"))
+    longest = F.sort_array(F.collect_set(F.struct(F.length(F.array_join("term", " ")).alias("n"), "term")), asc=False)
+    of_text = held.join(terms, "key").groupBy("text_key").agg(F.transform(longest, lambda t: F.array_join(t["term"], "[^\\p{L}]+")).alias("terms"))
     both = based.join(of_text, "text_key", "left")
-
     pattern = F.concat(F.lit("(?iu)(?<![\\p{L}])(?:"), F.array_join("terms", "|"), F.lit(")(?![\\p{L}])"))
     added = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", _matches(F.col("text"), pattern, len(PATTERNS), "term"))))
     return both.select("doc_id", "text", "base", added.alias("spans"))
