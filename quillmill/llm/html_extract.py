@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.crf import train, viterbi
-from quillmill.llm.dom_blocks import N_FEATURES, blocks, features, is_marked
+from quillmill.llm.dom_blocks import N_FEATURES, blocks, features, is_marked, placed
 
 #: The only bounds: how many labelled pages train the model, and how long those may be.
 TRAIN_PAGES = 300
@@ -30,10 +30,10 @@ def _furnished(page: list[dict], marks: list[int]) -> tuple[list[dict], list[int
     """
     main = [b for b, m in zip(page, marks, strict=True) if m]
 
-    def as_(block: dict, tags: str, word: str) -> dict:
-        return block | {"tags": tuple(tags.split()), "words": frozenset([word] if word else [])}
+    def as_(block: dict, tags: str, word: str = "") -> dict:
+        return block | {"frame": placed(tags, word)}
 
-    top = [as_(main[0], "html body header h1", "")]
+    top = [as_(main[0], "html body header h1")]
     end = [as_(main[-1], "html body div", "notice"), as_(main[len(main) // 2], "html body section p", "comments"), as_(main[-1], "html body article section p", "comments")]
     return [*top, *page, *end], [0, *marks, 0, 0, 0]
 
@@ -61,8 +61,7 @@ def fit(pages: DataFrame, *, train_pages: int = TRAIN_PAGES) -> tuple[np.ndarray
         xs = [x for r in rows for x in (r["seen"], r["hidden"])]
         return train(xs, [r["labels"] for r in rows for _ in range(2)], N_FEATURES)
     weights = np.zeros((N_FEATURES, 2))
-    plain = features([{"text": "a b", "tags": (), "words": frozenset(), "linked": 0}])[0]
-    odd = features([{"text": "a b", "tags": ("nav",), "words": frozenset(), "linked": 0}])[0]
+    plain, odd = (features([{"text": "a b", "frame": placed(tags), "linked": 0}])[0] for tags in ("", "nav"))
     for f in set(odd) - set(plain):
         weights[f, 0] += 1.0
     for f in plain:
@@ -86,6 +85,12 @@ def _decoded(model):
 
 
 def extract(pages: DataFrame, *, train_pages: int = TRAIN_PAGES) -> DataFrame:
-    """One row per row of ``pages``: page_id, url, text, n_chars; a null or empty page has no text."""
+    """One row per row of ``pages``: page_id, url, text, n_chars.
+
+    A null or empty page has no text; repeated rows give repeated rows; pages of equal hash are
+    ordered by their html, so the model does not depend on the order of rows; an empty table gives
+    no rows; other columns are not read. The time for a page is in proportion to its length, tags
+    that never close included.
+    """
     model = pages.sparkSession.sparkContext.broadcast(fit(pages, train_pages=train_pages))
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_decoded(model), "page_id long, url string, text string, n_chars long")
