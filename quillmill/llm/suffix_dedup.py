@@ -8,11 +8,15 @@ anchors. The steps:
 2. Identical segments: everything but the earliest is removed, by one aggregation and a join.
 3. The earliest copy of each segment whose key also has other segments: its suffix and its left
    context go to buckets, range-partitioned by the leading bytes with splitters that Spark
-   samples. A bucket is sorted locally by multikey quicksort, eight bytes a step, in both
-   directions; neighbours' common prefixes then say which passages are equal. A splitter never
-   divides a key, so equal passages never sit on both sides of a boundary.
+   samples. A bucket is taken in the order of those bytes, in pieces of whole keys, and each piece
+   is sorted locally by multikey quicksort, eight bytes a step, in both directions; neighbours'
+   common prefixes then say which passages are equal. Neither a splitter nor a piece divides a key,
+   so equal passages never sit on both sides of a boundary.
 4. A key with more than ``hot`` different segments is not sorted in one bucket: its passages are
    hashed and aggregated one by one, which splits such a key over all tasks.
+
+The number of partitions follows the bytes of text, so what a task holds is bounded: the packed keys
+of ``PART_BYTES`` of text in step 1, and a piece of ``PIECE_ROWS`` suffixes plus one key in step 3.
 """
 
 from __future__ import annotations
@@ -30,8 +34,15 @@ from quillmill.llm.spans import SPAN, WINDOW, anchors, chunks
 from quillmill.storage import written
 
 BITMAP_LOG2 = 27
+#: A page of the bitmap is 64 Ki bits.
+PAGES_LOG2 = BITMAP_LOG2 - 16
+#: Text beyond which so much of the bitmap would be set that it prunes nothing; it is then left out.
+BITMAP_BYTES = 64 << 30
 TAG_BITS = 18
 NO_ID = -(1 << 63)
+#: Text per partition, and suffixes per sorted piece.
+PART_BYTES = 16 << 20
+PIECE_ROWS = 20_000
 
 
 def tags(texts: pa.Array) -> np.ndarray:
@@ -52,7 +63,9 @@ def _packed_keys(buckets: int):
         def flush():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             keys = np.repeat(keys, np.minimum(n, 2))
-            to = (keys >> np.uint64(40)) % np.uint64(buckets)
+            # keys of one page of the bitmap meet in one bucket, or in as many as there are beyond its pages
+            page = keys >> np.uint64(64 - PAGES_LOG2)
+            to = page % np.uint64(buckets) if buckets <= 1 << PAGES_LOG2 else page + (keys & np.uint64((1 << 20) - 1)) % np.uint64(buckets >> PAGES_LOG2) * np.uint64(1 << PAGES_LOG2)
             order = np.argsort(to, kind="stable")
             keys, to = keys[order], to[order]
             cut = np.flatnonzero(np.diff(to)) + 1
@@ -113,13 +126,13 @@ def _anchor_rows(bitmap):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        bits = bitmap.value if bitmap else None
         for batch in batches:
             ids, tag = batch.column(0).to_numpy(), tags(batch.column(1))
             for row, data, offsets in chunks(batch.column(1)):
                 a = anchors(data, offsets)
                 slot = _slot(a["key"])
-                keep = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                keep = np.arange(len(slot)) if bits is None else np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                 doc, at = a["doc"][keep], a["at"][keep]
                 reach = ((at - a["first"][keep]) << 7) | (at - a["last"][keep])
                 place = ((at - offsets[doc]) << (TAG_BITS + 14)) | (tag[row + doc] << 14) | reach
@@ -259,14 +272,38 @@ def _span_batch(ids, place, row, low, high) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], tag[row], at[row] - high, at[row] - low + SPAN)], ["id", "tag", "lo", "hi"])
 
 
-def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range bucket of suffixes -> byte spans of passages that occurred earlier."""
-    held = [b for b in batches if b.num_rows]
-    if held:
+def _sort_bucket(piece_rows: int):
+    """Suffixes in the order of their leading bytes -> byte spans of passages that occurred earlier."""
+
+    def sorted_piece(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         ids, place = t["id"].to_numpy(), t["place"].to_numpy()
-        left, right = t["left"].to_pylist(), t["right"].to_pylist()
-        yield _span_batch(ids, place, *_removed(ids, place, left, right))
+        return _span_batch(ids, place, *_removed(ids, place, t["left"].to_pylist(), t["right"].to_pylist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            start = 0
+            if not batch.num_rows:
+                continue
+            if size + batch.num_rows > piece_rows:
+                # a piece ends where the leading bytes change
+                lead = batch.column(1).to_pylist()
+                last = held[-1].column(1)[-1].as_py() if held else lead[0]
+                for i in range(batch.num_rows):
+                    if size >= piece_rows and lead[i] != last:
+                        if i > start:
+                            held.append(batch.slice(start, i - start))
+                        yield sorted_piece(held)
+                        held, size, start = [], 0, i
+                    last, size = lead[i], size + 1
+            else:
+                size += batch.num_rows
+            held.append(batch.slice(start))
+        if held:
+            yield sorted_piece(held)
+
+    return run
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,19 +355,21 @@ def _rebuilt(with_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, hot: int = 50_000, with_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, hot: int = 50_000, with_bytes: bool = False, part_bytes: int = PART_BYTES, piece_rows: int = PIECE_ROWS, bitmap_bytes: int = BITMAP_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     Each byte goes that lies in a SPAN-byte string which also starts earlier: in a document of
     smaller doc_id, or earlier in the same document. ``kept`` holds the bytes left if
     ``with_bytes``, else null. Null and short texts lose nothing; a null doc_id sorts first; rows
     that share a doc_id count as one document, whose positions may coincide and then do not remove
-    each other; rows of one doc_id with different texts are told apart by the texts' CRC.
+    each other; rows of one doc_id with different texts are told apart by the texts' CRC. An empty
+    table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text"))
-    bitmap = _bitmap(spark, docs.select("text").filter(F.octet_length("text") >= SPAN), parts)
+    bitmap = _bitmap(spark, docs.select("text").filter(F.octet_length("text") >= SPAN), parts) if total <= bitmap_bytes else None
     found = keyed.filter(F.octet_length("text") >= SPAN).mapInArrow(_anchor_rows(bitmap), "key long, segment long, id long, place long")
 
     at = F.shiftright("place", TAG_BITS + 14)
@@ -351,7 +390,7 @@ def remove_repeats(docs: DataFrame, *, hot: int = 50_000, with_bytes: bool = Fal
     wanted = several.groupBy("id", tag_of.alias("tag")).agg(F.collect_list(F.struct(F.when(F.col("kinds") > hot, 1).otherwise(0).cast("long").alias("key"), "place")).alias("at"))
     by_doc = keyed.select("id", F.crc32(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND((1 << TAG_BITS) - 1).alias("tag"), "text").repartition(parts, "id", "tag")
     suffixes = by_doc.join(wanted, ["id", "tag"]).select("id", "text", "at").mapInArrow(_suffixes, SUFFIXES)
-    cold = suffixes.filter("key = 0").repartitionByRange(parts, "lead").mapInArrow(_sort_bucket, SPANS)
+    cold = suffixes.filter("key = 0").repartitionByRange(parts, "lead").sortWithinPartitions("lead").mapInArrow(_sort_bucket(piece_rows), SPANS)
 
     passages = suffixes.filter("key <> 0").mapInArrow(_passages, "digest binary, id long, tag long, lo long")
     first = passages.groupBy("digest").agg(F.min(F.struct("id", "lo")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("digest", "f")
