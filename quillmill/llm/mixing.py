@@ -2,9 +2,15 @@
 
 Documents get hash-random keys, an MD5 of the document's id, which fall evenly over the key range.
 Within each source the key range is cut into equal buckets, as many as keep a bucket's rows about
-constant, so a source of any size is sorted in many tasks. A running sum inside a bucket plus the
-sum of the buckets before it is the distributed prefix sum of word counts. A source's budget is
-cut exactly at that sum: whole epochs first, then the documents up to the rest, the last in part.
+constant; word counts are summed by bucket, and prefix sums over the buckets say in which one a
+source's budget ends. Only that bucket of each source is sorted row by row, and a running sum in it
+finds the key at which the budget is cut. So a source's part of the mix is known from one row: how
+many whole epochs, the key up to which documents are taken once more, and what is left at that key.
+Texts are counted once and never shuffled.
+
+Null and blank texts have size 0 and give nothing. A document without an id takes its key from its
+text. Rows that share id, source and text lie at one key; if a budget ends there they are taken in
+equal parts. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,10 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.words import n_words, words
+from quillmill.storage import cut, written
 
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 BUCKET_ROWS = 20_000
+#: Most sources whose plan is broadcast.
+BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
 
 
@@ -49,53 +58,76 @@ def targets(sizes: DataFrame) -> DataFrame:
     return share.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
+def _key() -> Column:
+    """Key of a row by id, else by text; ties of one id are told apart by the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    of = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(text.cast("binary"))))
+    return F.concat(F.md5(F.concat(of, F.lit(f":{SEED}")).cast("binary")), F.lpad(F.hex(F.crc32(text)), 8, "0"))
 
-    ``taken`` is how many of its words the mix takes, repeats counted. A null or blank text has
-    size 0 and gives nothing; null doc_ids share one key; equal keys are ordered by id, then size.
-    """
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"))
-    return _cut(sized, targets(sized.select("source", "size")), bucket_rows)
 
+def plan(sized: DataFrame, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(of, source_size, target, epochs, cut_key, cut_part) for each source of ``sized`` (source, key, size).
 
-def _cut(sized: DataFrame, wanted: DataFrame, bucket_rows: int) -> DataFrame:
+    Documents with a key under ``cut_key`` are taken ``epochs`` + 1 times, those over it ``epochs``
+    times, and those at it ``epochs`` times and ``cut_part`` words.
+    """
     counts = sized.groupBy("source").agg(F.count("*").alias("n_rows"))
-    plan = wanted.join(counts, wanted["source"].eqNullSafe(counts["source"])).select(
+    wanted = targets(sized.select("source", "size"))
+    wanted = wanted.join(counts, wanted["source"].eqNullSafe(counts["source"])).select(
         wanted["source"].alias("of"), "source_size", "target", F.ceil(F.col("n_rows") / bucket_rows).alias("n_buckets"))
-    cell = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * F.col("n_buckets"))
-    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", cell)
-    sums = placed.groupBy("of", "bucket").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("of").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("before_bucket"))
-    inside = Window.partitionBy("of", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("before_row", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(starts, F.col("of").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size")
-    part = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("before_bucket") - F.col("before_row")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    wanted = cut(wanted.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size")))
+    cell = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * F.col("n_buckets"))
+    placed = sized.filter("size > 0").join(small(wanted), F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", cell)
+    sums = placed.groupBy("of", "bucket", "rest").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    crossed = sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
+    crossed = cut(crossed.select(F.col("of").alias("c_of"), F.col("bucket").alias("c_bucket"), (F.col("rest") - F.col("before")).alias("left")))
+    inside = placed.join(small(crossed), F.col("of").eqNullSafe(F.col("c_of")) & (F.col("bucket") == F.col("c_bucket")))
+    ties = inside.groupBy("c_of", "left", "key").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    run = Window.partitionBy("c_of").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    ties = ties.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
+    at = ties.filter((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("words")))
+    at = at.select("c_of", F.col("key").alias("cut_key"), F.floor((F.col("left") - F.col("before")) / F.col("n")).cast("long").alias("cut_part"))
+    return cut(wanted.join(at, F.col("of").eqNullSafe(F.col("c_of")), "left").select("of", "source_size", "target", "epochs", "cut_key", "cut_part"))
+
+
+def small(sources: DataFrame) -> DataFrame:
+    """A table of a row per source, broadcast if that is proven small."""
+    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+
+
+def _taken() -> Column:
+    """Words taken of a row with size, key and its source's plan."""
+    more = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.col("cut_part"))
+    return (F.col("epochs") * F.col("size") + F.coalesce(more, F.lit(0))).cast("long")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _key().alias("key")), "mix-sizes")
+
+
+def mix(docs: DataFrame, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
+
+    ``taken`` is how many of its words the mix takes, repeats counted.
+    """
+    sized = _sized(docs)
+    joined = sized.join(small(plan(sized, bucket_rows=bucket_rows)), F.col("source").eqNullSafe(F.col("of")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", _taken().alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, *, seed: str = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rows of ``docs`` as the mix takes them: left out, once, or repeated by epoch.
 
     A document that the budget cuts is repeated once more with only its first words, joined by
     single spaces, and ``n_chars`` set to match where that column exists.
     """
     names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
-    key = F.xxhash64("doc_id", "source", F.crc32(F.coalesce("text", F.lit(""))))
-    decided = mix(docs.select(F.struct("doc_id", key.alias("key")).alias("both"), "source", "text", "doc_id").select("doc_id", "source", "text"), seed=seed)
-    # rows that repeat a doc_id, source and size are told apart by their order alone
-    once = decided.filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("taken"), asc=False).alias("each"))
-    same = Window.partitionBy("m_id", "m_source", "m_size").orderBy(F.crc32(F.coalesce(F.col("row.text"), F.lit(""))))
-    rows = docs.select(row.alias("row"), F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), n_words(F.col("text")).alias("m_size"))
-    rows = rows.withColumn("nth", F.row_number().over(same))
-    joined = rows.join(once, F.col("m_id").eqNullSafe(F.col("doc_id")) & F.col("m_source").eqNullSafe(F.col("source")) & (F.col("m_size") == F.col("size")))
-    taken = joined.withColumn("taken", F.get("each", F.col("nth") - 1)).filter("taken > 0")
+    planned = plan(_sized(docs), bucket_rows=bucket_rows)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("m_source"), n_words(F.col("text")).alias("size"), _key().alias("key"))
+    taken = rows.join(small(planned), F.col("m_source").eqNullSafe(F.col("of"))).withColumn("taken", _taken()).filter("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
     left = F.col("taken") - whole * F.col("size")
     lots = F.concat(F.array_repeat(F.col("size"), whole), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))
