@@ -7,7 +7,14 @@ fingerprints misses no shared window. A hit is extended by comparing the words a
 windows that are equal word by word count.
 
 Items of fewer than 10 words have no such window. They are one window each, of their own length,
-and are found by joining whole runs of that length.
+and are found by whole runs of that length, of all lengths in one pass.
+
+The benchmark is reduced to distinct windows first, each with the items that hold it, so a window
+that many items share is met once in a document.
+
+Null and empty texts have no words and are clean; items without words match nothing; a null item_id
+counts as the string ``null``. Rows that repeat a doc_id and a text share one verdict. An empty
+benchmark leaves all rows clean, an empty table gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,13 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.words import gram_hashes, indices, let
+from quillmill.storage import cut
 
 GRAM = 5
 SPAN = 10
 WINDOW = SPAN - GRAM + 1
 REACH = SPAN - GRAM
-#: Largest benchmark, in bytes of text, whose fingerprints are broadcast; beyond it they are shuffled.
-BROADCAST_BYTES = 8 << 20
+#: Largest benchmark, in bytes of text, whose windows are broadcast; beyond it they are shuffled.
+BROADCAST_BYTES = 2 << 20
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,77 +49,75 @@ def fingerprints(w: Column) -> Column:
             indices(F.size(h) - (WINDOW - 1)),
             lambda i: let(F.slice(h, i + 1, WINDOW), lambda s: i + F.array_position(s, F.array_min(s)).cast("int") - 1),
         )
-        return F.transform(F.array_distinct(places), lambda p: F.struct(p.alias("at"), F.get(h, p).alias("hash")))
+        return F.transform(F.array_distinct(places), lambda p: F.struct(p.alias("at"), F.get(h, p).alias("hash"), F.lit(SPAN).alias("width")))
 
     return let(gram_hashes(w, GRAM), lowest)
 
 
-def _around(w: Column, at: Column) -> Column:
-    """The words that any 10-word window around a gram can hold; null beyond either end."""
-    return F.transform(F.sequence(F.lit(-REACH), F.lit(SPAN - 1)), lambda j: F.get(w, at + j))
-
-
-def _shared_starts(a: Column, b: Column, at: Column) -> Column:
-    """Starts of the 10-word windows around a hit that are equal on both sides."""
-    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return let(
-        equal,
-        lambda e: F.transform(
-            F.filter(F.sequence(F.lit(0), F.lit(REACH)), lambda s: F.forall(F.slice(e, s + 1, SPAN), lambda x: x)),
-            lambda s: at - REACH + s,
-        ),
-    )
+def _runs(w: Column, width: int) -> Column:
+    """Places and hashes of all runs of ``width`` words, under ten."""
+    return F.transform(gram_hashes(w, width), lambda h, i: F.struct(i.alias("at"), h.alias("hash"), F.lit(width).alias("width")))
 
 
-def _long_hits(docs: DataFrame, items: DataFrame, small: bool) -> DataFrame:
-    """(doc_key, item_key, start) of shared 10-word windows; ``docs`` has doc_key and w."""
-    marks = items.filter(F.size("w") >= SPAN).select("item_key", "w", F.explode(fingerprints(F.col("w"))).alias("f"))
-    marks = marks.select("item_key", F.col("f.hash").alias("hash"), _around(F.col("w"), F.col("f.at")).alias("theirs"))
-    mine = docs.filter(F.size("w") >= SPAN).select("doc_key", "w", F.explode(fingerprints(F.col("w"))).alias("f"))
-    around = _around(F.col("w"), F.col("at"))
-    if small:  # the words are cut out after the join, of the few hits alone
-        hits = mine.select("doc_key", "w", F.col("f.at").alias("at"), F.col("f.hash").alias("hash")).join(F.broadcast(marks), "hash")
-        hits = hits.select("doc_key", "item_key", "at", around.alias("ours"), "theirs")
-    else:
-        hits = mine.select("doc_key", F.col("f.at").alias("at"), F.col("f.hash").alias("hash"), _around(F.col("w"), F.col("f.at")).alias("ours")).join(marks, "hash")
-    return hits.select("doc_key", "item_key", F.explode(_shared_starts(F.col("ours"), F.col("theirs"), F.col("at"))).alias("start"), F.lit(SPAN).alias("width"))
-
-
-def _short_hits(docs: DataFrame, items: DataFrame, width: int, small: bool) -> DataFrame:
-    """As ``_long_hits`` for the items of exactly ``width`` words."""
-    marks = items.filter(F.size("w") == width).select("item_key", F.col("w").alias("theirs"), F.xxhash64(*[F.get("w", F.lit(i)) for i in range(width)]).alias("hash"))
-    grams = F.transform(gram_hashes(F.col("w"), width), lambda h, i: F.struct(i.alias("at"), h.alias("hash")))
-    mine = docs.select("doc_key", "w", F.explode(grams).alias("f"))
-    ours = F.slice("w", F.col("at") + 1, width)
-    if small:
-        hits = mine.select("doc_key", "w", F.col("f.at").alias("at"), F.col("f.hash").alias("hash")).join(F.broadcast(marks), "hash")
-        hits = hits.select("doc_key", "item_key", "at", ours.alias("ours"), "theirs")
-    else:
-        hits = mine.select("doc_key", F.col("f.at").alias("at"), F.col("f.hash").alias("hash"), F.slice("w", F.col("f.at") + 1, width).alias("ours")).join(marks, "hash")
-    return hits.filter(F.col("ours") == F.col("theirs")).select("doc_key", "item_key", F.col("at").alias("start"), F.lit(width).alias("width"))
+def _marks(w: Column, lengths: list[int]) -> Column:
+    """Fingerprints, and the runs of every length of short items."""
+    return F.concat(fingerprints(w), *[_runs(w, n) for n in lengths])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_key, doc_id, n_words, n_hit, n_items, items, contaminated.
+def windows(items: DataFrame) -> DataFrame:
+    """(window, hash, width, before, theirs, items): distinct windows of ``items`` (item_key, w).
 
-    ``items`` holds the sorted item_ids, as strings, whose windows occur. Rows that repeat a doc_id
-    and a text share one key and one verdict. Null and empty texts have no words; items without
-    words match nothing; a null item_id counts as the string ``null``.
+    ``before`` is how many words of the window come before the gram that ``hash`` is of, and
+    ``theirs`` the window's words in one string; words hold no spaces.
+    """
+    mark = F.col("m.at")
+    own = items.filter(F.size("w") >= 1).select("item_key", "w", F.explode(F.when(F.size("w") >= SPAN, fingerprints(F.col("w"))).otherwise(
+        F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(*[F.get("w", F.lit(i)) for i in range(SPAN - 1)]).alias("hash"), F.size("w").alias("width"))))).alias("m"))
+    # a short item's hash leaves out the words it lacks, as the hash of a run of its length does
+    starts = F.sequence(F.greatest(F.lit(0), mark - REACH), F.least(mark, F.size("w") - F.col("m.width")))
+    each = own.select("item_key", "w", "m", F.explode(starts).alias("start"))
+    each = each.select("item_key", F.col("m.hash").alias("hash"), F.col("m.width").alias("width"), (mark - F.col("start")).alias("before"), F.array_join(F.slice("w", F.col("start") + 1, F.col("m.width")), " ").alias("theirs"))
+    kinds = each.groupBy("hash", "width", "before", "theirs").agg(F.collect_set("item_key").alias("items"))
+    return kinds.select(F.xxhash64("theirs", "width").alias("window"), "*")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash, n_words, n_hit, n_items, items, contaminated.
+
+    ``items`` holds the sorted item_ids, as strings, whose windows occur. A benchmark of up to
+    ``broadcast_bytes`` of text is broadcast; a larger one is shuffled, with equal results.
     """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    small = size <= BROADCAST_BYTES
+    small = size <= broadcast_bytes
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_key"), item_words(F.col("text")).alias("w"))
-    key = F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")))).alias("doc_key")
-    cut = docs.select(key, item_words(F.col("text")).alias("w"))
-    hits = _long_hits(cut, items, small)
-    lengths = [r["n"] for r in items.select(F.size("w").alias("n")).filter(f"n between 1 and {SPAN - 1}").distinct().collect()]
-    for width in sorted(lengths):  # nine at most
-        hits = hits.unionByName(_short_hits(cut, items, width, small))
-    spots = F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("width") - 1))))
-    found = hits.groupBy("doc_key").agg(F.size(spots).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_key")).alias("items"))
-    every = docs.select(key, "doc_id", F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
-    return every.join(found, "doc_key", "left").select(
-        "doc_key", "doc_id", "n_words",
+    known = cut(windows(items))
+    lengths = sorted(r["width"] for r in known.filter(F.col("width") < SPAN).select("width").distinct().collect())  # nine at most
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id_key"), text_hash()]
+    mine = docs.select(*key, item_words(F.col("text")).alias("w")).select("id_key", "text_hash", "w", F.explode(_marks(F.col("w"), lengths)).alias("m"))
+    start = F.col("m.at") - F.col("before")
+    table = known.select("window", "hash", F.col("width").alias("span"), "before", "theirs")
+
+    def run_of(words: Column, at: Column) -> Column:
+        return F.array_join(F.slice(words, F.greatest(F.lit(0), at) + 1, F.col("span")), " ")
+
+    if small:  # the words are cut out after the join, of the few hits alone
+        hits = mine.join(F.broadcast(table), (F.col("m.hash") == F.col("hash")) & (F.col("m.width") == F.col("span"))).filter(start >= 0)
+        hits = hits.filter(run_of(F.col("w"), start) == F.col("theirs"))
+        hits = hits.select("id_key", "text_hash", "window", start.alias("start"), "span")
+    else:
+        low = F.greatest(F.lit(0), F.col("m.at") - REACH)
+        around = mine.select("id_key", "text_hash", "m", low.alias("low"), F.slice("w", low + 1, F.col("m.at") - low + SPAN).alias("w"))
+        hits = around.join(table, (F.col("m.hash") == F.col("hash")) & (F.col("m.width") == F.col("span"))).filter(start >= 0)
+        hits = hits.filter(run_of(F.col("w"), start - F.col("low")) == F.col("theirs"))
+        hits = hits.select("id_key", "text_hash", "window", start.alias("start"), "span")
+    spots = F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("span") - 1))))
+    of_doc = hits.groupBy("id_key", "text_hash").agg(F.size(spots).cast("long").alias("n_hit"), F.collect_set("window").alias("windows"))
+    named = known.select("window", F.explode("items").alias("item")).distinct()
+    pairs = of_doc.select("id_key", "text_hash", F.explode("windows").alias("window")).join(F.broadcast(named) if small else named, "window")
+    found = of_doc.select("id_key", "text_hash", "n_hit").join(pairs.groupBy("id_key", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items")), ["id_key", "text_hash"])
+    every = docs.select(*key, "doc_id", F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
+    return every.join(found, ["id_key", "text_hash"], "left").select(
+        "doc_id", "text_hash", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -119,8 +125,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, with all their columns, that share no window with the benchmark."""
-    bad = contamination(docs.select("doc_id", "text"), benchmark).filter("contaminated").select(F.col("doc_key").alias("bad_key")).distinct()
-    key = F.xxhash64(docs["doc_id"], F.crc32(F.coalesce(docs["text"], F.lit(""))))
-    return docs.join(bad, key == bad["bad_key"], "left_anti")
+    bad = contamination(docs.select("doc_id", "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["bad_hash"]), "left_anti")
