@@ -85,7 +85,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
     # a bounded number of ids: they go to the documents
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", statistics(F.col("text")).alias("s")).select("doc_id", "label", "s.*")
-    rows = cut(rows.repartition(4, "doc_id").sortWithinPartitions("doc_id", *STATISTICS))
+    # the sample is bounded and narrow, so one partition keeps the many short passes of the fits short
+    rows = cut(rows.repartition(1).sortWithinPartitions("doc_id", *STATISTICS))
     seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         return Model((), (), {1.0: 5.0, 0.0: -5.0}.get(next(iter(seen), 1.0)))
@@ -96,8 +97,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
         return Model((), (), 5.0 if seen[1.0] >= seen[0.0] else -5.0)
     holds = F.array(*[F.when(compiled(r), 1.0).otherwise(0.0) for r in rules])
     chosen = LogisticRegression(featuresCol="r", labelCol="label", elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=60)
-    ruled = cut(rows.select("label", holds.alias("r")))
-    fitted = chosen.fit(ruled.select("label", array_to_vector("r").alias("r")))
+    # rows that the same rules hold for are one row with a weight
+    ruled = cut(rows.groupBy("label", holds.alias("r")).agg(F.count("*").cast("double").alias("n")).coalesce(1).sortWithinPartitions("label", "r"))
+    fitted = chosen.setWeightCol("n").fit(ruled.select("label", "n", array_to_vector("r").alias("r")))
     kept = [(r, float(w)) for r, w in zip(rules, fitted.coefficients.toArray(), strict=True) if w]
     return Model(tuple(r for r, _ in kept), tuple(w for _, w in kept), float(fitted.intercept))
 
@@ -107,7 +109,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def score(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted; empty texts are scored too."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted.
+
+    Null and empty texts are scored by the statistics of an empty one; repeated rows score alike; ties
+    of the sample's order are settled by id and label; a doc_id with two labels counts as two rows;
+    without labels of both kinds the score is a constant; an empty table gives no rows; of ``docs``
+    only doc_id and text are read.
+    """
     model = fit(docs, labels, train_rows=train_rows)
     stats = docs.select("doc_id", statistics(F.col("text")).alias("s")).select("doc_id", "s.*")
     scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
