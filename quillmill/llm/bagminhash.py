@@ -3,8 +3,9 @@
 The weight of a shingle is how often it occurs. Weights are discretised to the unit steps of the
 dyadic intervals [0,1), [1,2), [2,4), [4,8), ... Every (shingle, interval) has a Poisson process of
 its own whose points fall on (slot, step, time) at rate 1 a slot and step. A document takes the
-points on steps below the weight; in the interval that its weight cuts, a point's step is found by
-halving the interval bit by bit. A slot keeps its earliest point. Two documents agree in a slot
+points on steps below the weight; a point's step is drawn from the low bits of its hash, as many as
+the interval has halvings, so in an interval that the weight cuts only the points under the cut count.
+A slot keeps its earliest point. Two documents agree in a slot
 with the probability of their weighted Jaccard similarity.
 
 Points are drawn in order of time and drawing stops when the next point is later than the latest

@@ -26,6 +26,10 @@ THRESHOLD = 0.8
 NO_ID = -(1 << 63)
 #: 64-bit words of a node's shingle marks.
 MARK_WORDS = 8
+#: Parts that a table of labels is copied to, so that the rows of one label meet it in several tasks.
+SALTS = 16
+#: Outside members of a band that one task compares with the band.
+OUTSIDERS = 1000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,6 +49,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = fresh.select("node", "label")
 
 
+def _labelled(rows: DataFrame, of_label: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` (node, label) joined with a row per label; a label with many rows is dealt over ``SALTS`` tasks."""
+    every = of_label.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(every, ["label", "salt"], how).drop("salt")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose texts verify."""
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -61,7 +71,7 @@ def _merge(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         links = links.join(old, links[side] == old["n"], "left").withColumn(side, F.coalesce("label", side)).select("a", "b")
     step = components(links)
-    joined = comp.join(step.select(F.col("node").alias("of"), F.col("label").alias("new")), F.col("label") == F.col("of"), "left")
+    joined = _labelled(comp, step.select(F.col("node").alias("label"), F.col("label").alias("new")), "left")
     grown = joined.select("node", F.coalesce("new", "label").alias("label"))
     return cut(grown.unionByName(step.join(comp, "node", "left_anti").select("node", "label")))
 
@@ -99,7 +109,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
 
     ``class_id`` is the least doc_id of the class and ``is_first`` marks its row (equal rows share
     the mark). Texts of equal words are copies, so all texts without words form one class. A text
-    of under five words is one shingle. Null texts count as empty and null ids sort first.
+    of under five words is one shingle. Null texts count as empty and null ids sort first; an empty
+    table gives no rows; other columns are not read.
     """
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
     keyed = docs.select(ids, F.coalesce("text", F.lit("")).alias("text"))
@@ -150,12 +161,17 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     sizes = threshold * (F.col("size") + F.col("b_size")) - 1e-6
     once = ~F.col("b_outside") | (F.col("node") < F.col("b_node"))
     reach = (F.col("label") != F.col("b_label")) & once & (F.least("common", "b_common") * (1 + threshold) >= sizes) & (_most_common("", "b_") * (1 + threshold) >= sizes)
-    outside = rest.filter("outside")
-    pairs = outside.join(other, (outside["band"] == other["band"]) & reach).select(*ordered(F.col("node"), F.col("b_node"))).distinct()
+    # the outsiders of a band are dealt over tasks, each of which sees the whole band
+    lots = rest.filter("outside").groupBy("band").agg(F.ceil(F.count("*") / OUTSIDERS).cast("int").alias("lots"))
+    outside = rest.filter("outside").join(lots, "band").withColumn("lot", F.pmod(F.xxhash64("node"), F.col("lots")).cast("int"))
+    other = other.join(lots.withColumnRenamed("band", "o_band"), F.col("band") == F.col("o_band")).withColumn("o_lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    pairs = outside.join(other, (outside["band"] == other["band"]) & (F.col("lot") == F.col("o_lot")) & reach).select(*ordered(F.col("node"), F.col("b_node"))).distinct()
     comp = _merge(comp, cut(_links(pairs, texts, threshold)))
 
-    named = nodes.join(comp, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label"), "copies")
-    sized = named.join(named.groupBy("label").agg(F.sum("copies").alias("class_size")), "label")
+    counted = comp.join(nodes.select("node", "copies"), "node")
+    sizes = counted.groupBy("label").agg(F.sum("copies").alias("class_size"))
+    linked = _labelled(comp, sizes)
+    sized = nodes.join(linked, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label"), F.coalesce("class_size", "copies").alias("class_size"))
     return rows.select("id", "crc", "h1", "h2").join(sized, ["h1", "h2"]).select(
         F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "crc", F.nullif(F.col("label.id"), F.lit(NO_ID)).alias("class_id"), "class_size",
         ((F.col("id") == F.col("label.id")) & (F.col("crc") == F.col("label.crc"))).alias("is_first"),
