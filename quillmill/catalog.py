@@ -6,32 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.plans import evaluation, files, vectors
-
-TABLES = ("events", "documents", "embeddings")
-
-
-def _statement(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    used = [t for t in TABLES if f"FROM {t}" in sql]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql.replace("VARCHAR(20)", "STRING"), **{}) if not used else _bound(spark, sf_dir, sql, used)
-
-    return run
-
-
-def _bound(spark: SparkSession, sf_dir: str, sql: str, used: list[str]) -> DataFrame:
-    """The statement over the tables of one folder, bound as parameters, not as session views."""
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
-    text = sql.replace("VARCHAR(20)", "STRING").replace("{", "{{").replace("}", "}}")
-    for t in used:
-        text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(text, **frames)
+from quillmill.plans import evaluation, files, jobs, sql_evaluation, sql_files, sql_jobs, sql_vectors, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _statement(v) for m in (evaluation, files) for k, v in m.QUERIES.items()} | vectors.QUERIES
+    return evaluation.QUERIES | files.QUERIES | vectors.QUERIES | jobs.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return evaluation.QUERIES | files.QUERIES | vectors.ORACLES
+    return sql_evaluation.ORACLES | sql_files.ORACLES | sql_vectors.ORACLES | sql_jobs.ORACLES

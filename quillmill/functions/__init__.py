@@ -1 +1 @@
-
+"""Column functions and tails of distributions."""

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions.columns import cosine, diag_mahalanobis, l2_normalize, total
 from quillmill.storage import cut
 
 BLOCK_ROWS = 4096
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
 def _blocks(df: DataFrame, rows: int) -> int:
     return max(1, -(-df.count() // rows))
 
@@ -51,13 +48,13 @@ def knn_join(queries: DataFrame, database: DataFrame, k: int, *, scope: str = "a
     return near.withColumn("rnk", F.row_number().over(place)).filter(F.col("rnk") <= k)
 
 
-def similar_pairs(rows: DataFrame, above: float, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b), a < b: pairs of rows (id, v) whose similarity is over ``above``, found block by block."""
-    n = _blocks(rows, block_rows)
-    block = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
+def similar_pairs(rows: DataFrame, above: float, *, keys: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b), a < b: pairs of rows (id, v) of equal ``keys`` whose similarity is over ``above``, found block by block."""
+    n, keys = _blocks(rows, block_rows), keys or []
+    block = rows.select("id", "v", *keys, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
     # a block meets every block that is not before it
-    left = block.select("id", "v", F.col("own").alias("x"), F.explode(F.sequence("own", F.lit(n - 1))).alias("y"))
-    right = block.select("id", "v", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"))
+    left = block.select("id", "v", *keys, F.col("own").alias("x"), F.explode(F.sequence("own", F.lit(n - 1))).alias("y"))
+    right = block.select("id", "v", *keys, F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"))
 
     def over(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -67,7 +64,44 @@ def similar_pairs(rows: DataFrame, above: float, *, block_rows: int = BLOCK_ROWS
         p, q = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
         return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})[p != q].drop_duplicates()
 
-    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(over, "a long, b long")
+    return left.groupBy(*keys, "x", "y").cogroup(right.groupBy(*keys, "x", "y")).applyInPandas(over, "a long, b long")
+
+
+def block_pairs(left: DataFrame, right: DataFrame, function, schema: str, *, keys: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``function(a, b)`` of every block of ``left`` with every block of ``right``, both Pandas frames with an id.
+
+    It sees each pair of rows of equal ``keys`` once and returns partial results for a later sum.
+    """
+    nl, nr, keys = _blocks(left, block_rows), _blocks(right, block_rows), keys or []
+    a = left.withColumn("_x", F.pmod(F.xxhash64("id"), F.lit(nl))).withColumn("_y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))
+    b = right.withColumn("_y", F.pmod(F.xxhash64("id"), F.lit(nr))).withColumn("_x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nl - 1).cast("long"))))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return function(x, y) if len(x) and len(y) else pd.DataFrame({n: [] for n in names})
+
+    return a.groupBy(*keys, "_x", "_y").cogroup(b.groupBy(*keys, "_x", "_y")).applyInPandas(run, schema)
+
+
+def retrieve_similar(bank: DataFrame, query: list[float], k: int) -> DataFrame:
+    """(id, similarity): the k rows of ``bank`` (id, v, unit vectors) nearest to one vector; ties by id."""
+    width = bank.select(F.max(F.size("v"))).first()[0]
+    if width is not None and width != len(query):
+        raise ValueError(f"a query of {len(query)} numbers for vectors of {width}")
+    norm = max(sum(x * x for x in query) ** 0.5, 1e-8)
+    unit = F.array(*[F.lit(x / norm) for x in query])
+    scored = bank.select("id", total(F.zip_with("v", unit, lambda x, y: x.cast("double") * y)).alias("similarity"))
+    return scored.orderBy(F.round("similarity", 12).desc(), "id").limit(max(1, k))
+
+
+def normalised(rows: DataFrame, v: str = "v") -> DataFrame:
+    return rows.withColumn(v, l2_normalize(v))
+
+
+def nearest_centroid(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """(id, nearest, similarity): the class whose centroid is most alike by cosine."""
+    met = rows.select("id", "v").join(F.broadcast(class_vectors(reference)))
+    return met.groupBy("id").agg(F.max_by("cls", F.struct(cosine("v", "centroid"), -F.col("cls"))).alias("nearest"), F.max(cosine("v", "centroid")).alias("similarity"))
 
 
 def class_reference(rows: DataFrame, floor: float = 1e-8) -> DataFrame:
@@ -76,11 +110,39 @@ def class_reference(rows: DataFrame, floor: float = 1e-8) -> DataFrame:
     return long.groupBy("cls", "pos").agg(F.count("*").alias("n"), F.avg("x").alias("centroid"), F.greatest(F.var_pop("x"), F.lit(floor)).alias("variance"))
 
 
-def mahalanobis(rows: DataFrame, reference: DataFrame) -> DataFrame:
-    """(id, cls, distance): squared diagonal Mahalanobis distance to every class."""
-    long = rows.select("id", F.posexplode("v").alias("pos", "x"))
-    term = (F.col("x") - F.col("centroid")) * (F.col("x") - F.col("centroid")) / F.col("variance")
-    return long.join(reference, "pos").groupBy("id", "cls").agg(F.sum(term).alias("distance"))
+def class_vectors(reference: DataFrame) -> DataFrame:
+    """(cls, n, centroid, variance) with arrays, a row per class, from a class reference."""
+    cells = F.sort_array(F.collect_list(F.struct("pos", "centroid", "variance")))
+    return reference.groupBy("cls").agg(F.first("n").alias("n"), cells.alias("c")).select("cls", "n", F.transform("c", lambda x: x["centroid"]).alias("centroid"), F.transform("c", lambda x: x["variance"]).alias("variance"))
+
+
+def mahalanobis(rows: DataFrame, reference: DataFrame, eps: float = 0.0) -> DataFrame:
+    """(id, cls, distance): squared diagonal Mahalanobis distance of every row to every class; the classes are broadcast."""
+    return rows.select("id", "v").join(F.broadcast(class_vectors(reference))).select("id", "cls", diag_mahalanobis("v", "centroid", "variance", eps).alias("distance"))
+
+
+def mahalanobis_ood(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """(id, ood_score, nearest): the least distance to a class, and that class."""
+    return mahalanobis(rows, reference).groupBy("id").agg(F.min("distance").alias("ood_score"), F.min_by("cls", F.struct("distance", "cls")).alias("nearest"))
+
+
+def prototype_probability(rows: DataFrame, reference: DataFrame, eps: float = 1e-8) -> DataFrame:
+    """(id, cls, probability): softmax over classes of minus the distance."""
+    d = mahalanobis(rows, reference, eps)
+    low = d.groupBy("id").agg(F.min("distance").alias("low"))
+    raised = d.join(low, "id").withColumn("e", F.exp(F.col("low") - F.col("distance")))
+    whole = raised.groupBy("id").agg(F.sum("e").alias("whole"))
+    return raised.join(whole, "id").select("id", "cls", (F.col("e") / F.col("whole")).alias("probability"))
+
+
+def quantile_threshold(df: DataFrame, keys: list[str], score: str, q: float = 0.95) -> DataFrame:
+    """(keys, threshold): the linearly interpolated quantile of validation scores."""
+    return df.groupBy(*keys).agg(F.percentile(score, F.lit(q)).alias("threshold"))
+
+
+def ood_rate(df: DataFrame, keys: list[str], score: str, threshold: str, nearest: str, pred: str) -> DataFrame:
+    """(keys, ood_rate, prototype_agreement): share over the threshold, and share whose nearest class is the prediction."""
+    return df.groupBy(*keys).agg(F.avg((F.col(score) > F.col(threshold)).cast("double")).alias("ood_rate"), F.avg((F.col(nearest) == F.col(pred)).cast("double")).alias("prototype_agreement"))
 
 
 def diversity_filter(rows: DataFrame, pairs: DataFrame) -> DataFrame:

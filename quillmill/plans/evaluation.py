@@ -1,125 +1,313 @@
-"""Evaluation, calibration and cohort queries over prediction tables.
-
-Each query is one declarative plan keyed by (model, experiment, seed); no loop over runs. The text
-is the common subset of Spark SQL and the oracle's SQL, so both engines read the same statement.
-"""
+"""Evaluation, calibration, screening and history queries: operators applied to the derived tables."""
 
 from __future__ import annotations
 
-#: Prediction rows: three models, two conditions, three seeds.
-PRED = """pred AS (
-  SELECT m.model, x.experiment, s.seed, b.event_id AS filename, b.user_id, b.y,
-         7e-1*p0 + 3e-1*((event_id*(7+2*m.k+4*x.k+6*s.k))%101)/101e0 AS p
-  FROM (SELECT event_id, user_id, value/(value+40e0) AS p0,
-               CASE WHEN 7e-1*value/(value+40e0) + 3e-1*((event_id*13)%97)/97e0 > 5e-1 THEN 1 ELSE 0 END AS y
-        FROM events) b
-  CROSS JOIN (VALUES ('ModelA',0),('ModelB',1),('ModelC',2)) m(model,k)
-  CROSS JOIN (VALUES ('Raw',0),('Raw_SelectedSynthetic',1)) x(experiment,k)
-  CROSS JOIN (VALUES (42,0),(100,1),(123,2)) s(seed,k))"""
-RUN = "model, experiment, seed"
-
-#: One conditional aggregation gives every count that the closed forms need.
-COUNTS = f"""counts AS (
-  SELECT {RUN}, CAST(sum(CASE WHEN y=1 AND p>=5e-1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
-         CAST(sum(CASE WHEN y=0 AND p>=5e-1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
-         CAST(sum(CASE WHEN y=1 AND p<5e-1 THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
-         CAST(sum(CASE WHEN y=0 AND p<5e-1 THEN 1 ELSE 0 END) AS DOUBLE) AS tn
-  FROM pred GROUP BY {RUN})"""
-
-METRICS = f"""rates AS (
-  SELECT *, tp+fp+fn+tn AS n, coalesce(tp/nullif(tp+fn,0),0) AS r1, coalesce(tn/nullif(tn+fp,0),0) AS r0,
-         coalesce(tp/nullif(tp+fp,0),0) AS p1, coalesce(tn/nullif(tn+fn,0),0) AS p0 FROM counts),
-metrics AS (
-  SELECT *, coalesce(2*p1*r1/nullif(p1+r1,0),0) AS f1, coalesce(2*p0*r0/nullif(p0+r0,0),0) AS f0, (tp+tn)/n AS acc,
-         coalesce((tp*tn-fp*fn)/nullif(sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)),0),0) AS mcc,
-         ((tp+fp)*(tp+fn)+(tn+fp)*(tn+fn))/(n*n) AS pe FROM rates)"""
-FINAL = f"""final AS (
-  SELECT {RUN}, acc AS accuracy, (r0+r1)/2 AS balanced_accuracy, (p0+p1)/2 AS precision_macro, (r0+r1)/2 AS recall_macro,
-         (f0+f1)/2 AS f1_macro, (f1*(tp+fn)+f0*(tn+fp))/n AS f1_weighted, r0 AS specificity, mcc, (acc-pe)/nullif(1-pe,0) AS kappa
-  FROM metrics)"""
-HEAD = f"WITH {PRED}, {COUNTS}, {METRICS}, {FINAL}"
-
-#: Average ranks of tied scores, per run; scores are grouped first, so the window sees one row a score.
-RANKS = f"""scores AS (SELECT {RUN}, p, count(*) AS n, CAST(sum(y) AS BIGINT) AS pos FROM pred GROUP BY {RUN}, p),
-ranked AS (SELECT *, CAST(sum(n) OVER (PARTITION BY {RUN} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) - (n-1)/2e0 AS r FROM scores),
-auc AS (SELECT {RUN}, (sum(r*pos) - CAST(sum(pos) AS DOUBLE)*(sum(pos)+1)/2e0) / nullif(CAST(sum(pos) AS DOUBLE)*CAST(sum(n)-sum(pos) AS DOUBLE),0) AS roc_auc FROM ranked GROUP BY {RUN})"""
-CURVE = f"""scores AS (SELECT {RUN}, p, count(*) AS n, CAST(sum(y) AS BIGINT) AS pos FROM pred GROUP BY {RUN}, p),
-cum AS (SELECT *, CAST(sum(pos) OVER w AS DOUBLE) AS tp, CAST(sum(n-pos) OVER w AS DOUBLE) AS fp,
-        CAST(sum(pos) OVER (PARTITION BY {RUN}) AS DOUBLE) AS np, CAST(sum(n-pos) OVER (PARTITION BY {RUN}) AS DOUBLE) AS nn
-        FROM scores WINDOW w AS (PARTITION BY {RUN} ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-curve AS (SELECT {RUN}, p AS threshold, fp/nn AS fpr, tp/np AS tpr, tp/(tp+fp) AS prec, pos/np AS step FROM cum)"""
-
-
-def _r(names: str) -> str:
-    return ", ".join(f"round({x}, 6) AS {x}" for x in names.split())
-
-
-ALL = "accuracy balanced_accuracy precision_macro recall_macro f1_macro f1_weighted specificity mcc kappa"
-
-SCREEN = f"""{PRED}, alias AS (SELECT * FROM (VALUES ('healthy','normal'),('normal','normal'),('smoker','smoke'),('smoking','smoke'),('smoke','smoke'),('malignant','cancer'),('oscc','cancer'),('tumor','cancer'),('cancer','cancer')) a(raw, name)),
-ranks AS (SELECT * FROM (VALUES ('normal',0),('smoke',1),('cancer',2)) r(name, group_rank)),
-members AS (SELECT filename, user_id AS roi, model AS member, p AS p_raw, CASE filename%3 WHEN 0 THEN 'healthy' WHEN 1 THEN ' Smo-ker' ELSE 'OSCC' END AS raw_group FROM pred WHERE experiment='Raw' AND seed=42),
-named AS (SELECT m.*, a.name AS grp, r.group_rank FROM members m LEFT JOIN alias a ON replace(replace(replace(lower(trim(raw_group)),' ',''),'-',''),'_','') = a.raw LEFT JOIN ranks r ON a.name=r.name),
-screen AS (SELECT filename, roi, grp, group_rank, avg(least(1e0, p_raw+5e-2*group_rank)) AS p, stddev_pop(least(1e0, p_raw+5e-2*group_rank)) AS epistemic FROM named GROUP BY filename, roi, grp, group_rank)"""
-SRANK = """sr AS (SELECT *, CAST(rank() OVER (ORDER BY p) AS DOUBLE) + (count(*) OVER (PARTITION BY p) - 1)/2e0 AS rp,
-  CAST(rank() OVER (ORDER BY group_rank) AS DOUBLE) + (count(*) OVER (PARTITION BY group_rank) - 1)/2e0 AS rg FROM (SELECT group_rank, round(p, 9) AS p FROM screen) s)"""
-
-BINS = "bin AS (SELECT *, CASE WHEN p>=5e-1 THEN p ELSE 1-p END AS conf, CASE WHEN (p>=5e-1 AND y=1) OR (p<5e-1 AND y=0) THEN 1e0 ELSE 0e0 END AS hit FROM pred)"
-
-QUERIES: dict[str, str] = {
-    "class_weights": f"WITH {PRED}, c AS (SELECT {RUN}, y, count(*) AS n FROM pred GROUP BY {RUN}, y) SELECT {RUN}, y AS label, round(sum(n) OVER (PARTITION BY {RUN}) / (2e0*n), 6) AS weight FROM c",
-    "confusion_matrix": f"WITH {PRED}, {COUNTS} SELECT {RUN}, CAST(tn AS BIGINT) AS true_0_pred_0, CAST(fp AS BIGINT) AS true_0_pred_1, CAST(fn AS BIGINT) AS true_1_pred_0, CAST(tp AS BIGINT) AS true_1_pred_1 FROM counts",
-    "classification_metrics": f"{HEAD} SELECT {RUN}, {_r(ALL)} FROM final",
-    "brier_score": f"WITH {PRED} SELECT {RUN}, round(avg((p-y)*(p-y)), 6) AS brier FROM pred GROUP BY {RUN}",
-    "ece_mce": f"""WITH {PRED}, {BINS}, edged AS (SELECT {RUN}, conf, hit, greatest(CAST(ceil(conf*10) AS INT)-1, 0) AS b FROM bin),
- each AS (SELECT {RUN}, b, count(*) AS n, avg(conf) AS c, avg(hit) AS a FROM edged GROUP BY {RUN}, b)
- SELECT {RUN}, round(sum(n*abs(a-c))/sum(n), 6) AS ece, round(max(abs(a-c)), 6) AS mce FROM each GROUP BY {RUN}""",
-    "reliability_bins": f"""WITH {PRED}, edged AS (SELECT {RUN}, p, y, least(CAST(floor(p*10) AS INT), 9) AS b FROM pred)
- SELECT {RUN}, round(b/10e0, 6) AS bin_lower, round((b+1)/10e0, 6) AS bin_upper, count(*) AS n, round(avg(p), 6) AS mean_pred, round(avg(CAST(y AS DOUBLE)), 6) AS observed FROM edged GROUP BY {RUN}, b""",
-    "run_mean_std": f"{HEAD} SELECT model, experiment, round(avg(accuracy),6) AS accuracy_mean, round(stddev_pop(accuracy),6) AS accuracy_std, round(avg(f1_macro),6) AS f1_mean, round(stddev_pop(f1_macro),6) AS f1_std, round(avg(mcc),6) AS mcc_mean, round(stddev_pop(mcc),6) AS mcc_std FROM final GROUP BY model, experiment",
-    "cv_mean_std": f"{HEAD} SELECT model, experiment, count(*) AS n_folds, round(avg(f1_macro),6) AS f1_mean, round(CASE WHEN count(*)<2 THEN 0e0 ELSE stddev_samp(f1_macro) END,6) AS f1_std, round(avg(kappa),6) AS kappa_mean, round(CASE WHEN count(*)<2 THEN 0e0 ELSE stddev_samp(kappa) END,6) AS kappa_std FROM final GROUP BY model, experiment",
-    "mean_confusion": f"WITH {PRED}, {COUNTS} SELECT model, experiment, round(avg(tn),6) AS tn, round(avg(fp),6) AS fp, round(avg(fn),6) AS fn, round(avg(tp),6) AS tp FROM counts GROUP BY model, experiment",
-    "pooled_confusion": f"WITH {PRED}, {COUNTS} SELECT model, experiment, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tp) AS BIGINT) AS tp FROM counts GROUP BY model, experiment",
-    "metrics_long": f"{HEAD}, long AS (SELECT {RUN}, 'accuracy' AS metric, accuracy AS v FROM final UNION ALL SELECT {RUN}, 'f1_macro', f1_macro FROM final UNION ALL SELECT {RUN}, 'mcc', mcc FROM final UNION ALL SELECT {RUN}, 'kappa', kappa FROM final) SELECT {RUN}, metric, round(v, 6) AS value FROM long",
-    "cv_summary": f"{HEAD}, long AS (SELECT model, experiment, 'accuracy' AS metric, accuracy AS v FROM final UNION ALL SELECT model, experiment, 'f1_macro', f1_macro FROM final UNION ALL SELECT model, experiment, 'mcc', mcc FROM final) SELECT model, experiment, metric, round(avg(v),6) AS mean, round(stddev_samp(v),6) AS std, count(*) AS n_folds FROM long GROUP BY model, experiment, metric",
-    "rank_models": f"WITH {PRED}, {COUNTS}, {METRICS}, {FINAL}, {RANKS}, m AS (SELECT f.model, f.experiment, round(avg(f.f1_macro),6) AS f1, round(avg(a.roc_auc),6) AS auc, round(avg(f.accuracy),6) AS acc FROM final f JOIN auc a ON f.model=a.model AND f.experiment=a.experiment AND f.seed=a.seed GROUP BY f.model, f.experiment) SELECT *, CAST(row_number() OVER (ORDER BY f1 DESC, auc DESC, acc DESC, model, experiment) AS BIGINT) AS rnk FROM m",
-    "roc_auc": f"WITH {PRED}, {RANKS} SELECT {RUN}, round(roc_auc, 6) AS roc_auc FROM auc",
-    "roc_auc_micro": f"WITH pred0 AS (SELECT 1 AS one), {PRED.replace('pred AS', 'base AS', 1)}, pred AS (SELECT model, experiment, seed, y, round(p, 12) AS p FROM base UNION ALL SELECT model, experiment, seed, 1-y, round(1-p, 12) FROM base), {RANKS} SELECT {RUN}, round(roc_auc, 6) AS roc_auc FROM auc",
-    "roc_curve": f"WITH {PRED}, {CURVE} SELECT {RUN}, round(threshold, 9) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM curve",
-    "average_precision": f"WITH {PRED}, {CURVE} SELECT {RUN}, round(sum(step*prec), 6) AS average_precision FROM curve GROUP BY {RUN}",
-    "pr_auc_mean": f"WITH {PRED}, {CURVE}, ap AS (SELECT {RUN}, sum(step*prec) AS ap FROM curve GROUP BY {RUN}) SELECT model, experiment, round(avg(ap), 6) AS pr_auc FROM ap GROUP BY model, experiment",
-    "youden_threshold": f"WITH {PRED}, {CURVE}, best AS (SELECT *, row_number() OVER (PARTITION BY {RUN} ORDER BY round(tpr-fpr, 12) DESC, threshold DESC) AS rn FROM curve) SELECT {RUN}, round(least(1e0, greatest(0e0, threshold)), 9) AS threshold, round(tpr-fpr, 6) AS youden FROM best WHERE rn=1",
-    "mean_roc_on_grid": f"""WITH {PRED}, {CURVE}, grid AS (SELECT g.g/199e0 AS x, g.g AS k FROM (SELECT DISTINCT event_id AS g FROM events WHERE event_id BETWEEN 0 AND 199) g),
- pts AS (SELECT {RUN}, fpr, max(tpr) AS tpr FROM curve GROUP BY {RUN}, fpr UNION ALL SELECT DISTINCT {RUN}, -1e-12, 0e0 FROM curve),
- seg AS (SELECT {RUN}, fpr AS x0, tpr AS y0, lead(fpr) OVER (PARTITION BY {RUN} ORDER BY fpr) AS x1, lead(tpr) OVER (PARTITION BY {RUN} ORDER BY fpr) AS y1 FROM pts),
- cells AS (SELECT *, CAST(ceil(x0*199) AS INT) AS k0, CAST(floor(coalesce(x1, 1e0)*199) AS INT) AS k1 FROM seg),
- hit AS (SELECT c.model, c.experiment, c.seed, g.k, g.x, CASE WHEN g.k=0 THEN 0e0 WHEN c.x1 IS NULL OR c.x1=c.x0 THEN c.y0 ELSE c.y0+(c.y1-c.y0)*(g.x-c.x0)/(c.x1-c.x0) END AS t FROM cells c JOIN grid g ON g.k BETWEEN c.k0 AND c.k1 AND g.x>=c.x0 AND (c.x1 IS NULL OR g.x<c.x1))
- SELECT model, experiment, k, round(avg(t), 5) AS tpr_mean, round(stddev_pop(t), 5) AS tpr_std FROM hit GROUP BY model, experiment, k""",
-    "temperature_grid": f"""WITH {PRED}, t AS (SELECT * FROM (VALUES (0.25e0),(0.5e0),(0.75e0),(1e0),(1.5e0),(2e0),(3e0),(5e0)) t(temp)),
- nll AS (SELECT {RUN}, temp, avg(ln(1e0+exp(-(CASE WHEN y=1 THEN 1e0 ELSE -1e0 END)*ln(p/(1e0-p))/temp))) AS nll FROM pred CROSS JOIN t GROUP BY {RUN}, temp)
- SELECT {RUN}, min_by(temp, nll) AS temperature, round(min(nll), 6) AS nll FROM nll GROUP BY {RUN}""",
-    "apply_threshold": f"WITH {PRED} SELECT {RUN}, filename, CASE WHEN p>=4.5e-1 THEN 1 ELSE 0 END AS at_threshold, CASE WHEN p>5e-1 THEN 1 ELSE 0 END AS argmax_class, round(CASE WHEN p>=5e-1 THEN p ELSE 1-p END, 6) AS confidence, round(-(p*ln(p)+(1-p)*ln(1-p)), 6) AS entropy FROM pred WHERE experiment='Raw' AND seed=42",
-    "hard_examples": f"WITH {PRED}, h AS (SELECT {RUN}, filename, y, round(CASE WHEN p>=5e-1 AND y=0 THEN p-(1-p) WHEN p<5e-1 AND y=1 THEN (1-p)-p ELSE 0e0 END, 9) AS hardness FROM pred), k AS (SELECT *, row_number() OVER (PARTITION BY {RUN} ORDER BY hardness DESC, filename) AS rn FROM h) SELECT {RUN}, filename, y AS truth, hardness FROM k WHERE rn<=10",
-    "stratified_pick": f"WITH {PRED}, c AS (SELECT {RUN}, filename, y, CASE WHEN (p>=5e-1 AND y=1) OR (p<5e-1 AND y=0) THEN 1 ELSE 0 END AS ok FROM pred), k AS (SELECT *, row_number() OVER (PARTITION BY {RUN}, y, ok ORDER BY filename) AS rn FROM c) SELECT {RUN}, filename, y AS truth, ok AS correct FROM k WHERE rn<=2",
-    "soft_vote": f"WITH {PRED}, v AS (SELECT experiment, seed, filename, y, avg(p) AS p FROM pred GROUP BY experiment, seed, filename, y HAVING count(DISTINCT model)>=2) SELECT experiment, seed, count(*) AS n, round(avg(CASE WHEN (p>=5e-1 AND y=1) OR (p<5e-1 AND y=0) THEN 1e0 ELSE 0e0 END), 6) AS accuracy, round(avg((p-y)*(p-y)), 6) AS brier FROM v GROUP BY experiment, seed",
-    "align_predictions": f"WITH {PRED}, kept AS (SELECT * FROM pred WHERE NOT (model='ModelC' AND filename%1000=7)), n AS (SELECT experiment, seed, model, count(*) AS n FROM kept GROUP BY experiment, seed, model), o AS (SELECT a.experiment, a.seed, b.model, count(*) AS both_n FROM kept a JOIN kept b ON a.experiment=b.experiment AND a.seed=b.seed AND a.filename=b.filename AND a.y=b.y WHERE a.model='ModelA' GROUP BY a.experiment, a.seed, b.model) SELECT o.experiment, o.seed, o.model, o.both_n, CASE WHEN o.both_n=n.n AND n.n=r.n THEN 1 ELSE 0 END AS aligned FROM o JOIN n ON o.experiment=n.experiment AND o.seed=n.seed AND o.model=n.model JOIN n r ON o.experiment=r.experiment AND o.seed=r.seed AND r.model='ModelA'",
-    "mcnemar": f"WITH {PRED}, c AS (SELECT {RUN}, filename, CASE WHEN (p>=5e-1 AND y=1) OR (p<5e-1 AND y=0) THEN 1 ELSE 0 END AS ok FROM pred), j AS (SELECT a.experiment, a.seed, a.model AS model_a, b.model AS model_b, CAST(sum(CASE WHEN a.ok=1 AND b.ok=0 THEN 1 ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN a.ok=0 AND b.ok=1 THEN 1 ELSE 0 END) AS DOUBLE) AS d FROM c a JOIN c b ON a.experiment=b.experiment AND a.seed=b.seed AND a.filename=b.filename AND a.model<b.model GROUP BY a.experiment, a.seed, a.model, b.model) SELECT experiment, seed, model_a, model_b, CAST(c AS BIGINT) AS only_a, CAST(d AS BIGINT) AS only_b, round(CASE WHEN c+d=0 THEN 0e0 ELSE (abs(c-d)-1)*(abs(c-d)-1)/(c+d) END, 6) AS statistic FROM j",
-    "pair_experiments": f"{HEAD} SELECT r.model, r.seed, round(r.f1_macro,6) AS raw_f1, round(s.f1_macro,6) AS synthetic_f1, round(s.f1_macro-r.f1_macro,6) AS delta, CASE WHEN s.f1_macro-r.f1_macro>5e-3 THEN 'synthetic HELPED' WHEN s.f1_macro-r.f1_macro<-5e-3 THEN 'synthetic HURT' ELSE 'no change' END AS verdict FROM final r JOIN final s ON r.model=s.model AND r.seed=s.seed AND r.experiment='Raw' AND s.experiment='Raw_SelectedSynthetic'",
-    "paired_ttest": f"{HEAD}, d AS (SELECT r.model, s.accuracy-r.accuracy AS d, s.accuracy AS sa, r.accuracy AS ra FROM final r JOIN final s ON r.model=s.model AND r.seed=s.seed AND r.experiment='Raw' AND s.experiment='Raw_SelectedSynthetic') SELECT model, count(*) AS n, round(avg(sa),6) AS synthetic_mean, round(avg(ra),6) AS raw_mean, round(avg(d),6) AS difference, round(avg(d)/nullif(stddev_samp(d)/sqrt(CAST(count(*) AS DOUBLE)),0),4) AS t FROM d GROUP BY model",
-    "wilcoxon_signed_rank": f"{HEAD}, d AS (SELECT r.model, r.seed, round(s.f1_macro-r.f1_macro,12) AS d FROM final r JOIN final s ON r.model=s.model AND r.seed=s.seed AND r.experiment='Raw' AND s.experiment='Raw_SelectedSynthetic'), k AS (SELECT *, CAST(rank() OVER (PARTITION BY model ORDER BY abs(d)) AS DOUBLE) + (count(*) OVER (PARTITION BY model, abs(d))-1)/2e0 AS r FROM d WHERE d<>0) SELECT model, count(*) AS n, round(least(sum(CASE WHEN d>0 THEN r ELSE 0e0 END), sum(CASE WHEN d<0 THEN r ELSE 0e0 END)),6) AS w FROM k GROUP BY model",
-    "benchmark_score": f"WITH {PRED}, {COUNTS}, {METRICS}, {FINAL}, m AS (SELECT model, experiment, avg(f1_macro) AS f1, avg(mcc) AS mcc, avg(balanced_accuracy) AS ba, stddev_pop(f1_macro) AS f1_std FROM final GROUP BY model, experiment), n AS (SELECT model, experiment, coalesce((f1-min(f1) OVER ())/nullif(max(f1) OVER ()-min(f1) OVER (),0),5e-1) AS a, coalesce((mcc-min(mcc) OVER ())/nullif(max(mcc) OVER ()-min(mcc) OVER (),0),5e-1) AS b, coalesce((ba-min(ba) OVER ())/nullif(max(ba) OVER ()-min(ba) OVER (),0),5e-1) AS c, 1-coalesce((f1_std-min(f1_std) OVER ())/nullif(max(f1_std) OVER ()-min(f1_std) OVER (),0),5e-1) AS d FROM m), s AS (SELECT model, experiment, round((a+b+c)/3,6) AS classification, round((c+d)/2,6) AS robustness FROM n) SELECT *, round(7e-1*classification+3e-1*robustness,6) AS overall, CAST(row_number() OVER (ORDER BY round(7e-1*classification+3e-1*robustness,6) DESC, model, experiment) AS BIGINT) AS rnk FROM s",
-    "canonical_group": f"WITH {SCREEN} SELECT raw_group, grp, group_rank, count(*) AS n FROM named GROUP BY raw_group, grp, group_rank",
-    "ensemble_signal": f"WITH {SCREEN} SELECT filename, roi, grp, round(p,6) AS p, round(epistemic,6) AS epistemic FROM screen",
-    "group_screening_summary": f"WITH {SCREEN} SELECT grp, group_rank, count(*) AS n, round(avg(p),6) AS mean_p, round(stddev_pop(p),6) AS std_p, round(avg(p)-196e-2*stddev_samp(p)/sqrt(CAST(count(*) AS DOUBLE)),6) AS ci_low, round(avg(p)+196e-2*stddev_samp(p)/sqrt(CAST(count(*) AS DOUBLE)),6) AS ci_high, round(median(p),6) AS median_p, round(avg(epistemic),6) AS mean_epistemic, round(1e2*avg(CASE WHEN p>=5e-1 THEN 1e0 ELSE 0e0 END),6) AS percent_positive FROM screen GROUP BY grp, group_rank",
-    "roi_screening_summary": f"WITH {SCREEN} SELECT grp, roi, count(*) AS n_frames, round(avg(p),6) AS mean_p, round(stddev_pop(p),6) AS std_p, CASE WHEN avg(p)>=5e-1 THEN 'cancer' ELSE 'normal' END AS prediction FROM screen GROUP BY grp, roi",
-    "spearman_trend": f"WITH {SCREEN}, {SRANK} SELECT round(corr(rg, rp),6) AS rho, count(*) AS n FROM sr",
-    "kruskal_wallis": f"WITH {SCREEN}, {SRANK}, g AS (SELECT group_rank, sum(rp) AS s, CAST(count(*) AS DOUBLE) AS n FROM sr GROUP BY group_rank), t AS (SELECT sum(c*c*c-c) AS tie FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM sr GROUP BY p) x), a AS (SELECT sum(s*s/n) AS q, sum(n) AS n FROM g) SELECT round((12e0/(a.n*(a.n+1))*a.q-3*(a.n+1))/(1-t.tie/(a.n*a.n*a.n-a.n)),4) AS h FROM a CROSS JOIN t",
-    "mann_whitney_adjacent": f"WITH {SCREEN}, pairs AS (SELECT s.group_rank AS lo, s.p, 1 AS first FROM screen s WHERE s.group_rank<2 UNION ALL SELECT s.group_rank-1, s.p, 0 FROM screen s WHERE s.group_rank>0), k AS (SELECT lo, first, CAST(rank() OVER (PARTITION BY lo ORDER BY round(p,9)) AS DOUBLE)+(count(*) OVER (PARTITION BY lo, round(p,9))-1)/2e0 AS r FROM pairs) SELECT lo AS rank_low, CAST(sum(first) AS BIGINT) AS n1, CAST(count(*)-sum(first) AS BIGINT) AS n2, round(sum(CASE WHEN first=1 THEN r ELSE 0e0 END)-CAST(sum(first) AS DOUBLE)*(sum(first)+1)/2e0,4) AS u FROM k GROUP BY lo",
-    "metric_histogram": "WITH b AS (SELECT event_type, value, min(value) OVER (PARTITION BY event_type) AS lo, max(value) OVER (PARTITION BY event_type) AS hi FROM events) SELECT event_type, least(CAST(floor((value-lo)/nullif(hi-lo,0)*30) AS INT),29) AS bin, count(*) AS n FROM b WHERE hi>lo GROUP BY event_type, least(CAST(floor((value-lo)/nullif(hi-lo,0)*30) AS INT),29)",
-    "otsu_by_key": """WITH h AS (SELECT event_type AS k, CAST(least(floor(value),255) AS INT) AS v, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY event_type, CAST(least(floor(value),255) AS INT)),
- c AS (SELECT k, v, sum(n) OVER w AS w0, sum(n*v) OVER w AS m0, sum(n) OVER (PARTITION BY k) AS t, sum(n*v) OVER (PARTITION BY k) AS mt FROM h WINDOW w AS (PARTITION BY k ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
- s AS (SELECT k, v, coalesce(w0*(t-w0)*(m0/w0-(mt-m0)/nullif(t-w0,0))*(m0/w0-(mt-m0)/nullif(t-w0,0)),0) AS between_var FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(between_var,3) DESC, v) AS rn FROM s)
- SELECT k AS event_type, v AS threshold FROM r WHERE rn=1""",
-    "best_epoch": "WITH h AS (SELECT user_id%12 AS run_id, row_number() OVER (PARTITION BY user_id%12 ORDER BY event_id) AS epoch, value/(value+40e0) AS val_f1, 1e0/(1e0+value) AS val_loss FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY val_f1 DESC, val_loss, epoch) AS rn FROM h) SELECT run_id, CAST(epoch AS BIGINT) AS best_epoch, round(val_f1,6) AS val_f1, round(val_loss,6) AS val_loss FROM r WHERE rn=1",
-    "min_max_norm": "WITH v AS (SELECT event_id, event_type, value, min(value) OVER (PARTITION BY event_type) AS lo, max(value) OVER (PARTITION BY event_type) AS hi FROM events) SELECT event_id, event_type, round(CASE WHEN value IS NULL THEN NULL WHEN hi=lo THEN 5e-1 ELSE (value-lo)/(hi-lo) END,6) AS norm, round(CASE WHEN value IS NULL THEN NULL WHEN hi=lo THEN 5e-1 ELSE 1-(value-lo)/(hi-lo) END,6) AS inverted FROM v",
-}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillmill.functions import columns as C
+from quillmill.operators import metrics as M
+from quillmill.operators import runs as R
+from quillmill.operators import screening as S
+from quillmill.operators import stats as T
+from quillmill.operators.distances import metric_histogram as histogram
+from quillmill.operators.distances import score_correlation as correlation
+from quillmill.operators.running import running_sums, same
+from quillmill.operators.selection import min_max_norm as min_max
+from quillmill.plans.fixtures import RUN, classified, history, members, predictions, rounded, table
+
+ALL = list(M.OVERALL)
+GRID = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
+BOTH = {1: "p", 0: "q"}
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    return M.classification_metrics(classified(spark, sf_dir), RUN, "y", "pred", [0, 1])
+
+
+def _two_scores(spark, sf_dir) -> DataFrame:
+    # twelve digits, so that equal scores of both classes tie
+    return predictions(spark, sf_dir).withColumns({"p": F.round("p", 12), "q": F.round(1 - F.col("p"), 12)})
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    return S.ensemble_signal(S.with_group(members(spark, sf_dir), "raw_group"), ["filename", "roi", "grp", "group_rank"], "p")
+
+
+def _ranked_samples(spark, sf_dir) -> DataFrame:
+    return _samples(spark, sf_dir).withColumn("p", F.round("p", 9))
+
+
+def class_weights(spark, sf_dir):
+    return rounded(M.class_weights(predictions(spark, sf_dir), RUN, "y", [0, 1]).withColumnRenamed("class", "label"))
+
+
+def confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(classified(spark, sf_dir), RUN, "y", "pred", [0, 1])
+
+
+def classification_metrics(spark, sf_dir):
+    return rounded(_runs(spark, sf_dir))
+
+
+def per_class_metrics(spark, sf_dir):
+    m = M.per_class_metrics(classified(spark, sf_dir), RUN, "y", "pred", [0, 1])
+    return rounded(m.select(*RUN, F.col("class").alias("label"), "support", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "specificity"))
+
+
+def brier_score(spark, sf_dir):
+    return rounded(M.brier_score(predictions(spark, sf_dir), RUN, "y", "p"))
+
+
+def ece_mce(spark, sf_dir):
+    return rounded(M.ece_mce(predictions(spark, sf_dir), RUN, "y", "p"))
+
+
+def reliability_bins(spark, sf_dir):
+    return rounded(M.reliability_bins(predictions(spark, sf_dir), RUN, "y", "p"))
+
+
+def run_mean_std(spark, sf_dir):
+    return rounded(R.run_mean_std(_runs(spark, sf_dir), RUN[:2], ALL))
+
+
+def cv_mean_std(spark, sf_dir):
+    return rounded(R.cv_mean_std(_runs(spark, sf_dir), RUN[:2], ALL))
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    m = M.confusion_matrix(classified(spark, sf_dir), RUN, "y", "pred", [0, 1])
+    return m.groupBy(*RUN).agg(*[F.sum(F.when(F.col("truth") == t, F.col(f"pred_{p}")).otherwise(0)).alias(n) for n, t, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))])
+
+
+def mean_confusion(spark, sf_dir):
+    return rounded(_cells(spark, sf_dir).groupBy(*RUN[:2]).agg(*[F.avg(c).alias(c) for c in ("tn", "fp", "fn", "tp")]))
+
+
+def pooled_confusion(spark, sf_dir):
+    return _cells(spark, sf_dir).groupBy(*RUN[:2]).agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
+
+
+def metrics_long(spark, sf_dir):
+    return rounded(R.metrics_long(_runs(spark, sf_dir), RUN, ALL))
+
+
+def cv_summary(spark, sf_dir):
+    return rounded(R.cv_summary(_runs(spark, sf_dir), RUN[:2], ALL))
+
+
+def cv_comparison(spark, sf_dir):
+    return rounded(R.cv_comparison(R.cv_summary(_runs(spark, sf_dir), RUN[:2], ALL), RUN[:2], ALL))
+
+
+def _with_auc(spark, sf_dir) -> DataFrame:
+    return same(_runs(spark, sf_dir), M.roc_auc(predictions(spark, sf_dir), RUN, "y", "p"), RUN)
+
+
+def rank_models(spark, sf_dir):
+    means = rounded(_with_auc(spark, sf_dir).groupBy(*RUN[:2]).agg(F.avg("f1_macro").alias("f1"), F.avg("roc_auc").alias("auc"), F.avg("accuracy").alias("acc")))
+    return R.rank_by(means, ["f1", "auc", "acc"], RUN[:2])
+
+
+def roc_auc(spark, sf_dir):
+    return rounded(M.roc_auc(predictions(spark, sf_dir), RUN, "y", "p"))
+
+
+def roc_auc_macro_micro(spark, sf_dir):
+    return rounded(M.roc_auc_macro_micro(_two_scores(spark, sf_dir), RUN, "y", BOTH))
+
+
+def roc_auc_per_class(spark, sf_dir):
+    return rounded(M.roc_auc_per_class(_two_scores(spark, sf_dir), RUN, "y", BOTH).withColumnRenamed("class", "label"))
+
+
+def roc_curve(spark, sf_dir):
+    c = M.roc_curve(predictions(spark, sf_dir), RUN, "y", "p")
+    return c.select(*RUN, F.round("threshold", 9).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+
+
+def average_precision(spark, sf_dir):
+    return rounded(M.average_precision(predictions(spark, sf_dir), RUN, "y", "p"))
+
+
+def pr_auc_mean(spark, sf_dir):
+    return rounded(M.pr_auc_mean(predictions(spark, sf_dir), RUN[:2], "seed", "y", "p"))
+
+
+def youden_threshold(spark, sf_dir):
+    y = M.youden_threshold(predictions(spark, sf_dir), RUN, "y", "p")
+    return y.select(*RUN, F.round("threshold", 9).alias("threshold"), F.round("youden", 6).alias("youden"))
+
+
+def per_class_youden(spark, sf_dir):
+    return rounded(M.per_class_youden(_two_scores(spark, sf_dir), RUN, "y", BOTH).withColumnRenamed("class", "label"))
+
+
+def mean_roc_on_grid(spark, sf_dir):
+    return rounded(M.mean_roc_on_grid(predictions(spark, sf_dir), RUN[:2], "seed", "y", "p").drop("fpr_grid"), 5)
+
+
+def temperature_grid(spark, sf_dir):
+    return rounded(M.temperature_grid(predictions(spark, sf_dir), RUN, "y", "p", GRID))
+
+
+def fit_temperature(spark, sf_dir):
+    z = F.array(F.lit(0.0), F.ln(F.col("p") / (1 - F.col("p"))))
+    return rounded(M.fit_temperature(predictions(spark, sf_dir).withColumn("z", z), RUN, "y", "z"), 4)
+
+
+def apply_threshold(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    pair = F.array(1 - F.col("p"), F.col("p"))
+    return p.select(*RUN, "filename", C.apply_threshold("p", 0.45).alias("at_threshold"), C.argmax_class(pair).alias("argmax_class"), F.round(C.confidence(pair), 6).alias("confidence"), F.round(C.entropy(pair), 6).alias("entropy"))
+
+
+def hard_examples(spark, sf_dir):
+    return rounded(M.hard_examples(predictions(spark, sf_dir), RUN, "filename", "y", "p"), 6, ("hardness",))
+
+
+def stratified_pick(spark, sf_dir):
+    return M.stratified_pick(classified(spark, sf_dir), RUN, "filename", "y", "pred", 16, 2)
+
+
+def soft_vote(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    voted = M.soft_vote(p, ["experiment", "seed"], "filename", "model", "y", "p", M.youden_threshold(p, RUN, "y", "p"))
+    return rounded(M.classification_metrics(voted, ["experiment", "seed"], "y", "pred", [0, 1]))
+
+
+def align_predictions(spark, sf_dir):
+    short = predictions(spark, sf_dir).filter("NOT (model = 'ModelC' AND filename % 1000 = 7)")
+    return M.align_predictions(short, ["experiment", "seed"], "model", "filename", "y", "ModelA")
+
+
+def mcnemar(spark, sf_dir):
+    m = T.mcnemar(classified(spark, sf_dir), ["experiment", "seed"], "filename", "model", "ok")
+    return rounded(m.withColumnsRenamed({"member_a": "model_a", "member_b": "model_b"}))
+
+
+def _pairs(spark, sf_dir, names: list[str]) -> DataFrame:
+    return T.paired(_runs(spark, sf_dir), ["model"], ["seed"], "experiment", "Raw", "Raw_SelectedSynthetic", names)
+
+
+def pair_experiments(spark, sf_dir):
+    p = _pairs(spark, sf_dir, ["f1_macro"])
+    return rounded(p.select("model", "seed", F.col("a").alias("raw_f1"), F.col("b").alias("synthetic_f1"), F.col("d").alias("delta"), C.augmentation_verdict("d").alias("verdict")))
+
+
+def paired_ttest(spark, sf_dir):
+    t = T.paired_ttest(_pairs(spark, sf_dir, ["accuracy", "f1_macro"]), ["model", "metric"])
+    return t.select("model", "metric", "n", *[F.round(c, 6).alias(c) for c in ("b_mean", "a_mean", "difference")], F.round("t", 4).alias("t"), F.round("p", 4).alias("p"))
+
+
+def wilcoxon_signed_rank(spark, sf_dir):
+    return rounded(T.wilcoxon_signed_rank(_pairs(spark, sf_dir, ["accuracy", "f1_macro"]), ["model", "metric"]))
+
+
+def _benchmark_rows(spark, sf_dir) -> DataFrame:
+    p = predictions(spark, sf_dir)
+    runs = same(same(_with_auc(spark, sf_dir), M.ece_mce(p, RUN, "y", "p"), RUN), M.brier_score(p, RUN, "y", "p"), RUN)
+    runs = same(runs, M.average_precision(p, RUN, "y", "p").withColumnRenamed("average_precision", "pr_auc"), RUN)
+    means = [F.avg(c).alias(c) for c in ("accuracy", "balanced_accuracy", "f1_macro", "mcc", "roc_auc", "pr_auc", "ece", "mce", "brier")]
+    return runs.groupBy(*RUN[:2]).agg(*means, F.stddev_pop("f1_macro").alias("f1_macro_std"), F.stddev_pop("mcc").alias("mcc_std"))
+
+
+def benchmark_score(spark, sf_dir):
+    scored = R.benchmark_score(_benchmark_rows(spark, sf_dir), RUN[:2])
+    return scored.select(*RUN[:2], "classification", "feature", "calibration", "robustness", "efficiency", F.round("overall", 5).alias("overall"), "rnk")
+
+
+def bench_min_max(spark, sf_dir):
+    return rounded(R.bench_min_max(_benchmark_rows(spark, sf_dir), {"accuracy": True, "brier": False}).select(*RUN[:2], "n_accuracy", "n_brier"), 5)
+
+
+def limitation_flags(spark, sf_dir):
+    e = M.ece_mce(predictions(spark, sf_dir), RUN, "y", "p")
+    flags = C.limitation_flags(F.when(F.col("model") == "ModelC", 31e6).otherwise(5e6), F.col("ece"), F.when(F.col("seed") == 42, 25.0).otherwise(8.0))
+    return e.select(*RUN, F.array_join(flags, "; ").alias("flags"))
+
+
+def canonical_group(spark, sf_dir):
+    return S.with_group(members(spark, sf_dir), "raw_group").groupBy("raw_group", "grp", "group_rank").agg(F.count("*").alias("n"), F.min(C.rank_order("grp")).alias("sort_key"))
+
+
+def ensemble_signal(spark, sf_dir):
+    return rounded(_samples(spark, sf_dir).select("filename", "roi", "grp", "p", "epistemic", "confidence", "entropy"))
+
+
+def group_screening_summary(spark, sf_dir):
+    return rounded(S.group_screening_summary(_samples(spark, sf_dir), ["grp", "group_rank"]))
+
+
+def roi_screening_summary(spark, sf_dir):
+    return rounded(S.roi_screening_summary(_samples(spark, sf_dir), ["grp", "roi"]))
+
+
+def spearman_trend(spark, sf_dir):
+    return rounded(T.spearman_trend(_ranked_samples(spark, sf_dir), "group_rank", "p"))
+
+
+def kruskal_wallis(spark, sf_dir):
+    return rounded(T.kruskal_wallis(_ranked_samples(spark, sf_dir), "group_rank", "p", 3), 4)
+
+
+def mann_whitney_adjacent(spark, sf_dir):
+    return rounded(T.mann_whitney_adjacent(_ranked_samples(spark, sf_dir), "group_rank", "p"), 4)
+
+
+def normal_vs_cancer_auc(spark, sf_dir):
+    return rounded(S.normal_vs_cancer_auc(_ranked_samples(spark, sf_dir)))
+
+
+def progression_statistics(spark, sf_dir):
+    return rounded(S.progression_statistics(_ranked_samples(spark, sf_dir)), 4)
+
+
+def metric_histogram(spark, sf_dir):
+    h = histogram(table(spark, sf_dir, "events").withColumn("selected", (F.col("event_id") % 5 == 0).cast("int")), ["event_type"], "value", selected="selected")
+    return h.select("event_type", "selected", "bin", "n")
+
+
+def score_correlation(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return rounded(correlation(e, ["event_id", "user_id", "value"]))
+
+
+def otsu_by_key(spark, sf_dir):
+    """The value that splits the values of each event type best."""
+    v = F.least(F.floor("value"), F.lit(255)).cast("int")
+    h = table(spark, sf_dir, "events").groupBy("event_type", v.alias("v")).agg(F.count("*").cast("double").alias("n"))
+    whole = h.groupBy("event_type").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("v")).alias("mt"))
+    c = same(running_sums(h, ["event_type"], F.col("v"), {"w": F.col("n"), "m": F.col("n") * F.col("v")}), whole, ["event_type"])
+    gap = F.col("m") / F.col("w") - F.try_divide(F.col("mt") - F.col("m"), F.col("t") - F.col("w"))
+    between = F.coalesce(F.col("w") * (F.col("t") - F.col("w")) * gap * gap, F.lit(0.0))
+    return c.groupBy("event_type").agg(F.max_by("v", F.struct(F.round(between, 3), -F.col("v"))).alias("threshold"))
+
+
+def best_epoch(spark, sf_dir):
+    return rounded(R.best_epoch(history(spark, sf_dir), ["run_id"]))
+
+
+def run_record_rollup(spark, sf_dir):
+    best = R.best_epoch(history(spark, sf_dir), ["run_id"]).withColumn("grp", F.col("run_id") % 3).withColumn("train_seconds", F.col("run_id") * 10 + 5)
+    return rounded(R.run_record_rollup(best, ["grp"], ["val_f1", "val_loss"]))
+
+
+def min_max_norm(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.col("value").alias("turned"))
+    m = min_max(e, ["event_type"], {"value": False, "turned": True})
+    return m.select("event_id", "event_type", F.round("n_value", 6).alias("norm"), F.round("n_turned", 6).alias("inverted"))
+
+
+def ema_by_key(spark, sf_dir):
+    return rounded(R.ema_by_key(table(spark, sf_dir, "events"), ["event_type"], "event_id", "value"), 5)
+
+
+NAMES = (
+    "class_weights confusion_matrix classification_metrics per_class_metrics brier_score ece_mce reliability_bins run_mean_std cv_mean_std mean_confusion pooled_confusion metrics_long cv_summary"
+    " cv_comparison rank_models roc_auc roc_auc_macro_micro roc_auc_per_class roc_curve average_precision pr_auc_mean youden_threshold per_class_youden mean_roc_on_grid temperature_grid fit_temperature"
+    " apply_threshold hard_examples stratified_pick soft_vote align_predictions mcnemar pair_experiments paired_ttest wilcoxon_signed_rank benchmark_score bench_min_max limitation_flags canonical_group"
+    " ensemble_signal group_screening_summary roi_screening_summary spearman_trend kruskal_wallis mann_whitney_adjacent normal_vs_cancer_auc progression_statistics metric_histogram score_correlation"
+    " otsu_by_key best_epoch run_record_rollup min_max_norm ema_by_key"
+)
+QUERIES = {n: globals()[n] for n in NAMES.split()}

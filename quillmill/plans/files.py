@@ -1,26 +1,136 @@
-"""Manifest queries: keys from names, exact copies, splits and set operations."""
+"""Manifest queries: keys from names, exact copies, splits, pools and draws."""
 
 from __future__ import annotations
 
-FILES = """files AS (SELECT doc_id, CASE WHEN CAST(substr(source,4) AS INT)%2=0 THEN 'real' ELSE 'synth' END AS origin,
-  CASE WHEN doc_id%3=0 THEN 'cancer' ELSE 'normal' END AS class_name,
-  concat('roi_',CAST((doc_id*7)%41 AS VARCHAR(20)),'_',CAST(20240101+doc_id%5 AS VARCHAR(20)),'_',CAST(100000+doc_id%60 AS VARCHAR(20)),'.png') AS filename,
-  text AS content FROM documents)"""
-REGION = "CASE WHEN filename IS NULL THEN NULL WHEN regexp_extract(lower(filename),'roi_([0-9]+)_([0-9]{8})_([0-9]{6})',1)='' THEN filename ELSE concat('roi',regexp_extract(lower(filename),'roi_([0-9]+)_([0-9]{8})_([0-9]{6})',1),'_',regexp_extract(lower(filename),'roi_([0-9]+)_([0-9]{8})_([0-9]{6})',2)) END"
-
-QUERIES: dict[str, str] = {
-    "class_counts": f"WITH {FILES} SELECT origin, class_name, count(*) AS n FROM files GROUP BY origin, class_name",
-    "region_group": f"WITH {FILES} SELECT doc_id, {REGION} AS region FROM files",
-    "roi_id": f"WITH {FILES} SELECT doc_id, concat(class_name,':',regexp_extract(lower(filename),'^roi_([0-9]+)_([0-9]{{8}})_([0-9]{{6}})',1)) AS roi FROM files",
-    "exclude_real_copies": f"WITH {FILES}, real_keys AS (SELECT DISTINCT class_name AS c, md5(content) AS h FROM files WHERE origin='real') SELECT f.doc_id, f.class_name, CASE WHEN r.h IS NULL THEN 0 ELSE 1 END AS real_copy FROM files f LEFT JOIN real_keys r ON f.class_name=r.c AND md5(f.content)=r.h WHERE f.origin='synth'",
-    "synthetic_not_in_raw": f"WITH {FILES} SELECT f.doc_id, f.class_name, f.filename FROM files f LEFT JOIN (SELECT DISTINCT class_name AS c, filename AS n FROM files WHERE origin='real') r ON f.class_name=r.c AND f.filename=r.n WHERE f.origin='synth' AND r.n IS NULL",
-    "dedup_by_content": f"WITH {FILES}, k AS (SELECT doc_id, class_name, filename, row_number() OVER (PARTITION BY class_name, md5(content) ORDER BY filename, doc_id) AS rn FROM files WHERE origin='synth') SELECT doc_id, class_name, filename FROM k WHERE rn=1",
-    "pool_real": f"WITH {FILES}, k AS (SELECT doc_id, class_name, doc_id%3 AS root_order, concat('f',CAST(doc_id%700 AS VARCHAR(20))) AS base FROM files), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY root_order, class_name, doc_id) AS rn FROM k) SELECT doc_id, class_name, root_order, base FROM r WHERE rn=1",
-    "common_classes": f"WITH {FILES} SELECT class_name FROM files WHERE origin='real' INTERSECT SELECT class_name FROM files WHERE origin='synth'",
-    "missing_classes": f"WITH {FILES}, v AS (SELECT * FROM (VALUES ('normal'),('cancer'),('benign')) v(class_name)) SELECT class_name FROM v EXCEPT SELECT class_name FROM files",
-    "add_selected_synthetic": f"WITH {FILES} SELECT doc_id, class_name, 'real' AS part, 'train' AS role FROM files WHERE origin='real' UNION ALL SELECT doc_id, class_name, 'synth' AS part, 'train' AS role FROM files WHERE origin='synth' AND doc_id%5=0",
-    "hash_holdout": f"WITH {FILES}, k AS (SELECT doc_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY md5(filename), doc_id) AS rn, count(*) OVER (PARTITION BY class_name) AS n FROM files) SELECT doc_id, class_name, CASE WHEN rn<=greatest(2, CAST(floor(n*15/1e2+5e-1) AS INT)) THEN 'val' ELSE 'train' END AS role FROM k",
-    "stratified_split": f"WITH {FILES}, k AS (SELECT doc_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY md5(concat(filename,CAST(doc_id AS VARCHAR(20)))), doc_id) AS rn, count(*) OVER (PARTITION BY class_name) AS n FROM files) SELECT doc_id, class_name, CASE WHEN rn*100<=n*70 THEN 'train' WHEN rn*100<=n*85 THEN 'val' ELSE 'test' END AS role FROM k",
-    "group_disjoint": f"WITH {FILES}, g AS (SELECT {REGION} AS region, count(*) AS n FROM files GROUP BY {REGION}) SELECT region, n, CASE WHEN substr(md5(region),1,1)<'b' THEN 'train' ELSE 'test' END AS role FROM g",
-    "expand_experiments": f"WITH {FILES}, runs AS (SELECT m.model, x.experiment, s.seed FROM (VALUES ('A'),('B')) m(model) CROSS JOIN (VALUES ('Raw'),('Raw_SelectedSynthetic')) x(experiment) CROSS JOIN (VALUES (42),(100)) s(seed)) SELECT r.model, r.experiment, r.seed, f.class_name, count(*) AS n_train FROM runs r JOIN files f ON f.origin='real' OR r.experiment='Raw_SelectedSynthetic' GROUP BY r.model, r.experiment, r.seed, f.class_name",
-}
+from pyspark.sql import functions as F
+
+from quillmill.functions import columns as C
+from quillmill.operators import selection as L
+from quillmill.operators import splits as P
+from quillmill.plans.fixtures import files
+from quillmill.sources.folders import class_vocabulary_filter as in_vocabulary
+
+
+def _sides(spark, sf_dir):
+    f = files(spark, sf_dir)
+    return f.filter("origin = 'synth'"), f.filter("origin = 'real'")
+
+
+def class_counts(spark, sf_dir):
+    return files(spark, sf_dir).groupBy("origin", "class_name").agg(F.count("*").alias("n"))
+
+
+def region_group(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", C.region_group("filename").alias("region"))
+
+
+def roi_id(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", C.roi_id("filename", "class_name").alias("roi"))
+
+
+def path_parts(spark, sf_dir):
+    path = F.concat_ws("/", F.lit("data"), "class_name", "filename")
+    return files(spark, sf_dir).select("doc_id", C.basename(path).alias("base"), C.extension(path).alias("ext"), C.parent_folder(path).alias("folder"), F.round(C.hash_unit("filename"), 9).alias("unit"))
+
+
+def class_vocabulary_filter(spark, sf_dir):
+    return in_vocabulary(files(spark, sf_dir), ["cancer"]).select("doc_id", "class_name")
+
+
+def sha256_content(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", C.sha256_content("content").alias("sha256"), C.md5_content("content").alias("md5"))
+
+
+def exclude_real_copies(spark, sf_dir):
+    synthetic, real = _sides(spark, sf_dir)
+    return L.exclude_real_copies(synthetic, real, ["class_name"], "content").select("doc_id", "class_name", "real_copy")
+
+
+def synthetic_not_in_raw(spark, sf_dir):
+    synthetic, real = _sides(spark, sf_dir)
+    return L.synthetic_not_in_raw(synthetic, real, "class_name", name="filename").select("doc_id", "class_name", "filename")
+
+
+def synthetic_not_in_raw_by_content(spark, sf_dir):
+    synthetic, real = _sides(spark, sf_dir)
+    return L.synthetic_not_in_raw(synthetic, real, "class_name", content="content").select("doc_id", "class_name", "filename")
+
+
+def dedup_by_content(spark, sf_dir):
+    synthetic, real = _sides(spark, sf_dir)
+    own = L.exclude_real_copies(synthetic, real, ["class_name"], "content").filter("real_copy = 0")
+    return L.dedup_by_content(own, ["class_name"], "content", ["filename", "doc_id"]).select("doc_id", "class_name", "filename")
+
+
+def pool_real(spark, sf_dir):
+    rows = files(spark, sf_dir).select("doc_id", "class_name", (F.col("doc_id") % 3).alias("root_order"), F.concat(F.lit("f"), F.col("doc_id") % 700).alias("base"))
+    return P.pool_real(rows, "base", "root_order", ["class_name", "doc_id"], ["normal", "cancer"])
+
+
+def common_classes(spark, sf_dir):
+    synthetic, real = _sides(spark, sf_dir)
+    return real.select("class_name").intersect(synthetic.select("class_name")).filter(~F.col("class_name").startswith("."))
+
+
+def missing_classes(spark, sf_dir):
+    vocabulary = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in ("normal", "cancer", "benign")])).alias("class_name"))
+    return vocabulary.join(files(spark, sf_dir).select("class_name").distinct(), "class_name", "left_anti")
+
+
+def add_selected_synthetic(spark, sf_dir):
+    synthetic, real = _sides(spark, sf_dir)
+    own = real.select("doc_id", "class_name", F.lit("real").alias("part"), F.lit("train").alias("role"))
+    return own.unionByName(synthetic.filter("doc_id % 5 = 0").select("doc_id", "class_name", F.lit("synth").alias("part"), F.lit("train").alias("role")))
+
+
+def hash_holdout(spark, sf_dir):
+    return P.hash_holdout(files(spark, sf_dir).select("doc_id", "class_name", "filename"), "class_name", "filename", ["doc_id"]).select("doc_id", "class_name", "role")
+
+
+def stratified_split(spark, sf_dir):
+    return P.stratified_split(files(spark, sf_dir).select("doc_id", "class_name"), "class_name", "doc_id").select("doc_id", "class_name", "role")
+
+
+def _grouped(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", "class_name", C.region_group("filename").alias("region"))
+
+
+def stratified_group_split(spark, sf_dir):
+    return P.stratified_group_split(_grouped(spark, sf_dir), "region", "class_name").select("doc_id", "region", "role")
+
+
+def stratified_group_kfold(spark, sf_dir):
+    return P.stratified_group_kfold(_grouped(spark, sf_dir), "region", "class_name", 5).select("doc_id", "region", "fold", "role")
+
+
+def grouped_cv_holdout_val(spark, sf_dir):
+    return P.grouped_cv_holdout_val(_grouped(spark, sf_dir), "region", "class_name", 5).select("doc_id", "region", "fold", "role")
+
+
+def group_disjoint(spark, sf_dir):
+    """Leaks of a split by rows, that a split by groups would not have."""
+    rows = _grouped(spark, sf_dir).withColumn("role", F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train"))
+    return P.assert_group_disjoint(rows, [], "region", "role").select("region", "roles", "leaks")
+
+
+def expand_experiments(spark, sf_dir):
+    synthetic, real = _sides(spark, sf_dir)
+    names = lambda column, *values: spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(column))
+    own = real.select(F.col("doc_id").alias("item"), "class_name", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("role"))
+    every = P.expand_experiments(own, synthetic.select(F.col("doc_id").alias("item"), "class_name"), names("model", "A", "B"), names("experiment", "Raw", "Raw_SelectedSynthetic"), names("seed", 42, 100), "Raw_SelectedSynthetic")
+    return every.groupBy("model", "experiment", "seed", "role", "class_name").agg(F.count("*").alias("n"))
+
+
+def capped_sample(spark, sf_dir):
+    return L.capped_sample(files(spark, sf_dir).select("doc_id", "class_name"), ["class_name"], "doc_id", 50)
+
+
+def class_balanced_draws(spark, sf_dir):
+    return L.class_balanced_draws(files(spark, sf_dir).select("doc_id", "class_name"), "class_name", "doc_id", files(spark, sf_dir).count())
+
+
+NAMES = (
+    "class_counts region_group roi_id path_parts class_vocabulary_filter sha256_content exclude_real_copies synthetic_not_in_raw synthetic_not_in_raw_by_content dedup_by_content pool_real common_classes missing_classes"
+    " add_selected_synthetic hash_holdout stratified_split stratified_group_split stratified_group_kfold grouped_cv_holdout_val group_disjoint expand_experiments capped_sample class_balanced_draws"
+)
+QUERIES = {n: globals()[n] for n in NAMES.split()}

@@ -1,108 +1,182 @@
-"""Vector queries: neighbours, quality features, selection, class references."""
+"""Vector queries: neighbours, selection, class references, outliers, distances of sets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.operators.vectors import class_reference, diversity_filter, knn_join, mahalanobis, similar_pairs
+from quillmill.functions import columns as C
+from quillmill.operators import distances as D
+from quillmill.operators import selection as L
+from quillmill.operators import vectors as V
+from quillmill.operators.outliers import isolation_forest_flag as forest
+from quillmill.operators.outliers import lof_flag as lof
+from quillmill.operators.running import same
+from quillmill.plans.fixtures import rounded, vectors
 
-#: Weights of the quality score for the metrics at hand, in proportion to 1.
-WEIGHTS = {"own_mean": 0.266667, "margin": 0.333333, "density": 0.04}
-
-
-def _rows(spark: SparkSession, sf_dir: str, origin: int | None = None) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), (F.col("label") % 2).cast("int").alias("cls"), F.col("embedding").cast("array<double>").alias("v"))
-    return e if origin is None else e.filter(F.col("id") % 2 == origin)
+NEAR, DIVERSE = 0.42, 0.33
 
 
 def _named(df: DataFrame) -> DataFrame:
     return df.select("qid", "did", F.round("similarity", 6).alias("similarity"), F.col("rnk").cast("long"))
 
 
-def knn(spark, sf_dir):
-    return _named(knn_join(_rows(spark, sf_dir, 1), _rows(spark, sf_dir, 0), 10, scope="own"))
+def _both(spark, sf_dir):
+    return vectors(spark, sf_dir, 1), vectors(spark, sf_dir, 0)
+
+
+def knn_join(spark, sf_dir):
+    return _named(V.knn_join(*_both(spark, sf_dir), 10, scope="own"))
+
 
+def nearest_pair(spark, sf_dir):
+    return _named(V.knn_join(*_both(spark, sf_dir), 1, scope="own"))
 
-def nearest(spark, sf_dir):
-    return _named(knn_join(_rows(spark, sf_dir, 1), _rows(spark, sf_dir, 0), 1, scope="own"))
 
+def other_class_knn(spark, sf_dir):
+    return _named(V.knn_join(*_both(spark, sf_dir), 10, scope="other"))
 
-def other_class(spark, sf_dir):
-    return _named(knn_join(_rows(spark, sf_dir, 1), _rows(spark, sf_dir, 0), 10, scope="other"))
 
+def retrieve_similar(spark, sf_dir):
+    """The ten rows nearest to the first row's vector."""
+    rows = vectors(spark, sf_dir)
+    return rounded(V.retrieve_similar(rows, list(rows.orderBy("id").first()["v"]), 10))
 
-def features(spark, sf_dir) -> DataFrame:
-    q, d = _rows(spark, sf_dir, 1), _rows(spark, sf_dir, 0)
-    far = F.sqrt(F.greatest(2 - 2 * F.col("similarity"), F.lit(0.0)))
-    own = knn_join(q, d, 10, scope="own").groupBy("qid").agg(F.avg("similarity").alias("own_mean"), F.max("similarity").alias("own_max"), F.min(far).alias("nn_distance"), F.avg(far).alias("density"))
-    other = knn_join(q, d, 10, scope="other").groupBy("qid").agg(F.avg("similarity").alias("other_mean"), F.max("similarity").alias("other_max"))
-    both = q.select(F.col("id").alias("qid"), "cls").join(own, "qid").join(other, "qid", "left")
-    return both.withColumn("margin", F.coalesce(F.col("own_mean") - F.col("other_mean"), F.lit(0.0)))
+
+def l2_normalize(spark, sf_dir):
+    """Norm before and after, and the cosine with the vector turned around."""
+    r = vectors(spark, sf_dir).withColumn("w", F.transform("v", lambda x: 3 * x)).withColumn("u", C.l2_normalize("w"))
+    return rounded(r.select("id", F.sqrt(C.dot("w", "w")).alias("norm"), F.sqrt(C.dot("u", "u")).alias("unit"), C.cosine("w", F.reverse("v")).alias("turned")))
 
 
 def quality_features(spark, sf_dir):
     names = ("own_mean", "own_max", "nn_distance", "density", "other_mean", "other_max", "margin")
-    return features(spark, sf_dir).select("qid", "cls", *[F.round(n, 6).alias(n) for n in names])
+    return rounded(L.quality_features(*_both(spark, sf_dir)).select("qid", "cls", *names))
+
+
+def composite_score(spark, sf_dir):
+    """Scores with the outlier factor of the local outlier factor."""
+    q, d = _both(spark, sf_dir)
+    f = L.quality_features(q, d).join(lof(q).select(F.col("id").alias("qid"), "outlier"), "qid", "left")
+    return L.composite_score(f, ["cls"], outlier="outlier").select("qid", "cls", "outlier", "score")
 
 
 def selection_scores(spark, sf_dir):
-    """Score, eligibility, rank and reason of every candidate."""
-    f, c = features(spark, sf_dir), Window.partitionBy("cls")
-    for n in WEIGHTS:
-        lo, hi = F.min(n).over(c), F.max(n).over(c)
-        unit = F.when(hi == lo, F.lit(0.5)).otherwise((F.col(n) - lo) / (hi - lo))
-        f = f.withColumn(f"n_{n}", 1 - unit if n == "density" else unit)
-    f = f.withColumn("score", F.round(sum(F.col(f"n_{n}") * w for n, w in WEIGHTS.items()), 6))
-    f = f.withColumn("eligible", ~((F.col("own_max") >= 0.42) | (F.col("margin") <= 0)))
-    order = Window.partitionBy("cls", "eligible").orderBy(F.desc("score"), "qid")
-    f = f.withColumn("rn", F.row_number().over(order)).withColumn("most", F.greatest(F.lit(1), F.floor(F.count("*").over(c) * 0.4)))
-    chosen = F.col("eligible") & (F.col("rn") <= F.col("most"))
-    reason = F.when(chosen, "top_quality").when(F.col("margin") <= 0, "cross_class_ambiguous").when(F.col("own_max") >= 0.42, "near_real_copy").otherwise("below_quality_rank")
-    return f.select("qid", "cls", "score", F.col("eligible").cast("int").alias("eligible"), chosen.cast("int").alias("selected"), reason.alias("reason"))
+    """Score, eligibility, place and reason of every candidate; nothing is dropped for likeness to another candidate."""
+    q, d = _both(spark, sf_dir)
+    scored = L.composite_score(L.quality_features(q, d), ["cls"]).withColumn("kept", F.lit(True))
+    chosen = L.select_top_n(scored, ["cls"], "qid", near=NEAR, real=d.groupBy("cls").agg(F.count("*").alias("n_real")))
+    return chosen.select("qid", "cls", "score", F.col("eligible").cast("int").alias("eligible"), F.col("selected").cast("int").alias("selected"), "reason")
+
+
+def _pipeline(spark, sf_dir) -> dict[str, DataFrame]:
+    return L.selection_pipeline(*_both(spark, sf_dir), near=NEAR, diversity=DIVERSE, outliers=lof)
+
+
+def selection_pipeline(spark, sf_dir):
+    c = _pipeline(spark, sf_dir)["scores"]
+    return rounded(c.select("qid", "cls", "outlier", "score", "eligible", "kept", "selected", "reason"))
+
+
+def selection_summary(spark, sf_dir):
+    return rounded(_pipeline(spark, sf_dir)["summary"])
+
+
+def best_worst_n(spark, sf_dir):
+    q, d = _both(spark, sf_dir)
+    scored = L.composite_score(L.quality_features(q, d), ["cls"])
+    return L.best_worst_n(scored, ["cls"], "score", "qid", 50).select("qid", "cls", "score", "side", F.col("place").cast("long").alias("place"))
+
+
+def diversity_filter(spark, sf_dir):
+    """Greedy selection in id order, over exact pairs."""
+    e = vectors(spark, sf_dir)
+    return V.diversity_filter(e.select("id", F.col("id").alias("priority")), V.similar_pairs(e, DIVERSE)).select("id", F.col("kept").cast("int").alias("kept"))
 
 
 def class_prototypes(spark, sf_dir):
-    return class_reference(_rows(spark, sf_dir, 0)).select("cls", F.col("pos").cast("long").alias("pos"), "n", F.round("centroid", 6).alias("centroid"), F.round("variance", 6).alias("variance"))
+    return rounded(V.class_reference(vectors(spark, sf_dir, 0)).select("cls", F.col("pos").cast("long").alias("pos"), "n", "centroid", "variance"))
 
 
 def mahalanobis_ood(spark, sf_dir):
-    d = mahalanobis(_rows(spark, sf_dir), class_reference(_rows(spark, sf_dir, 0)))
-    best = d.groupBy("id").agg(F.round(F.min("distance"), 4).alias("ood_score"), F.min_by("cls", "distance").alias("nearest"))
-    return best.select("id", "ood_score", "nearest")
+    return rounded(V.mahalanobis_ood(vectors(spark, sf_dir), V.class_reference(vectors(spark, sf_dir, 0))), 4)
+
+
+def prototype_probability(spark, sf_dir):
+    return rounded(V.prototype_probability(vectors(spark, sf_dir), V.class_reference(vectors(spark, sf_dir, 0))), 5)
+
+
+def ood_rate(spark, sf_dir):
+    """Share of synthetic rows over the 0.95 quantile of every third real row's score, which the reference leaves out."""
+    real = vectors(spark, sf_dir, 0)
+    reference = V.class_reference(real.filter("id % 3 <> 0"))
+    validation = V.mahalanobis_ood(real.filter("id % 3 = 0"), reference)
+    threshold = V.quantile_threshold(validation, [], "ood_score")
+    synthetic = vectors(spark, sf_dir, 1)
+    scored = same(V.mahalanobis_ood(synthetic, reference), threshold, []).join(synthetic.select("id", "cls"), "id")
+    return rounded(V.ood_rate(scored, ["cls"], "ood_score", "threshold", "nearest", "cls"), 5)
+
+
+def quantile_threshold(spark, sf_dir):
+    scored = V.mahalanobis_ood(vectors(spark, sf_dir), V.class_reference(vectors(spark, sf_dir, 0))).join(vectors(spark, sf_dir).select("id", "cls"), "id")
+    return rounded(V.quantile_threshold(scored, ["cls"], "ood_score"), 4)
+
+
+def lof_flag(spark, sf_dir):
+    return rounded(lof(vectors(spark, sf_dir, 1)), 5)
+
+
+def isolation_forest_flag(spark, sf_dir):
+    return rounded(forest(vectors(spark, sf_dir, 1)))
+
+
+def frechet_distance(spark, sf_dir):
+    q, d = _both(spark, sf_dir)
+    value = D.frechet_distance(d, q)
+    return d.agg(F.count("*").alias("n_real")).withColumn("distance", F.lit(value).cast("double"))
+
+
+def mean_vector_moments(spark, sf_dir):
+    """Sums over the vectors: how many, of each place and of each product of two."""
+    return rounded(D.moment_sums(vectors(spark, sf_dir)).withColumnRenamed("s", "total"), 4)
+
+
+def kernel_distance_biased(spark, sf_dir):
+    q, d = _both(spark, sf_dir)
+    return rounded(D.kernel_distance_biased(d, q), 7)
+
+
+def kernel_distance_subsets(spark, sf_dir):
+    q, d = _both(spark, sf_dir)
+    return D.kernel_distance_subsets(d, q)
+
+
+def prdc(spark, sf_dir):
+    q, d = _both(spark, sf_dir)
+    return rounded(D.prdc(d, q))
+
 
+def improved_precision_recall(spark, sf_dir):
+    q, d = _both(spark, sf_dir)
+    return rounded(D.improved_precision_recall(d, q))
 
-def diversity(spark, sf_dir):
-    """Greedy selection in id order at similarity .33, over exact pairs."""
-    e = _rows(spark, sf_dir)
-    return diversity_filter(e.select("id", F.col("id").alias("priority")), similar_pairs(e, 0.33)).select("id", F.col("kept").cast("int").alias("kept"))
 
+def memorization_check(spark, sf_dir):
+    q, d = _both(spark, sf_dir)
+    return rounded(D.memorization_check(d, q))
 
-QUERIES = {f.__name__: f for f in (quality_features, selection_scores, class_prototypes, mahalanobis_ood)} | {"knn_join": knn, "nearest_pair": nearest, "other_class_knn": other_class, "diversity_filter": diversity}
 
-_EMB = "emb AS (SELECT vec_id AS id, label%2 AS cls, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+def feature_separation(spark, sf_dir):
+    return rounded(D.feature_separation(vectors(spark, sf_dir)), 5)
 
 
-def _knn_sql(test: str, k: int) -> str:
-    return f"""{_EMB}, pairs AS (SELECT q.id AS qid, q.cls AS qcls, d.id AS did, list_dot_product(q.v, d.v) AS s FROM emb q JOIN emb d ON q.id%2=1 AND d.id%2=0 AND {test}),
-near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s,12) DESC, did) AS rnk FROM pairs QUALIFY rnk<={k})"""
+def pca_2d(spark, sf_dir):
+    return rounded(D.pca_2d(vectors(spark, sf_dir)))
 
 
-_PICK = "SELECT qid, did, round(s,6) AS similarity, CAST(rnk AS BIGINT) AS rnk FROM near"
-_FEATURES = f"""WITH {_knn_sql('q.cls=d.cls', 10).replace('near AS', 'own AS').replace('pairs', 'own_pairs')},
-oth_pairs AS (SELECT q.id AS qid, d.id AS did, list_dot_product(q.v, d.v) AS s FROM emb q JOIN emb d ON q.id%2=1 AND d.id%2=0 AND q.cls<>d.cls),
-oth AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s,12) DESC, did) AS rnk FROM oth_pairs QUALIFY rnk<=10),
-a AS (SELECT qid, any_value(qcls) AS cls, avg(s) AS own_mean, max(s) AS own_max, min(sqrt(greatest(2-2*s,0))) AS nn_distance, avg(sqrt(greatest(2-2*s,0))) AS density FROM own GROUP BY qid),
-b AS (SELECT qid, avg(s) AS other_mean, max(s) AS other_max FROM oth GROUP BY qid),
-f AS (SELECT a.*, other_mean, other_max, coalesce(own_mean-other_mean,0) AS margin FROM a LEFT JOIN b USING (qid))"""
-ORACLES = {
-    "knn_join": f"WITH {_knn_sql('q.cls=d.cls', 10)} {_PICK}",
-    "nearest_pair": f"WITH {_knn_sql('q.cls=d.cls', 1)} {_PICK}",
-    "other_class_knn": f"WITH {_knn_sql('q.cls<>d.cls', 10)} {_PICK}",
-    "quality_features": f"{_FEATURES} SELECT qid, CAST(cls AS INT) AS cls, round(own_mean,6) AS own_mean, round(own_max,6) AS own_max, round(nn_distance,6) AS nn_distance, round(density,6) AS density, round(other_mean,6) AS other_mean, round(other_max,6) AS other_max, round(margin,6) AS margin FROM f",
-    "selection_scores": f"""{_FEATURES}, n AS (SELECT *, (own_mean-min(own_mean) OVER c)/(max(own_mean) OVER c-min(own_mean) OVER c) AS n1, (margin-min(margin) OVER c)/(max(margin) OVER c-min(margin) OVER c) AS n2, 1-(density-min(density) OVER c)/(max(density) OVER c-min(density) OVER c) AS n3, NOT (own_max>=0.42 OR margin<=0) AS ok, count(*) OVER c AS nc FROM f WINDOW c AS (PARTITION BY cls)),
-s AS (SELECT *, round(n1*0.266667e0+n2*0.333333e0+n3*0.04e0,6) AS score FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY cls, ok ORDER BY score DESC, qid) AS rn FROM s)
-SELECT qid, CAST(cls AS INT) AS cls, score, CAST(ok AS INT) AS eligible, CAST(ok AND rn<=greatest(1,floor(nc*0.4)) AS INT) AS selected, CASE WHEN ok AND rn<=greatest(1,floor(nc*0.4)) THEN 'top_quality' WHEN margin<=0 THEN 'cross_class_ambiguous' WHEN own_max>=0.42 THEN 'near_real_copy' ELSE 'below_quality_rank' END AS reason FROM r""",
-    "class_prototypes": f"WITH {_EMB}, l AS (SELECT cls, generate_subscripts(v,1)-1 AS pos, unnest(v) AS x FROM emb WHERE id%2=0) SELECT CAST(cls AS INT) AS cls, CAST(pos AS BIGINT) AS pos, count(*) AS n, round(avg(x),6) AS centroid, round(greatest(var_pop(x),1e-8),6) AS variance FROM l GROUP BY cls, pos",
-    "mahalanobis_ood": f"WITH {_EMB}, l AS (SELECT id, cls, generate_subscripts(v,1) AS pos, unnest(v) AS x FROM emb), r AS (SELECT cls, pos, avg(x) AS c, greatest(var_pop(x),1e-8) AS s FROM l WHERE id%2=0 GROUP BY cls, pos), d AS (SELECT l.id, r.cls, sum((x-c)*(x-c)/s) AS d FROM l JOIN r USING (pos) GROUP BY l.id, r.cls) SELECT id, round(min(d),4) AS ood_score, CAST(min_by(cls,d) AS INT) AS nearest FROM d GROUP BY id",
-}
+NAMES = (
+    "knn_join nearest_pair other_class_knn retrieve_similar l2_normalize quality_features composite_score selection_scores selection_pipeline selection_summary best_worst_n diversity_filter class_prototypes"
+    " mahalanobis_ood prototype_probability ood_rate quantile_threshold lof_flag isolation_forest_flag frechet_distance mean_vector_moments kernel_distance_biased kernel_distance_subsets prdc"
+    " improved_precision_recall memorization_check feature_separation pca_2d"
+)
+QUERIES = {n: globals()[n] for n in NAMES.split()}

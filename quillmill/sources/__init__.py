@@ -1 +1 @@
-
+"""Scans of image folders and stored tables."""
