@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import decontaminate, html_extract, line_templates, mixing, near_dedup, quality_model, quality_rules, sanitise, sharding, suffix_dedup
+from quillmill.llm.sql import ORACLES as ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_mix, op3_sanitise, op4_line_templates, op5_suffix_dedup, op6_html_extract, op7_shard, op8_quality, op9_decontaminate, op10_quality_rules)}
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule of the production policy: documents that fail it, and those that it alone rejects."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_mix, op3_sanitise, op4_line_templates, op5_suffix_dedup, op6_html_extract, op7_shard, op8_quality, op9_decontaminate, op10_quality_rules, quality_rule_ablation)}
