@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. A stage's
 result is written as Parquet and read again as the next stage's documents.
+
+Null, blank and short texts fail the quality rules, so later stages meet words only; each stage also
+stands alone on tables with nulls in any column, very long texts, repeated rows, extra columns with any
+names, and no rows at all: rows are judged by text and id, all columns are carried, and an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,17 +18,17 @@ from quillmill.storage import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy keeps."""
+    """Documents that the production policy keeps; repeated rows are judged alike."""
     return quality_rules.keep_documents(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate class."""
+    """The document of least id of each near-duplicate class; of rows with equal id and text, one."""
     return near_dedup.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
+    """Documents without a window of the benchmark; an empty benchmark keeps all."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -33,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix."""
+    """Shard and slot of every row of the mix; equal texts share a shard."""
     return sharding.shard(docs)
 
 
