@@ -104,7 +104,9 @@ def failures(m: Callable[[str], Column]) -> Column:
 def ledger(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns, the measurements and ``fail_bits``; one row per row of ``docs``.
 
-    Null and empty texts have zero words and fail ``few_words``; repeated rows give repeated rows.
+    Null and empty texts have zero words and fail ``few_words``; repeated rows give repeated rows; an
+    empty table gives no rows; only ``carry`` and the text are read, and a carried column of a
+    measurement's name is the caller's to rename. Long texts are measured whole, windows by sorting.
     """
     m = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("k"), measurements(F.col(text)).alias("m"))
     flat = m.select("k", "m.w.*", "m.l.*", *[f"m.{c}" for c in ("n_symbols", "n_upper", "n_letters")])
