@@ -49,11 +49,11 @@ def t_tails(t: float, df: float) -> float:
     return part(x, a, b) if x < (a + 1) / (a + b + 2) else 1 - part(1 - x, b, a)
 
 
-def signed_rank_tails(w: float, n: int, ties: bool = False) -> float:
-    """Two-sided p of the smaller signed-rank sum: exact up to 50 pairs without ties, else normal."""
+def signed_rank_tails(w: float, n: int, tie_term: float = 0.0) -> float:
+    """Two-sided p of the smaller signed-rank sum: exact up to 50 pairs without ties, else normal with their correction."""
     if n < 1:
         return math.nan
-    if n <= 50 and not ties:
+    if n <= 50 and tie_term == 0:
         ways = [1]
         for r in range(1, n + 1):
             grown = ways + [0] * r
@@ -61,7 +61,7 @@ def signed_rank_tails(w: float, n: int, ties: bool = False) -> float:
                 grown[i + r] += x
             ways = grown
         return min(1.0, 2 * list(accumulate(ways))[int(w)] / 2**n)
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24
+    mean, var = n * (n + 1) / 4, (n * (n + 1) * (2 * n + 1) - tie_term / 2) / 24
     return min(1.0, 2 * normal_tail((mean - w) / math.sqrt(var)))
 
 
@@ -100,7 +100,10 @@ def _udf(function, n: int):
     def four(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return _each(function, a, b, c, d)
 
-    return F.pandas_udf({1: one, 2: two, 4: four}[n], "double")
+    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return _each(function, a, b, c)
+
+    return F.pandas_udf({1: one, 2: two, 3: three, 4: four}[n], "double")
 
 
 def p_chi2(x: Column, k: int) -> Column:
@@ -111,8 +114,8 @@ def p_t(t: Column, df: Column) -> Column:
     return _udf(t_tails, 2)(t.cast("double"), df.cast("double"))
 
 
-def p_signed_rank(w: Column, n: Column) -> Column:
-    return _udf(lambda a, b: signed_rank_tails(a, int(b), a != int(a)), 2)(w.cast("double"), n.cast("double"))
+def p_signed_rank(w: Column, n: Column, tie_term: Column) -> Column:
+    return _udf(lambda a, b, c: signed_rank_tails(a, int(b), c), 3)(*[x.cast("double") for x in (w, n, tie_term)])
 
 
 def p_rank_sum_less(u: Column, n1: Column, n2: Column, tie_term: Column) -> Column:

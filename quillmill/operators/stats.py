@@ -35,8 +35,8 @@ def wilcoxon_signed_rank(pairs: DataFrame, keys: list[str], digits: int = 12) ->
     d = pairs.select(*keys, F.round("d", digits).alias("d")).filter("d <> 0").withColumn("size", F.abs("d"))
     ranks = same(d, average_ranks(d, keys, "size"), [*keys, "size"])
     of = lambda test: F.sum(F.when(test, F.col("rank")).otherwise(0.0))
-    out = ranks.groupBy(*keys).agg(F.count("*").alias("n"), F.least(of(F.col("d") > 0), of(F.col("d") < 0)).alias("w"))
-    return out.withColumn("p", p_signed_rank(F.col("w"), F.col("n")))
+    out = ranks.groupBy(*keys).agg(F.count("*").alias("n"), F.least(of(F.col("d") > 0), of(F.col("d") < 0)).alias("w"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tie"))
+    return out.select(*keys, "n", "w", p_signed_rank(F.col("w"), F.col("n"), F.col("tie")).alias("p"))
 
 
 def mcnemar(df: DataFrame, keys: list[str], item: str, member: str, correct: str) -> DataFrame:

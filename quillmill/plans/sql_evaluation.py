@@ -147,9 +147,9 @@ ORACLES: dict[str, str] = {
  s AS (SELECT *, CASE WHEN c+d=0 THEN 0e0 ELSE (abs(c-d)-1)*(abs(c-d)-1)*1e0/(c+d) END AS x FROM j) SELECT experiment, seed, model_a, model_b, c AS only_a, d AS only_b, round(x,6) AS statistic, round(CASE WHEN c+d=0 THEN 1e0 ELSE 2*{_normal_tail('sqrt(x)')} END,6) AS p FROM s""",
     "paired_ttest": f"""{HEAD}, {PAIRS}, t AS (SELECT model, metric, count(*) AS n, avg(b) AS bm, avg(a) AS am, avg(d) AS dm, avg(d)/nullif(stddev_samp(d)/sqrt(count(*)*1e0),0) AS t FROM pairs GROUP BY model, metric)
  SELECT model, metric, n, round(bm,6) AS b_mean, round(am,6) AS a_mean, round(dm,6) AS difference, round(t,4) AS t, round(1-abs(t)/sqrt(2+t*t),4) AS p FROM t""",
-    "wilcoxon_signed_rank": f"""{HEAD}, {PAIRS}, k AS (SELECT model, metric, round(d,12) AS d, rank() OVER (PARTITION BY model, metric ORDER BY abs(round(d,12))) + (count(*) OVER (PARTITION BY model, metric, abs(round(d,12)))-1)/2e0 AS r FROM pairs WHERE round(d,12)<>0),
- s AS (SELECT model, metric, count(*) AS n, least(sum(CASE WHEN d>0 THEN r ELSE 0e0 END), sum(CASE WHEN d<0 THEN r ELSE 0e0 END)) AS w FROM k GROUP BY model, metric)
- SELECT model, metric, n, round(w,6) AS w, round(least(1e0, 2e0*len(list_filter(range(0, CAST(pow(2,n) AS BIGINT)), lambda m: list_sum(list_transform(range(0,n), lambda i: (i+1)*((m>>i)&1))) <= w))/pow(2,n)),6) AS p FROM s""",
+    "wilcoxon_signed_rank": f"""{HEAD}, {PAIRS}, k AS (SELECT model, metric, round(d,12) AS d, count(*) OVER (PARTITION BY model, metric, abs(round(d,12))) AS t, rank() OVER (PARTITION BY model, metric ORDER BY abs(round(d,12))) + (count(*) OVER (PARTITION BY model, metric, abs(round(d,12)))-1)/2e0 AS r FROM pairs WHERE round(d,12)<>0),
+ s AS (SELECT model, metric, count(*) AS n, sum(t*t-1) AS tie, least(sum(CASE WHEN d>0 THEN r ELSE 0e0 END), sum(CASE WHEN d<0 THEN r ELSE 0e0 END)) AS w FROM k GROUP BY model, metric)
+ SELECT model, metric, n, round(w,6) AS w, round(CASE WHEN tie>0 THEN least(1e0, 2*{_normal_tail('((n*(n+1)/4e0-w)/sqrt((n*(n+1)*(2*n+1)-tie/2e0)/24))')}) ELSE least(1e0, 2e0*len(list_filter(range(0, CAST(pow(2,n) AS BIGINT)), lambda m: list_sum(list_transform(range(0,n), lambda i: (i+1)*((m>>i)&1))) <= w))/pow(2,n)) END,6) AS p FROM s""",
     "canonical_group": f"WITH {SCREEN} SELECT raw_group, grp, group_rank, count(*) AS n, coalesce(group_rank,99) AS sort_key FROM named GROUP BY raw_group, grp, group_rank",
     "ensemble_signal": f"WITH {SCREEN} SELECT filename, roi, grp, round(p,6) AS p, round(epistemic,6) AS epistemic, round(confidence,6) AS confidence, round(entropy,6) AS entropy FROM screen",
     "group_screening_summary": f"WITH {SCREEN} SELECT grp, group_rank, count(*) AS n, round(avg(p),6) AS mean_p, round(stddev_pop(p),6) AS std_p, round(avg(p)-196e-2*stddev_samp(p)/sqrt(count(*)*1e0),6) AS ci_low, round(avg(p)+196e-2*stddev_samp(p)/sqrt(count(*)*1e0),6) AS ci_high, round(median(p),6) AS median_p, round(avg(confidence),6) AS mean_confidence, round(avg(entropy),6) AS mean_entropy, round(avg(epistemic),6) AS mean_epistemic, round(1e2*avg(CASE WHEN p>=5e-1 THEN 1e0 ELSE 0e0 END),6) AS percent_positive FROM screen GROUP BY grp, group_rank",

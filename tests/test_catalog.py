@@ -25,7 +25,7 @@ def plain(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("name", ["classification_metrics", "ece_mce", "reliability_bins", "roc_auc", "youden_threshold", "mcnemar", "kruskal_wallis", "group_screening_summary", "dedup_by_content", "pool_real", "selection_scores", "mahalanobis_ood"])
+@pytest.mark.parametrize("name", ["classification_metrics", "ece_mce", "reliability_bins", "roc_auc", "youden_threshold", "mcnemar", "kruskal_wallis", "group_screening_summary", "dedup_by_content", "pool_real", "selection_scores", "mahalanobis_ood", "hash_holdout", "stratified_group_split", "mann_whitney_adjacent", "wilcoxon_signed_rank", "prdc", "feature_separation", "ema_by_key_stream", "score_stream", "training_history_table"])
 def test_matches_oracle(spark, oracle, name):
     df, want = catalog.queries()[name](spark, DIR), oracle.sql(catalog.oracles()[name])
     cols = sorted(df.columns)
