@@ -39,7 +39,10 @@ KINDS = (*PATTERNS, "term")
 CONTEXT = 60
 MIN_TEXTS = 3
 DISCLOSURE = 0.8
-BROADCAST_TERMS = 100_000
+#: Most terms, as numbers, most copied texts and most texts with their terms that are broadcast.
+BROADCAST_TERMS, BROADCAST_COPIES, BROADCAST_TEXTS = 2_000_000, 500_000, 50_000
+#: One text in this many bounds the counts of common terms before all texts are counted.
+PART = 64
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: Values per block of a running sum.
 BLOCK = 64
@@ -154,10 +157,15 @@ def _candidates(side: Column) -> Column:
     return let(F.array_remove(F.split(side, "[^\\p{L}]+"), ""), of)
 
 
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, broadcast if they are proven few."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def _holding(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(text_key, key): which texts hold which of the terms in ``keys``."""
-    every = docs.select("text_key", F.explode(_term_keys(F.col("text"))).alias("key"))
-    return every.join(F.broadcast(keys) if keys.count() <= BROADCAST_TERMS else keys, "key").distinct()
+    """(text_key, share, key): which rows hold which of the terms in ``keys``."""
+    every = docs.select("text_key", "share", F.explode(_term_keys(F.col("text"))).alias("key"))
+    return every.join(_small(keys, BROADCAST_TERMS), "key")
 
 
 def disclosing_terms(docs: DataFrame, *, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
@@ -176,10 +184,17 @@ def disclosing_terms(docs: DataFrame, *, min_texts: int = MIN_TEXTS, disclosure:
     holders = seen.select("text_key", "entity").distinct()
     often = holders.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= min_texts)
     beside = cut(seen.join(often, "entity").select("entity", "n_entity", F.explode("terms").alias("t")).select("entity", "n_entity", "t.*").distinct())
-    held = cut(_holding(docs, beside.select("key").distinct()))
-    counts = held.groupBy("key").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= min_texts)
+    # each of a text's copies is its share of one text, so texts are counted before anything is shuffled
+    copies = cut(docs.groupBy("text_key").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    shared = docs.join(_small(copies, BROADCAST_COPIES), "text_key", "left").withColumn("share", 1 / F.coalesce("copies", F.lit(1)))
+    # a part of the texts bounds a term's count from below; terms that are too common by that part alone cannot pass
+    wanted = cut(beside.groupBy("key").agg(F.max("n_entity").alias("most")))
+    part = _holding(shared.filter(F.pmod("text_key", F.lit(PART)) == 0), wanted.select("key")).groupBy("key").agg(F.sum("share").alias("least"))
+    wanted = cut(wanted.join(part, "key", "left").filter(disclosure * F.coalesce("least", F.lit(0.0)) <= F.col("most") + 1e-6).select("key"))
+    counts = _holding(shared, wanted).groupBy("key").agg(F.round(F.sum("share")).cast("long").alias("n_term")).filter(F.col("n_term") >= min_texts)
     # a term in more texts than the entity's by that share cannot pass
-    near = beside.join(counts, "key").filter(F.col("n_entity") >= disclosure * F.col("n_term"))
+    near = cut(beside.join(counts, "key").filter(F.col("n_entity") >= disclosure * F.col("n_term")))
+    held = cut(_holding(shared, cut(near.select("key").distinct())).select("text_key", "key").distinct())
     both = held.join(near, "key").join(holders, ["text_key", "entity"])
     both = both.groupBy("key", "term", "entity", "n_term").agg(F.count("*").alias("n_both")).select("key", "term", "entity", "n_both", "n_term")
     found = cut(both.filter((F.col("n_both") >= min_texts) & (F.col("n_both") >= disclosure * F.col("n_term"))))
@@ -204,7 +219,7 @@ def find_personal_data(docs: DataFrame, *, min_texts: int = MIN_TEXTS, disclosur
         return based.select("doc_id", "text", "base", F.col("base").alias("spans"))
     longest = F.sort_array(F.collect_set(F.struct(F.length(F.array_join("term", " ")).alias("n"), "term")), asc=False)
     of_text = held.join(terms, "key").groupBy("text_key").agg(F.transform(longest, lambda t: F.array_join(t["term"], "[^\\p{L}]+")).alias("terms"))
-    both = based.join(of_text, "text_key", "left")
+    both = based.join(_small(cut(of_text), BROADCAST_TEXTS), "text_key", "left")
     pattern = F.concat(F.lit("(?iu)(?<![\\p{L}])(?:"), F.array_join("terms", "|"), F.lit(")(?![\\p{L}])"))
     added = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", _matches(F.col("text"), pattern, len(PATTERNS), "term"))))
     return both.select("doc_id", "text", "base", added.alias("spans"))
