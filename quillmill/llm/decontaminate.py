@@ -111,7 +111,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, broadcast_bytes: int
         hits = hits.filter(run_of(F.col("w"), start - F.col("low")) == F.col("theirs"))
         hits = hits.select("id_key", "text_hash", "window", start.alias("start"), "span")
     spots = F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("span") - 1))))
-    of_doc = hits.groupBy("id_key", "text_hash").agg(F.size(spots).cast("long").alias("n_hit"), F.collect_set("window").alias("windows"))
+    # few documents are hit; they are found once and looked up twice
+    of_doc = cut(hits.groupBy("id_key", "text_hash").agg(F.size(spots).cast("long").alias("n_hit"), F.collect_set("window").alias("windows")))
     named = known.select("window", F.explode("items").alias("item")).distinct()
     pairs = of_doc.select("id_key", "text_hash", F.explode("windows").alias("window")).join(F.broadcast(named) if small else named, "window")
     found = of_doc.select("id_key", "text_hash", "n_hit").join(pairs.groupBy("id_key", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items")), ["id_key", "text_hash"])
