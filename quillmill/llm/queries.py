@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import decontaminate, html_extract, line_templates, mixing, near_dedup, quality_model, quality_rules, sanitise, sharding, suffix_dedup
+from quillmill.llm import collocations, decontaminate, html_extract, line_templates, mixing, near_dedup, quality_model, quality_rules, sanitise, sharding, suffix_dedup, va_cluster, warc
 from quillmill.llm.sql import ORACLES as ORACLES
 
 
@@ -72,9 +72,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives."""
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op13_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every whole vector."""
+    return va_cluster.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per rule of the production policy: documents that fail it, and those that it alone rejects."""
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_mix, op3_sanitise, op4_line_templates, op5_suffix_dedup, op6_html_extract, op7_shard, op8_quality, op9_decontaminate, op10_quality_rules, quality_rule_ablation)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_mix, op3_sanitise, op4_line_templates, op5_suffix_dedup, op6_html_extract, op7_shard, op8_quality, op9_decontaminate, op10_quality_rules, op11_collocations, op12_warc, op13_cluster, quality_rule_ablation)}

@@ -35,4 +35,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 O
 
 RULE_ABLATION = f"WITH q AS ({QUALITY_RULES}), u AS (SELECT fail_bits & 55 AS bits FROM q), r AS (SELECT * FROM (VALUES ('few_words',1),('repeated_words',2),('symbols',4),('capitals',16),('word_length',32)) r(rule, bit)) SELECT rule, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits = bit) AS n_only FROM u CROSS JOIN r GROUP BY rule"
 
-ORACLES = {"op1_near_dedup": NEAR_DEDUP, "op2_mix": MIX, "op9_decontaminate": DECONTAMINATE, "op10_quality_rules": QUALITY_RULES, "quality_rule_ablation": RULE_ABLATION}
+_PIECES = r"regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')"
+COLLOCATIONS = rf"""WITH d AS (SELECT coalesce(lang,'und') AS lang, unnest({_PIECES}) AS p FROM documents), w AS (SELECT lang, regexp_extract_all(p,'[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w)-k+2), lambda j: array_to_string(w[j:j+k-1],' '))) AS g FROM w CROSS JOIN (VALUES (1),(2),(3)) t(k) WHERE len(w)>=k), f AS MATERIALIZED (SELECT lang, k, g, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, k, g),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k=1 GROUP BY lang), c AS MATERIALIZED (SELECT lang, k, g, f AS a, string_split(g,' ') AS p FROM f WHERE k>1 AND f>=10),
+h AS MATERIALIZED (SELECT lang, k, g, a, j, array_to_string(p[1:j],' ') AS lp, array_to_string(p[j+1:k],' ') AS rp FROM (SELECT *, unnest(range(1,k)) AS j FROM c) t),
+cut AS (SELECT h.lang, h.g, h.k, a, l.f AS l, r.f AS r, j, (1000000*a*a)//(l.f*r.f) AS score FROM h JOIN f l ON l.lang=h.lang AND l.g=h.lp JOIN f r ON r.lang=h.lang AND r.g=h.rp),
+low AS (SELECT lang, g, k, any_value(a) AS a, min_by(l, score*10+j) AS l, min_by(r, score*10+j) AS r, min(score) AS score FROM cut GROUP BY lang, g, k),
+o AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, array_to_string(p[1:2],' ') AS g, a FROM c WHERE k=3 UNION ALL SELECT lang, array_to_string(p[2:3],' ') AS g, a FROM c WHERE k=3) t GROUP BY lang, g),
+x AS (SELECT low.*, low.g AS phrase FROM low LEFT JOIN o ON o.lang=low.lang AND o.g=low.g WHERE o.a IS NULL OR 100*o.a<50*low.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM x)
+SELECT r.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM r JOIN n ON n.lang=r.lang WHERE rank<=2000"""
+
+WARC = """WITH p AS (SELECT page_id, url, encode(coalesce(html,'')) AS b FROM pages), d AS (SELECT page_id, url, octet_length(b) AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS head FROM p), t AS (SELECT *, n>=1000 AND head IS NOT NULL AND page_id IS DISTINCT FROM head AS again FROM d)
+SELECT page_id, url AS target_uri, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN head END AS refers_to, true AS verified FROM t"""
+
+
+def _centroids(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """A step per round: distances to all centroids, the nearest, floors of the means."""
+    steps = [
+        f"""WITH s AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS i, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE)*256) AS BIGINT)) AS v FROM embeddings WHERE len(embedding)={dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))={dim})""",
+        f"e AS MATERIALIZED (SELECT i, unnest(range(1,{dim + 1})) AS d, unnest(v) AS x FROM s)",
+        f"c0 AS MATERIALIZED (SELECT c, unnest(range(1,{dim + 1})) AS d, unnest(v) AS x FROM (SELECT row_number() OVER (ORDER BY sha256('2:'||vec_id), v)-1 AS c, v FROM s) t WHERE c<{k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"n{r} AS MATERIALIZED (SELECT i, min_by(c, m*1000+c) AS c, min(m) AS m FROM (SELECT i, c, sum((e.x-k.x)*(e.x-k.x)) AS m FROM e JOIN c{r} k USING (d) GROUP BY i, c) t GROUP BY i)")
+        if r < rounds:
+            steps.append(f"u{r} AS (SELECT c, d, sum(x) AS s, count(*) AS q FROM e JOIN n{r} USING (i) GROUP BY c, d), c{r + 1} AS MATERIALIZED (SELECT k.c, k.d, CASE WHEN q IS NULL THEN k.x ELSE CAST((s-((s%q)+q)%q)//q AS BIGINT) END AS x FROM c{r} k LEFT JOIN u{r} USING (c, d))")
+    last = f"SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(m AS BIGINT) AS distance, CAST(sum(m) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(m) OVER () AS BIGINT) AS inertia, h AS centroid_sha256 FROM n{rounds} JOIN s USING (i) JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY c) t USING (c)"
+    return ", ".join(steps) + " " + last
+
+
+CENTROIDS = _centroids()
+
+ORACLES = {"op1_near_dedup": NEAR_DEDUP, "op2_mix": MIX, "op9_decontaminate": DECONTAMINATE, "op10_quality_rules": QUALITY_RULES, "quality_rule_ablation": RULE_ABLATION, "op11_collocations": COLLOCATIONS, "op12_warc": WARC, "op13_cluster": CENTROIDS}
