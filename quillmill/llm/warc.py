@@ -236,9 +236,11 @@ class WarcReader(DataSourceReader):
             names = [root]
         else:
             names = [x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.path.endswith((".warc", ".warc.gz"))]
-        return [InputPartition(n) for n in names]
+        return [InputPartition(n) for n in names or [None]]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition is None or partition.value is None:  # no archives
+            return
         fs, _ = _filesystem(self.path)
         schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("chunk_no", pa.int32()), ("data", pa.binary()), ("position", pa.int64()), ("running_digest", pa.string()), ("is_last", pa.bool_())])
         rows, held = [], 0
