@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.columns import safe_divide
 from quillmill.operators.running import running_sums, same
-from quillmill.storage import cut
+from quillmill.storage import cut, written
 
 OVERALL = ("accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted", "specificity_macro", "mcc", "kappa")
 
@@ -93,7 +93,9 @@ def reliability_bins(df: DataFrame, keys: list[str], label: str, score: str, bin
 
 
 def _scores(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    return df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos"))
+    """Stored (keys, threshold, n, pos): each distinct score with its rows and its positive rows."""
+    kinds = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos"))
+    return written(kinds, "scores")
 
 
 def roc_auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
@@ -153,26 +155,39 @@ def youden_threshold(df: DataFrame, keys: list[str], label: str, score: str) ->
 
 
 def per_class_youden(df: DataFrame, keys: list[str], truth: str, scores: dict) -> DataFrame:
-    """(keys, class, threshold, youden) of each class against the rest; 0.5 for a class without both labels."""
+    """(keys, class, threshold, youden) of each class against the rest; 0.5 and null for a class without both labels.
+
+    Thresholds are not held to [0, 1]. Where none beats chance, the threshold is infinite: nothing is of the class.
+    """
     each = F.array(*[F.struct(F.lit(c).alias("class"), (F.col(truth) == F.lit(c)).cast("int").alias("_y"), F.col(s).alias("_p")) for c, s in scores.items()])
-    return youden_threshold(df.select(*keys, F.inline(each)), [*keys, "class"], "_y", "_p")
+    run = [*keys, "class"]
+    curve = roc_curve(df.select(*keys, F.inline(each)), run, "_y", "_p").withColumn("_j", F.col("tpr") - F.col("fpr"))
+    best = curve.groupBy(*run).agg(F.max_by(F.struct("threshold", "_j"), F.struct(F.round("_j", 12), "threshold")).alias("b"), F.count_if(F.col("tpr").isNull() | F.col("fpr").isNull()).alias("_none"))
+    known = F.col("_none") == 0
+    return best.select(*run, F.when(known, F.col("b.threshold")).otherwise(0.5).alias("threshold"), F.when(known, F.col("b._j")).alias("youden"))
 
 
 def mean_roc_on_grid(df: DataFrame, keys: list[str], over: str, label: str, score: str, points: int = 200) -> DataFrame:
-    """(keys, k, fpr, tpr_mean, tpr_std): curves of the runs ``over``, interpolated on a grid and averaged.
+    """(keys, k, fpr_grid, tpr_mean, tpr_std): curves of the runs ``over``, interpolated on a grid and averaged.
 
-    At a repeated FPR the last point counts; the grid's first point is 0.
+    Of the points at one FPR, the last stands to its right and the first to its left; the grid's first
+    point is 0. A curve is reduced to the ends of each grid cell by one aggregation, so what is ordered
+    is ``points`` rows a run, however many scores it has.
     """
-    run = [*keys, over]
-    curve = roc_curve(df, run, label, score).groupBy(*run, "fpr").agg(F.max("tpr").alias("tpr"))
-    ahead = Window.partitionBy(*run).orderBy("fpr")
-    seg = curve.withColumns({"x1": F.lead("fpr").over(ahead), "y1": F.lead("tpr").over(ahead)})
-    last = points - 1
-    cells = seg.withColumns({"_a": F.ceil(F.col("fpr") * last - 1e-9).cast("int"), "_b": F.floor(F.coalesce("x1", F.lit(1.0)) * last + 1e-9).cast("int")}).filter("_a <= _b")
-    hit = cells.withColumn("k", F.explode(F.sequence("_a", "_b"))).withColumn("x", F.col("k") / last)
-    hit = hit.filter((F.col("x") >= F.col("fpr")) & (F.col("x1").isNull() | (F.col("x") < F.col("x1"))))
-    t = F.when(F.col("k") == 0, 0.0).when(F.col("x1").isNull() | (F.col("x1") == F.col("fpr")), F.col("tpr")).otherwise(F.col("tpr") + (F.col("y1") - F.col("tpr")) * (F.col("x") - F.col("fpr")) / (F.col("x1") - F.col("fpr")))
-    return hit.withColumn("t", t).groupBy(*keys, "k", F.col("x").alias("fpr_grid")).agg(F.avg("t").alias("tpr_mean"), F.stddev_pop("t").alias("tpr_std"))
+    run, last = [*keys, over], points - 1
+    guess = F.floor(F.col("fpr") * last).cast("int")
+    cell = F.when((guess + 1) / last <= F.col("fpr"), guess + 1).when(guess / last > F.col("fpr"), guess - 1).otherwise(guess)
+    curve = roc_curve(df, run, label, score).filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull()).withColumn("k", cell)
+    on = F.col("fpr") == F.col("k") / last
+    ends = curve.groupBy(*run, "k").agg(
+        F.max(F.struct("fpr", "tpr")).alias("_left"), F.max(F.when(on, F.col("tpr"))).alias("_on"), F.min(F.when(~on, F.struct("fpr", "tpr"))).alias("_in"), F.min(F.struct("fpr", "tpr")).alias("_first"))
+    grid = same(ends.select(*run).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(last)))), ends, [*run, "k"], "left")
+    up = Window.partitionBy(*run).orderBy("k")  # ``points`` rows
+    grid = grid.withColumns({"_l": F.last("_left", True).over(up.rowsBetween(Window.unboundedPreceding, -1)), "_r": F.coalesce("_in", F.first("_first", True).over(up.rowsBetween(1, Window.unboundedFollowing)))})
+    x = F.col("k") / last
+    between = F.col("_l.tpr") + (F.col("_r.tpr") - F.col("_l.tpr")) * (x - F.col("_l.fpr")) / (F.col("_r.fpr") - F.col("_l.fpr"))
+    t = F.when(F.col("k") == 0, 0.0).when(F.col("_on").isNotNull(), F.col("_on")).when(F.col("_r").isNull(), F.col("_l.tpr")).otherwise(between)
+    return grid.withColumn("t", t).groupBy(*keys, "k", x.alias("fpr_grid")).agg(F.avg("t").alias("tpr_mean"), F.stddev_pop("t").alias("tpr_std"))
 
 
 def fit_temperature(df: DataFrame, keys: list[str], label: str, logits: str, *, low: float = 0.05, high: float = 10.0, points: int = 16, passes: int = 5) -> DataFrame:

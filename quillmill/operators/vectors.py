@@ -2,69 +2,136 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.columns import cosine, diag_mahalanobis, l2_normalize, total
-from quillmill.storage import cut
+from quillmill.operators.cells import cells, kind, meet, stack, wanted_blocks
+from quillmill.storage import cut, written
 
 BLOCK_ROWS = 4096
+CELL_ROWS = 2048
+#: So many pairs of blocks, or fewer, are compared without cells.
+WHOLE_BLOCKS = 4
+NEAR = "qid long, did long, similarity double"
 
 
 def _blocks(df: DataFrame, rows: int) -> int:
     return max(1, -(-df.count() // rows))
 
 
-def knn_join(queries: DataFrame, database: DataFrame, k: int, *, scope: str = "all", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _best(k: int, scope: str):
+    """The k most similar of a part's rows for each query; ties go to the lower id, and a query never meets its own id."""
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("did")
+        s = stack(left["qv"]) @ stack(right["dv"]).T
+        s[left["qid"].to_numpy()[:, None] == right["did"].to_numpy()[None, :]] = -np.inf
+        if scope != "all":
+            own = left["qcls"].to_numpy()[:, None] == right["dcls"].to_numpy()[None, :]
+            s[~own if scope == "own" else own] = -np.inf
+            s[left["qcls"].isna().to_numpy()[:, None] | right["dcls"].isna().to_numpy()[None, :]] = -np.inf
+        r = np.round(s, 12)
+        if r.shape[1] > k:
+            # all that reach the k-th value, so that ties are cut by id and not by the partition
+            low = -np.partition(-r, k - 1, axis=1)[:, k - 1]
+            rows, at = np.nonzero(r >= low[:, None])
+            order = np.lexsort((at, -r[rows, at], rows))
+            rows, at = rows[order], at[order]
+            first = np.searchsorted(rows, np.arange(len(left)))
+            some = np.arange(len(rows)) - first[rows] < k
+            rows, at = rows[some], at[some]
+        else:
+            rows, at = np.divmod(np.arange(r.size), r.shape[1])
+        out = pd.DataFrame({"qid": left["qid"].to_numpy()[rows], "did": right["did"].to_numpy()[at], "similarity": s[rows, at]})
+        return out[np.isfinite(out["similarity"])]
+
+    return best
+
+
+def knn_join(
+    queries: DataFrame, database: DataFrame, k: int, *, scope: str = "all", block_rows: int = BLOCK_ROWS, cell_rows: int | None = None, probes: int | None = None, report: list | None = None
+) -> DataFrame:
     """(qid, did, similarity, rnk): the k most similar rows of ``database`` for each query, exactly.
 
     Both sides are (id, cls, v). ``scope`` is all, own (equal classes) or other (all other classes).
-    Each query block meets each database block once, as one matrix product that keeps its best k;
-    a window then merges the bests. Ties go to the lower id; the query's own id is left out.
+    Ties go to the lower id; the query's own id is left out; null classes are in no own or other.
+    A few blocks are compared whole. Larger tables go through cells of ``cell_rows`` rows (see
+    ``cells``): a query meets the cells that may hold one of its k, and ``report`` receives the pairs
+    (query, block) met and those that there are. With ``probes``, it meets its nearest cells alone,
+    so many of them at least: an index, whose recall the caller measures.
     """
+    if cell_rows is None and probes is None and _blocks(queries, block_rows) * _blocks(database, block_rows) <= WHOLE_BLOCKS:
+        return _ranked(_whole(queries, database, _best(k, scope), NEAR, block_rows), k)
+    c = cells(database, by_class=scope != "all", cell_rows=cell_rows or CELL_ROWS)
+    q = queries.select(F.col("id").alias("qid"), F.col("cls").alias("qcls"), F.col("v").cast("array<double>").alias("qv"), kind("cls", c.kinds).alias("kind"))
+    if scope != "all":
+        q = q.filter("qcls IS NOT NULL")
+    asked = written(wanted_blocks(q, c, k, scope, probes=probes or 1), "first-cells")
+    near = meet(asked, c, _best(k, scope), NEAR, block_rows)
+    if probes is None:
+        near = written(near, "first-near")
+        upto = near.groupBy("qid").agg(F.sort_array(F.collect_list("similarity"), asc=False).alias("s")).select("qid", F.get("s", F.lit(k - 1)).alias("least"))
+        rest = q.join(upto, "qid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        again = written(wanted_blocks(rest, c, k, scope, after=True), "more-cells")
+        near = near.unionByName(meet(again, c, _best(k, scope), NEAR, block_rows))
+        asked = asked.unionByName(again)
+    if report is not None:
+        report.append((asked.count(), q.count() * len(c.block)))
+    return _ranked(near, k)
+
+
+def _whole(queries: DataFrame, database: DataFrame, function, schema: str, block_rows: int) -> DataFrame:
+    """``function`` of every block of queries with every block of the database."""
     nq, nd = _blocks(queries, block_rows), _blocks(database, block_rows)
     q = queries.select(F.col("id").alias("qid"), F.col("cls").alias("qcls"), F.col("v").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nd - 1).cast("long"))).alias("db"))
     d = database.select(F.col("id").alias("did"), F.col("cls").alias("dcls"), F.col("v").alias("dv"), F.pmod(F.xxhash64("id"), F.lit(nd)).alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "did": [], "similarity": []}).astype({"qid": "int64", "did": "int64", "similarity": "float64"})
-        right = right.sort_values("did")
-        a, b = np.stack(left["qv"].to_numpy()).astype(np.float64), np.stack(right["dv"].to_numpy()).astype(np.float64)
-        s = a @ b.T
-        own = left["qcls"].to_numpy()[:, None] == right["dcls"].to_numpy()[None, :]
-        s[left["qid"].to_numpy()[:, None] == right["did"].to_numpy()[None, :]] = -np.inf
-        if scope != "all":
-            s[~own if scope == "own" else own] = -np.inf
-        top = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(left)), top.shape[1])
-        out = pd.DataFrame({"qid": left["qid"].to_numpy()[rows], "did": right["did"].to_numpy()[top.ravel()], "similarity": s[rows, top.ravel()]})
-        return out[np.isfinite(out["similarity"])]
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return function(x, y) if len(x) and len(y) else pd.DataFrame({n: [] for n in names})
+
+    return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(run, schema)
 
-    near = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(best, "qid long, did long, similarity double")
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
     place = Window.partitionBy("qid").orderBy(F.round("similarity", 12).desc(), "did")
     return near.withColumn("rnk", F.row_number().over(place)).filter(F.col("rnk") <= k)
 
 
-def similar_pairs(rows: DataFrame, above: float, *, keys: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b), a < b: pairs of rows (id, v) of equal ``keys`` whose similarity is over ``above``, found block by block."""
-    n, keys = _blocks(rows, block_rows), keys or []
-    block = rows.select("id", "v", *keys, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    # a block meets every block that is not before it
-    left = block.select("id", "v", *keys, F.col("own").alias("x"), F.explode(F.sequence("own", F.lit(n - 1))).alias("y"))
-    right = block.select("id", "v", *keys, F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"))
+def knn_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row (wanted, hit, recall): how many of the exact neighbours were found."""
+    both = exact.select("qid", "did").join(found.select("qid", "did", F.lit(1).alias("_hit")), ["qid", "did"], "left")
+    return both.agg(F.count("*").alias("wanted"), F.count("_hit").alias("hit")).withColumn("recall", F.try_divide(F.col("hit"), F.col("wanted")))
+
 
-    def over(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        s = np.stack(a["v"].to_numpy()).astype(np.float64) @ np.stack(b["v"].to_numpy()).astype(np.float64).T
-        i, j = np.nonzero(np.round(s, 12) > above)
-        p, q = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})[p != q].drop_duplicates()
+def similar_pairs(rows: DataFrame, above: float, *, keys: list[str] | None = None, block_rows: int = BLOCK_ROWS, cell_rows: int | None = None) -> DataFrame:
+    """(a, b), a < b: pairs of rows (id, v) of equal ``keys`` whose similarity is over ``above``.
 
-    return left.groupBy(*keys, "x", "y").cogroup(right.groupBy(*keys, "x", "y")).applyInPandas(over, "a long, b long")
+    A row meets the cells whose bound reaches ``above``, and of a cell only higher ids. Rows of one id are
+    not a pair; null keys pair with none.
+    """
+    keys = keys or []
+    kin = F.struct(*keys).cast("string") if keys else F.lit("")
+    sound = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in keys], F.lit(True))
+    own = rows.filter(sound).select("id", kin.alias("cls"), "v")
+
+    def over(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        s = np.round(stack(x["qv"]) @ stack(y["dv"]).T, 12) > above
+        s &= (x["qid"].to_numpy()[:, None] < y["did"].to_numpy()) & (x["qcls"].to_numpy()[:, None] == y["dcls"].to_numpy())
+        i, j = np.nonzero(s)
+        return pd.DataFrame({"a": x["qid"].to_numpy()[i], "b": y["did"].to_numpy()[j]}).drop_duplicates()
+
+    if cell_rows is None and _blocks(own, block_rows) ** 2 <= WHOLE_BLOCKS:
+        return _whole(own, own, over, "a long, b long", block_rows)
+    c = cells(own, by_class=bool(keys), cell_rows=cell_rows or CELL_ROWS)
+    q = own.select(F.col("id").alias("qid"), F.col("cls").alias("qcls"), F.col("v").cast("array<double>").alias("qv"), kind("cls", c.kinds).alias("kind"), F.lit(float(above)).alias("least"))
+    asked = written(wanted_blocks(q, c, -1, "own" if keys else "all", probes=0, after=True), "similar-cells")
+    return meet(asked, c, over, "a long, b long", block_rows)
 
 
 def block_pairs(left: DataFrame, right: DataFrame, function, schema: str, *, keys: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -126,10 +126,10 @@ ORACLES: dict[str, str] = {
     "roc_curve": f"WITH {PRED}, {CURVE} SELECT {RUN}, round(threshold, 9) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM curve UNION ALL SELECT DISTINCT {RUN}, CAST('inf' AS DOUBLE), 0e0, 0e0 FROM pred",
     "per_class_youden": f"""WITH {PRED.replace('pred AS', 'base AS', 1)}, {TWO}, parts AS (SELECT 1 AS label, {RUN}, y, p FROM two UNION ALL SELECT 0, {RUN}, 1-y, q FROM two),
  c AS (SELECT label, {RUN}, p, sum(sum(y)) OVER w*1e0/sum(sum(y)) OVER (PARTITION BY label, {RUN}) - sum(count(*)-sum(y)) OVER w*1e0/sum(count(*)-sum(y)) OVER (PARTITION BY label, {RUN}) AS j FROM parts GROUP BY label, {RUN}, p WINDOW w AS (PARTITION BY label, {RUN} ORDER BY p DESC)),
- b AS (SELECT *, row_number() OVER (PARTITION BY label, {RUN} ORDER BY round(j,12) DESC, p DESC) AS rn FROM c) SELECT {RUN}, label, round(least(1e0,greatest(0e0,p)),6) AS threshold, round(j,6) AS youden FROM b WHERE rn=1""",
+ b AS (SELECT *, row_number() OVER (PARTITION BY label, {RUN} ORDER BY round(j,12) DESC, p DESC) AS rn FROM (SELECT label, {RUN}, p, j FROM c UNION ALL SELECT DISTINCT label, {RUN}, CAST('Infinity' AS DOUBLE), 0e0 FROM c) u) SELECT {RUN}, label, round(p,6) AS threshold, round(j,6) AS youden FROM b WHERE rn=1""",
     "mean_roc_on_grid": f"""WITH {PRED}, {CURVE}, grid AS (SELECT CAST(g AS INT) AS k, g/199e0 AS x FROM range(0,200) t(g)),
- pts AS (SELECT {RUN}, fpr, max(tpr) AS tpr FROM (SELECT {RUN}, fpr, tpr FROM curve UNION ALL SELECT DISTINCT {RUN}, 0e0, 0e0 FROM curve) u GROUP BY {RUN}, fpr),
- seg AS (SELECT {RUN}, fpr AS x0, tpr AS y0, lead(fpr) OVER w AS x1, lead(tpr) OVER w AS y1 FROM pts WINDOW w AS (PARTITION BY {RUN} ORDER BY fpr)),
+ pts AS (SELECT {RUN}, fpr, max(tpr) AS tpr, min(tpr) AS low FROM (SELECT {RUN}, fpr, tpr FROM curve UNION ALL SELECT DISTINCT {RUN}, 0e0, 0e0 FROM curve) u GROUP BY {RUN}, fpr),
+ seg AS (SELECT {RUN}, fpr AS x0, tpr AS y0, lead(fpr) OVER w AS x1, lead(low) OVER w AS y1 FROM pts WINDOW w AS (PARTITION BY {RUN} ORDER BY fpr)),
  hit AS (SELECT s.model, s.experiment, s.seed, g.k, CASE WHEN g.k=0 THEN 0e0 WHEN s.x1 IS NULL THEN s.y0 ELSE s.y0+(s.y1-s.y0)*(g.x-s.x0)/(s.x1-s.x0) END AS t FROM seg s JOIN grid g ON g.x>=s.x0 AND (s.x1 IS NULL OR g.x<s.x1))
  SELECT model, experiment, k, round(avg(t), 5) AS tpr_mean, round(stddev_pop(t), 5) AS tpr_std FROM hit GROUP BY model, experiment, k""",
     "temperature_grid": f"""WITH {PRED}, t AS (SELECT * FROM (VALUES (0.25e0),(0.5e0),(0.75e0),(1e0),(1.5e0),(2e0),(3e0),(5e0)) t(temp)),

@@ -226,3 +226,42 @@ def test_benchmark_of_five_parts(spark):
     got = {r.model: (r.overall, r.rnk) for r in runs.benchmark_score(df, ["model"]).collect()}
     assert got == {"good": (1.0, 1), "bad": (0.0, 2)}
     assert set(runs.benchmark_tables(runs.benchmark_score(df, ["model"]), ["model"])) == {"overall", "classification", "feature", "calibration", "efficiency"}
+
+
+def test_buckets_stay_even_where_scores_crowd(spark):
+    """99 of 100 of a million scores lie within a millionth of 0 or 1."""
+    from quillmill.operators.running import bucketed
+
+    u, side = F.rand(3), F.col("id") % 2
+    score = F.when(F.col("id") % 100 == 0, u).when(side == 0, u * 1e-6).otherwise(1 - u * 1e-6)
+    rows = spark.range(1_000_000).select(F.lit("a").alias("run"), score.alias("p"))
+    sizes = [r["count"] for r in bucketed(rows, ["run"], ["p"], 50_000).groupBy("_b").count().collect()]
+    assert sum(sizes) == 1_000_000 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_a_class_that_no_threshold_beats_chance_on(spark):
+    from quillmill.operators import metrics
+
+    rows = [("b", 0.9, 0.1), ("b", 0.8, 0.2), ("a", 0.1, 1.3), ("a", 0.2, 1.2)]
+    got = {r["class"]: r for r in metrics.per_class_youden(spark.createDataFrame(rows, "y string, pa double, pb double"), [], "y", {"a": "pa", "b": "pb", "c": "pa"}).collect()}
+    assert got["a"]["threshold"] == float("inf") and got["a"]["youden"] == 0
+    assert got["b"]["threshold"] == float("inf") and got["c"]["threshold"] == 0.5 and got["c"]["youden"] is None
+
+
+def test_mean_curve_is_that_of_interpolation(spark):
+    from quillmill.operators import metrics
+
+    rng = np.random.default_rng(1)
+    rows = [(f, int(y), float(np.round(np.clip(0.5 * y + rng.normal() * 0.4, -1, 2), 2))) for f in range(3) for y in rng.integers(2, size=150)]
+    got = {r["k"]: r for r in metrics.mean_roc_on_grid(spark.createDataFrame(rows, "fold int, y int, p double"), [], "fold", "y", "p", 50).collect()}
+    grid, curves = np.linspace(0, 1, 50), []
+    for f in range(3):
+        y, p = np.array([r[1] for r in rows if r[0] == f]), np.array([r[2] for r in rows if r[0] == f])
+        cuts = np.unique(p)[::-1]
+        fpr = np.concatenate(([0], [(p[y == 0] >= c).mean() for c in cuts]))
+        tpr = np.concatenate(([0], [(p[y == 1] >= c).mean() for c in cuts]))
+        curve = np.interp(grid, fpr, tpr)
+        curve[0] = 0
+        curves.append(curve)
+    np.testing.assert_allclose([got[k]["tpr_mean"] for k in range(50)], np.mean(curves, axis=0), atol=1e-9)
+    np.testing.assert_allclose([got[k]["tpr_std"] for k in range(50)], np.std(curves, axis=0), atol=1e-9)
