@@ -204,7 +204,7 @@ def score_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def metric_histogram(df: DataFrame, keys: list[str], value: str, *, selected: str | None = None, most: int = 30, least: int = 10) -> DataFrame:
     """(keys, [selected,] bin, bins, n): counts per bin; as many bins as distinct values, within bounds; constant keys are left out."""
-    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.approx_count_distinct(value, 0.02).alias("_d")).filter("_hi > _lo")
+    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count_distinct(value).alias("_d")).filter("_hi > _lo")
     bins = F.least(F.lit(most), F.greatest(F.lit(least), F.col("_d"))).cast("int")
     placed = same(df, ends.withColumn("bins", bins), keys)
     at = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("bins")), F.col("bins") - 1).cast("int")

@@ -66,13 +66,13 @@ def quality_features(candidates: DataFrame, real: DataFrame, k: int = 10) -> Dat
     return both.withColumn("margin", F.coalesce(F.col("own_mean") - F.col("other_mean"), F.lit(0.0)))
 
 
-def composite_score(features: DataFrame, keys: list[str], weights: dict[str, float] = WEIGHTS, *, outlier: str | None = None, include_nn_distance: bool = False) -> DataFrame:
+def composite_score(features: DataFrame, keys: list[str], weights: dict[str, float] = WEIGHTS, *, outlier: str | None = None, include_nn_distance: bool = False, inverted: tuple[str, ...] = INVERTED) -> DataFrame:
     """``n_<metric>`` and ``score``: weighted sum over the metrics at hand, times 1 - 0.25 * outlier.
 
-    Weights of absent metrics are spread over the others first.
+    Weights of absent metrics are spread over the others first; less is better of the ``inverted`` ones.
     """
     used = redistribute_weights(weights, set(features.columns))
-    scaled = min_max_norm(features, keys, {m: m in INVERTED for m in used})
+    scaled = min_max_norm(features, keys, {m: m in inverted for m in used})
     terms = [F.coalesce(F.col(f"n_{m}"), F.lit(0.0)) * w for m, w in used.items() if include_nn_distance or m != UNCOUNTED]
     score = sum(terms[1:], terms[0])
     return scaled.withColumn("score", F.round(score * (1 - 0.25 * F.col(outlier)) if outlier else score, 6))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import columns as C
+from quillmill.operators import evaluation as E
 from quillmill.operators import metrics as M
 from quillmill.operators import runs as R
 from quillmill.operators import screening as S
@@ -303,11 +304,19 @@ def ema_by_key(spark, sf_dir):
     return rounded(R.ema_by_key(table(spark, sf_dir, "events"), ["event_type"], "event_id", "value"), 5)
 
 
+def evaluation_pipeline(spark, sf_dir):
+    """The runs' table of the whole evaluation, a row per metric; every third item is for validation."""
+    rows = predictions(spark, sf_dir).withColumn("validation", F.col("filename") % 3 == 0)
+    tables, _ = E.evaluation_pipeline(rows, run=RUN, model="model", condition="experiment", seed="seed", conditions=("Raw", "Raw_SelectedSynthetic"), temperatures=GRID)
+    names = [*M.OVERALL, "roc_auc", "average_precision", "ece", "mce", "brier", "temperature", "threshold", "youden"]
+    return rounded(R.metrics_long(tables["runs"], RUN, names), 5)
+
+
 NAMES = (
     "class_weights confusion_matrix classification_metrics per_class_metrics brier_score ece_mce reliability_bins run_mean_std cv_mean_std mean_confusion pooled_confusion metrics_long cv_summary"
     " cv_comparison rank_models roc_auc roc_auc_macro_micro roc_auc_per_class roc_curve average_precision pr_auc_mean youden_threshold per_class_youden mean_roc_on_grid temperature_grid fit_temperature"
     " apply_threshold hard_examples stratified_pick soft_vote align_predictions mcnemar pair_experiments paired_ttest wilcoxon_signed_rank benchmark_score bench_min_max limitation_flags canonical_group"
     " ensemble_signal group_screening_summary roi_screening_summary spearman_trend kruskal_wallis mann_whitney_adjacent normal_vs_cancer_auc progression_statistics metric_histogram score_correlation"
-    " otsu_by_key best_epoch run_record_rollup min_max_norm ema_by_key"
+    " otsu_by_key best_epoch run_record_rollup min_max_norm ema_by_key evaluation_pipeline"
 )
 QUERIES = {n: globals()[n] for n in NAMES.split()}

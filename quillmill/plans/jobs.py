@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
 
 from quillmill.functions import columns as C
 from quillmill.operators import images as I
+from quillmill.operators import models as U
 from quillmill.operators import screening as S
+from quillmill.operators import selection as L
 from quillmill.operators import vectors as V
 from quillmill.plans import vectors as vector_queries
 from quillmill.plans.fixtures import RUN, classified, history, members, rounded, table, vectors
@@ -49,10 +49,10 @@ def predictions_table(spark, sf_dir):
 
 
 def training_history_table(spark, sf_dir):
-    """Written in two parts that overlap; every epoch is read once."""
+    """Written in two parts that overlap, the second with other, mostly smaller values; every epoch is read once, as last written."""
     path, rows = _place(spark, "history"), history(spark, sf_dir)
     T.append_training_history(rows.filter("epoch <= 20"), path)
-    T.append_training_history(rows.filter("epoch > 10"), path)
+    T.append_training_history(rows.filter("epoch > 10").withColumn("val_f1", F.col("val_f1") / 2), path)
     return rounded(T.training_history_table(spark, path))
 
 
@@ -145,25 +145,40 @@ def softmax(spark, sf_dir):
     return rounded(r.select("id", C.confidence("p").alias("confidence"), C.entropy("p").alias("entropy"), C.argmax_class("p").alias("best")))
 
 
-def embed(spark, sf_dir):
-    """Batch inference of a model from a factory, here halves of the vector added up; results have length one."""
+def _halves():
+    """A fixed projection: the two halves of a vector added up."""
+    return lambda x: x[:, :32] + x[:, 32:]
+
 
-    def make():
-        import numpy as np
+def _city_block():
+    return lambda x, y: abs(x - y).sum(axis=1)
 
-        return lambda x: np.asarray(x[:, :32] + x[:, 32:], np.float32)
 
-    infer = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=256, input_tensor_shapes=[[64]])
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), infer("embedding").alias("e")).withColumn("e", C.l2_normalize("e"))
+def embed(spark, sf_dir):
+    """Batch inference of a model from a factory; results have length one."""
+    e = U.embed(vectors(spark, sf_dir), _halves, "v", 64)
     return e.select("id", F.round(F.col("e")[0], 4).alias("first"), F.round(C.dot("e", "e"), 4).alias("norm"))
 
 
-def pair_metric(spark, sf_dir):
-    """A distance of the user's over each candidate and its nearest real row."""
+def _nearest(spark, sf_dir) -> DataFrame:
+    """Each candidate with its nearest real row, and both vectors."""
     near = V.knn_join(vectors(spark, sf_dir, 1), vectors(spark, sf_dir, 0), 1, scope="own")
     q, d = vectors(spark, sf_dir, 1).select(F.col("id").alias("qid"), F.col("v").alias("a")), vectors(spark, sf_dir, 0).select(F.col("id").alias("did"), F.col("v").alias("b"))
-    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    return rounded(near.join(q, "qid").join(d, "did").select("qid", "did", gap.alias("city_block")))
+    return near.join(q, "qid").join(d, "did").select("qid", "did", "a", "b")
+
+
+def pair_metric(spark, sf_dir):
+    """A distance of the user's over each candidate and its nearest real row."""
+    return rounded(U.pair_metric(_nearest(spark, sf_dir), "a", "b", _city_block, name="city_block").select("qid", "did", "city_block"))
+
+
+def extra_quality_metric(spark, sf_dir):
+    """Scores with a metric of the user's, of which less is better, beside similarity and margin."""
+    features = L.quality_features(vectors(spark, sf_dir, 1), vectors(spark, sf_dir, 0)).select("qid", "cls", "own_mean", "margin")
+    table = U.pair_metric(_nearest(spark, sf_dir), "a", "b", _city_block, name="city_block").select("qid", "city_block")
+    merged, less = U.extra_quality_metrics(features, "qid", {"city_block": (table, True)})
+    weights = {"own_mean": 0.5, "margin": 0.3, "city_block": 0.2}
+    return L.composite_score(merged, ["cls"], weights, inverted=less).select("qid", "cls", F.round("city_block", 6).alias("city_block"), F.round("score", 5).alias("score"))
 
 
 def averaged_views(spark, sf_dir):
@@ -176,6 +191,6 @@ def averaged_views(spark, sf_dir):
 
 NAMES = (
     "embedding_bank class_reference_table predictions_table training_history_table selected_manifest concat_class_results screening_tables materialize_by_fingerprint ema_by_key_stream score_stream"
-    " foreground_box tissue_coverage haar_energy total_variation fluorescence_stats texture_gap grayscale softmax embed pair_metric averaged_views"
+    " foreground_box tissue_coverage haar_energy total_variation fluorescence_stats texture_gap grayscale softmax embed pair_metric extra_quality_metric averaged_views"
 )
 QUERIES = {n: globals()[n] for n in NAMES.split()}

@@ -172,3 +172,16 @@ ORACLES: dict[str, str] = {
     "run_record_rollup": "WITH h AS (SELECT user_id%12 AS run_id, row_number() OVER (PARTITION BY user_id%12 ORDER BY event_id) AS epoch, value/(value+40e0) AS val_f1, 1e0/(1e0+value) AS val_loss FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY val_f1 DESC, val_loss, epoch) AS rn FROM h), b AS (SELECT *, run_id%3 AS grp, run_id*10+5 AS ts FROM r WHERE rn=1) SELECT grp, round(avg(val_f1),6) AS val_f1_mean, round(stddev_pop(val_f1),6) AS val_f1_std, round(avg(val_loss),6) AS val_loss_mean, round(stddev_pop(val_loss),6) AS val_loss_std, round(avg(ts),6) AS train_seconds_mean, round(avg(epoch),6) AS best_epoch_mean, round(avg(ts*1e0/epoch),6) AS epoch_seconds_mean FROM b GROUP BY grp",
     "ema_by_key": "WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, count(*) AS n, round(sum(pow(99e-2, n-i)*CASE WHEN i=1 THEN 1e0 ELSE 1e0-99e-2 END*value),5) AS ema FROM e GROUP BY event_type",
 }
+
+_AT = COUNTS.replace("p>=5e-1", "p>=threshold").replace("p<5e-1", "p<threshold")
+_EVALUATED = [*NAMES, "roc_auc", "average_precision", "ece", "mce", "brier", "temperature", "threshold", "youden"]
+ORACLES["evaluation_pipeline"] = f"""WITH {PRED.replace('pred AS', 'base AS', 1)}, held AS (SELECT *, greatest(least(p,1-1e-12),1e-12) AS c, filename%3=0 AS valid FROM base), split AS (SELECT *, ln(c/(1-c)) AS z FROM held),
+ grid AS (SELECT * FROM (VALUES (0.25e0),(0.5e0),(0.75e0),(1e0),(1.5e0),(2e0),(3e0),(5e0)) t(temperature)), nll AS (SELECT {RUN}, temperature, avg(ln(1e0+exp(-(CASE WHEN y=1 THEN 1e0 ELSE -1e0 END)*z/temperature))) AS nll FROM split CROSS JOIN grid WHERE valid GROUP BY {RUN}, temperature),
+ fit AS (SELECT {RUN}, temperature FROM (SELECT *, row_number() OVER (PARTITION BY {RUN} ORDER BY nll, temperature) AS rn FROM nll) x WHERE rn=1), cal AS (SELECT {RUN}, filename, y, valid, 1/(1+exp(-z/temperature)) AS p FROM split JOIN fit USING ({RUN})),
+ vs AS (SELECT {RUN}, p, count(*) AS n, CAST(sum(y) AS BIGINT) AS pos FROM cal WHERE valid GROUP BY {RUN}, p), vc AS (SELECT *, sum(pos) OVER w*1e0/sum(pos) OVER (PARTITION BY {RUN}) - sum(n-pos) OVER w*1e0/sum(n-pos) OVER (PARTITION BY {RUN}) AS j FROM vs WINDOW w AS (PARTITION BY {RUN} ORDER BY p DESC)),
+ thr AS (SELECT {RUN}, least(1e0, greatest(0e0, p)) AS threshold, j AS youden FROM (SELECT *, row_number() OVER (PARTITION BY {RUN} ORDER BY round(j,12) DESC, p DESC) AS rn FROM vc) x WHERE rn=1), pred AS (SELECT {RUN}, filename, y, p, threshold FROM cal JOIN thr USING ({RUN}) WHERE NOT valid),
+ {_AT}, {METRICS}, {FINAL}, {RANKS}, {BINS}, edged AS (SELECT {RUN}, conf, hit, greatest(CAST(ceil(conf*10) AS INT)-1, 0) AS b FROM bin), each AS (SELECT {RUN}, b, count(*) AS n, avg(conf) AS c, avg(hit) AS a FROM edged GROUP BY {RUN}, b),
+ e AS (SELECT {RUN}, sum(n*abs(a-c))/sum(n) AS ece, max(abs(a-c)) AS mce FROM each GROUP BY {RUN}), br AS (SELECT {RUN}, avg((p-y)*(p-y)) AS brier FROM pred GROUP BY {RUN}),
+ cum2 AS (SELECT *, sum(pos) OVER w*1e0 AS tp, sum(n) OVER w*1e0 AS k, sum(pos) OVER (PARTITION BY {RUN})*1e0 AS np FROM scores WINDOW w AS (PARTITION BY {RUN} ORDER BY p DESC)), ap AS (SELECT {RUN}, sum(pos/np*tp/k) AS average_precision FROM cum2 GROUP BY {RUN}),
+ runs AS (SELECT * FROM final JOIN auc USING ({RUN}) JOIN e USING ({RUN}) JOIN br USING ({RUN}) JOIN ap USING ({RUN}) JOIN fit USING ({RUN}) JOIN thr USING ({RUN}))
+ {" UNION ALL ".join(f"SELECT {RUN}, '{m}' AS metric, round({m},5) AS value FROM runs" for m in _EVALUATED)}"""

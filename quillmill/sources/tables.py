@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,15 +74,17 @@ def concat_class_results(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def append_training_history(df: DataFrame, path: str) -> None:
-    require_columns(df, {"run_id", "epoch"}).write.mode("append").parquet(path)
+def append_training_history(df: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add epochs; ``batch`` numbers the write, by default with the time."""
+    numbered = require_columns(df, {"run_id", "epoch"}).withColumn("_batch", F.lit(time.time_ns() if batch is None else batch).cast("long"))
+    numbered.write.mode("append").parquet(path)
 
 
 def training_history_table(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run and epoch: the last written in column order where an epoch was written twice."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in ("run_id", "epoch")]
-    return rows.groupBy("run_id", "epoch").agg(F.max(F.struct(*values)).alias("v")).select("run_id", "epoch", "v.*")
+    """One row per run and epoch: that of the last write; within one write, the greatest in column order."""
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    values = [c for c in rows.columns if c not in ("run_id", "epoch", "_batch")]
+    return rows.groupBy("run_id", "epoch").agg(F.max(F.struct("_batch", *values)).alias("v")).select("run_id", "epoch", *[F.col(f"v.{c}") for c in values])
 
 
 def write_selection_tables(scores: DataFrame, summary: DataFrame, dataset_metrics: DataFrame, path: str) -> None:
@@ -115,12 +121,50 @@ def fingerprint(files: DataFrame, config: str) -> str:
     return parts.agg(F.sha2(F.concat_ws("|", whole, F.lit(config)), 256).alias("f")).first()["f"]
 
 
-def materialize_by_fingerprint(spark: SparkSession, files: DataFrame, config: str, compute, path: str) -> tuple[DataFrame, bool]:
-    """(result, hit): the stored result if it was made from these files and settings, else ``compute()`` stored anew."""
-    key = fingerprint(files, config)
+COMMIT = "fingerprint string, count long, files long, data string"
+
+
+def _committed(spark: SparkSession, at: str):
+    """The commit record of a stored result, or None."""
+    try:
+        rows = spark.read.schema(COMMIT).json(f"{at}/commit").filter("data IS NOT NULL").collect()  # one row
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows[-1] if rows else None
+
+
+def materialize_by_fingerprint(spark: SparkSession, files: DataFrame, config: str | dict, compute, path: str) -> tuple[DataFrame, bool]:
+    """(result, hit): the stored result if it was made from these files and settings, else ``compute()`` stored anew.
+
+    Settings are text, or a dictionary of whatever the result depends on: model, width and so on; the number
+    of files is part of the fingerprint too. A result is written to a folder of its own and counted, and a
+    commit record that names both is written last. Without the record, or with another count of rows, what
+    lies there is a miss and is made again; nothing of it is read. Every hit leaves a row in ``hits``.
+    """
+    settings = config if isinstance(config, str) else json.dumps(config, sort_keys=True, default=str)
+    n = files.count()
+    key = fingerprint(files, f"{settings}|{n}")
     at = f"{path.rstrip('/')}/{key}"
+    record = _committed(spark, at)
+    if record:
+        stored = spark.read.parquet(f"{at}/{record['data']}")
+        if stored.count() == record["count"]:
+            spark.range(1).select(F.lit(time.time_ns()).alias("at")).write.mode("append").json(f"{at}/hits")
+            return stored, True
+    data = f"data-{uuid.uuid4().hex}"
+    compute().write.parquet(f"{at}/{data}")
+    stored = spark.read.parquet(f"{at}/{data}")
+    spark.createDataFrame([(key, stored.count(), n, data)], COMMIT).coalesce(1).write.mode("overwrite").json(f"{at}/commit")
+    return stored, False
+
+
+def materialized_hits(spark: SparkSession, path: str) -> DataFrame:
+    """(fingerprint, hits): how often each committed result under ``path`` was used again."""
+    made = spark.read.schema(COMMIT).json(f"{path.rstrip('/')}/*/commit").select("fingerprint")
     try:
-        return spark.read.parquet(at), True
+        used = spark.read.schema("at long").json(f"{path.rstrip('/')}/*/hits").select(F.element_at(F.split(F.input_file_name(), "/"), -3).alias("fingerprint"))
     except AnalysisException:
-        compute().write.parquet(at)
-        return spark.read.parquet(at), False
+        return made.withColumn("hits", F.lit(0).cast("long"))
+    return made.join(used.groupBy("fingerprint").agg(F.count("*").alias("hits")), "fingerprint", "left").na.fill(0, ["hits"])
