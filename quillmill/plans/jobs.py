@@ -178,7 +178,7 @@ def extra_quality_metric(spark, sf_dir):
     table = U.pair_metric(_nearest(spark, sf_dir), "a", "b", _city_block, name="city_block").select("qid", "city_block")
     merged, less = U.extra_quality_metrics(features, "qid", {"city_block": (table, True)})
     weights = {"own_mean": 0.5, "margin": 0.3, "city_block": 0.2}
-    return L.composite_score(merged, ["cls"], weights, inverted=less).select("qid", "cls", F.round("city_block", 6).alias("city_block"), F.round("score", 5).alias("score"))
+    return L.composite_score(merged, ["cls"], weights, inverted=less).select("qid", "cls", F.round("city_block", 6).alias("city_block"), "score")
 
 
 def averaged_views(spark, sf_dir):

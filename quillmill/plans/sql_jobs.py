@@ -28,7 +28,7 @@ ORACLES: dict[str, str] = {
     "embed": f"WITH {V.EMB}, h AS (SELECT id, list_transform(range(1,33), lambda i: v[i]+v[i+32]) AS h FROM emb) SELECT id, round(h[1]/sqrt(list_dot_product(h,h)),4) AS first, round(1e0,4) AS norm FROM h",
     "extra_quality_metric": f"""{V.FEATURES}, pm AS ({{pm}}), u AS (SELECT f.qid, f.cls, own_mean, margin, city_block FROM f JOIN pm USING (qid)),
  n AS (SELECT *, min(own_mean) OVER w AS a0, max(own_mean) OVER w AS a1, min(margin) OVER w AS b0, max(margin) OVER w AS b1, min(city_block) OVER w AS c0, max(city_block) OVER w AS c1 FROM u WINDOW w AS (PARTITION BY cls))
- SELECT qid, cls, round(city_block,6) AS city_block, round(5e-1*(own_mean-a0)/(a1-a0)+3e-1*(margin-b0)/(b1-b0)+2e-1*(1-(city_block-c0)/(c1-c0)),5) AS score FROM n""",
+ SELECT qid, cls, round(city_block,6) AS city_block, round(5e-1*(own_mean-a0)/(a1-a0)+3e-1*(margin-b0)/(b1-b0)+2e-1*(1-(city_block-c0)/(c1-c0)),6) AS score FROM n""",
     "averaged_views": f"WITH {V.EMB}, p AS (SELECT id, list_avg(list_transform(range(0,4), lambda i: 1/(1+exp(v[i*2+1]-v[i*2+2])))) AS p FROM emb) SELECT id, round(p,6) AS p, CASE WHEN p>=5e-1 THEN 1 ELSE 0 END AS pred FROM p",
 }
 _CITY = ORACLES["pair_metric"].replace("round(list_sum(", "(list_sum(").replace(",6) AS city_block", ") AS city_block").replace("SELECT qid, did, (", "SELECT qid, (")
