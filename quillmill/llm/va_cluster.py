@@ -224,10 +224,12 @@ def cluster_vectors(
             break
         settled = wanted.join(vectors.select("row", "v"), "row").select("row", "prev", "guess", "open", "v")
         moved = written(settled.mapInArrow(_settle(centroids), "row long, cluster int, n long, sums array<long>"), "va-moved")
-        change = moved.filter("row is null").select("cluster", "n", F.posexplode("sums").alias("d", "x")).groupBy("cluster", "d").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-        for r in change.collect():  # at most k rows a dimension
-            sums[r["cluster"], r["d"]] += r["x"]
-            counts[r["cluster"]] += r["n"] if r["d"] == 0 else 0
+        # rows here are clusters by task, with their sums in one array each
+        added = [F.sum(F.get("sums", F.lit(d))) for d in range(dim)]
+        change = moved.filter("row is null").groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*added).alias("sums"))
+        for r in change.collect():  # at most k rows
+            counts[r["cluster"]] += r["n"]
+            sums[r["cluster"]] += np.array(r["sums"], np.int64)
         some = counts > 0
         centroids = centroids.copy()
         centroids[some] = sums[some] // counts[some, None]
