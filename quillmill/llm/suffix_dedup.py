@@ -22,7 +22,6 @@ of ``PART_BYTES`` of text in step 1, and a piece of ``PIECE_ROWS`` suffixes plus
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,18 +37,12 @@ BITMAP_LOG2 = 27
 PAGES_LOG2 = BITMAP_LOG2 - 16
 #: Text beyond which so much of the bitmap would be set that it prunes nothing; it is then left out.
 BITMAP_BYTES = 64 << 30
-TAG_BITS = 18
 NO_ID = -(1 << 63)
 #: Text per partition, and suffixes per sorted piece.
 PART_BYTES = 16 << 20
 PIECE_ROWS = 20_000
 
 
-def tags(texts: pa.Array) -> np.ndarray:
-    """Low bits of each text's CRC-32; tells rows apart that share a doc_id."""
-    return np.fromiter((zlib.crc32(x.as_buffer()) & ((1 << TAG_BITS) - 1) for x in texts.cast(pa.binary())), np.int64, len(texts))
-
-
 def _slot(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - BITMAP_LOG2)).astype(np.int64)
 
@@ -119,48 +112,49 @@ def _bitmap(spark, texts: DataFrame, buckets: int):
 
 
 def _anchor_rows(bitmap):
-    """(id, text) -> anchors whose key may repeat: key, segment, id, place.
+    """(id, tag, text) -> anchors whose key may repeat: key, segment, id, tag, place.
 
-    ``place`` packs the anchor's byte position, the text's tag and the reach of its segment, so
-    that (id, place) orders anchors as the documents and their bytes are ordered.
+    ``place`` packs the anchor's byte position and the reach of its segment, so that (id, place)
+    orders anchors as the documents and their bytes are ordered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value if bitmap else None
         for batch in batches:
-            ids, tag = batch.column(0).to_numpy(), tags(batch.column(1))
-            for row, data, offsets in chunks(batch.column(1)):
+            ids, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for row, data, offsets in chunks(batch.column(2)):
                 a = anchors(data, offsets)
                 slot = _slot(a["key"])
                 keep = np.arange(len(slot)) if bits is None else np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                 doc, at = a["doc"][keep], a["at"][keep]
                 reach = ((at - a["first"][keep]) << 7) | (at - a["last"][keep])
-                place = ((at - offsets[doc]) << (TAG_BITS + 14)) | (tag[row + doc] << 14) | reach
+                place = ((at - offsets[doc]) << 14) | reach
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a["key"][keep].view(np.int64)), pa.array(a["segment"][keep].view(np.int64)), pa.array(ids[row + doc]), pa.array(place)],
-                    ["key", "segment", "id", "place"],
+                    [pa.array(a["key"][keep].view(np.int64)), pa.array(a["segment"][keep].view(np.int64)), pa.array(ids[row + doc]), pa.array(tag[row + doc]), pa.array(place)],
+                    ["key", "segment", "id", "tag", "place"],
                 )
 
     return run
 
 
-def _places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor position, tag, and how far before it its first and last passages start."""
-    return place >> (TAG_BITS + 14), (place >> 14) & ((1 << TAG_BITS) - 1), (place >> 7) & 127, place & 127
+def _places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor position, and how far before it its first and last passages start."""
+    return place >> 14, (place >> 7) & 127, place & 127
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, [(key, place)]) -> one row per anchor with the bytes on both sides of it."""
+    """(id, tag, text, [(key, place)]) -> one row per anchor with the bytes on both sides of it."""
     for batch in batches:
-        rows = {"key": [], "lead": [], "id": [], "place": [], "left": [], "right": []}
+        rows = {"key": [], "lead": [], "id": [], "tag": [], "place": [], "left": [], "right": []}
         held = 0
-        for doc, text, list_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        for doc, tag, text, list_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
             at = np.fromiter((x["place"].as_py() for x in list_), np.int64)
-            a, _, before, after = _places(at)
+            a, before, after = _places(at)
             for x, pos, b, e, p in zip(list_, a.tolist(), before.tolist(), after.tolist(), at.tolist(), strict=True):
                 rows["key"].append(x["key"].as_py())
                 rows["id"].append(doc)
+                rows["tag"].append(tag)
                 rows["place"].append(p)
                 rows["left"].append(data[pos - b : pos][::-1])
                 rows["right"].append(right := data[pos : pos - e + SPAN])
@@ -173,11 +167,11 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _suffix_batch(rows)
 
 
-SUFFIXES = "key long, lead binary, id long, place long, left binary, right binary"
+SUFFIXES = "key long, lead binary, id long, tag long, place long, left binary, right binary"
 
 
 def _suffix_batch(rows: dict[str, list]) -> pa.RecordBatch:
-    kinds = {"key": pa.int64(), "id": pa.int64(), "place": pa.int64()}
+    kinds = {"key": pa.int64(), "id": pa.int64(), "tag": pa.int64(), "place": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()], list(rows))
 
 
@@ -232,7 +226,7 @@ def _removed(ids, place, left: list[bytes], right: list[bytes]) -> tuple[np.ndar
     equal if their ``offset`` bytes to the left and ``SPAN - offset`` to the right are.
     """
     n = len(ids)
-    at, _, before, after = _places(place)
+    at, before, after = _places(place)
     rank = np.empty(n, np.int64)
     rank[np.lexsort((at, ids))] = np.arange(n)
     # repeated rows of one document are one place
@@ -267,8 +261,8 @@ def _removed(ids, place, left: list[bytes], right: list[bytes]) -> tuple[np.ndar
 SPANS = "id long, tag long, lo long, hi long"
 
 
-def _span_batch(ids, place, row, low, high) -> pa.RecordBatch:
-    at, tag, _, _ = _places(place)
+def _span_batch(ids, tag, place, row, low, high) -> pa.RecordBatch:
+    at, _, _ = _places(place)
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], tag[row], at[row] - high, at[row] - low + SPAN)], ["id", "tag", "lo", "hi"])
 
 
@@ -277,8 +271,8 @@ def _sort_bucket(piece_rows: int):
 
     def sorted_piece(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        ids, place = t["id"].to_numpy(), t["place"].to_numpy()
-        return _span_batch(ids, place, *_removed(ids, place, t["left"].to_pylist(), t["right"].to_pylist()))
+        ids, tag, place = t["id"].to_numpy(), t["tag"].to_numpy(), t["place"].to_numpy()
+        return _span_batch(ids, tag, place, *_removed(ids, place, t["left"].to_pylist(), t["right"].to_pylist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -310,9 +304,9 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes of hot keys -> one row per passage: its digest and where it starts."""
     for batch in batches:
         out = {"digest": [], "id": [], "tag": [], "lo": []}
-        ids, place = batch.column(2).to_pylist(), batch.column(3).to_numpy()
-        at, tag, before, after = (x.tolist() for x in _places(place))
-        for i, (left, right) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+        ids, tag = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        at, before, after = (x.tolist() for x in _places(batch.column(4).to_numpy()))
+        for i, (left, right) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)):
             whole = left[::-1] + right
             for s in range(before[i] - after[i] + 1):
                 out["digest"].append(hashlib.blake2b(whole[s : s + SPAN], digest_size=16).digest())
@@ -362,42 +356,55 @@ def remove_repeats(docs: DataFrame, *, hot: int = 50_000, with_bytes: bool = Fal
     smaller doc_id, or earlier in the same document. ``kept`` holds the bytes left if
     ``with_bytes``, else null. Null and short texts lose nothing; a null doc_id sorts first; rows
     that share a doc_id count as one document, whose positions may coincide and then do not remove
-    each other; rows of one doc_id with different texts are told apart by the texts' CRC. An empty
+    each other; where any doc_id is shared, rows are told apart by 64 bits of their text's hash. An empty
     table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text"))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
+    # ids that are all different need no hash beside them
+    shared = not docs.select(own).groupBy("id").count().filter("count > 1").isEmpty()
+    tag = F.xxhash64(F.coalesce("text", F.lit(""))) if shared else F.lit(0).cast("long")
+    keyed = docs.select(own, tag.alias("tag"), F.col("text"))
+    # what names a row in the shuffles
+    who = ["id", "tag"] if shared else ["id"]
+
+    def thin(df: DataFrame) -> DataFrame:
+        return df if shared else df.drop("tag")
+
+    def full(df: DataFrame, *columns: str) -> DataFrame:
+        return (df if shared else df.withColumn("tag", F.lit(0).cast("long"))).select(*columns)
+
     bitmap = _bitmap(spark, docs.select("text").filter(F.octet_length("text") >= SPAN), parts) if total <= bitmap_bytes else None
-    found = keyed.filter(F.octet_length("text") >= SPAN).mapInArrow(_anchor_rows(bitmap), "key long, segment long, id long, place long")
+    found = thin(keyed.filter(F.octet_length("text") >= SPAN).mapInArrow(_anchor_rows(bitmap), "key long, segment long, id long, tag long, place long"))
 
-    at = F.shiftright("place", TAG_BITS + 14)
-    segments = written(found.groupBy("key", "segment").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")), "segments")
-    doubled = segments.filter("n > 1").select(F.col("key").alias("k"), F.col("segment").alias("s"), F.col("first.id").alias("f_id"), F.shiftright("first.place", TAG_BITS + 14).alias("f_at"))
+    at = F.shiftright("place", 14)
+    segments = written(found.groupBy("key", "segment").agg(F.min(F.struct("id", "place", *who[1:])).alias("first"), F.count("*").alias("n")), "segments")
+    doubled = segments.filter("n > 1").select(F.col("key").alias("k"), F.col("segment").alias("s"), F.col("first.id").alias("f_id"), F.shiftright("first.place", 14).alias("f_at"))
     copies = found.join(doubled, (F.col("key") == F.col("k")) & (F.col("segment") == F.col("s")))
     copies = copies.filter((F.col("id") > F.col("f_id")) | (at > F.col("f_at"))).select(
-        "id",
-        F.shiftright("place", 14).bitwiseAND((1 << TAG_BITS) - 1).alias("tag"),
+        *who,
         (at - F.shiftright("place", 7).bitwiseAND(127)).alias("lo"),
         (at - F.col("place").bitwiseAND(127) + SPAN).alias("hi"),
     )
 
     # the earliest copy of each segment, where a key has several segments
     counts = segments.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    several = segments.select("key", "first.id", "first.place").join(counts, "key")
-    tag_of = F.shiftright("place", 14).bitwiseAND((1 << TAG_BITS) - 1)
-    wanted = several.groupBy("id", tag_of.alias("tag")).agg(F.collect_list(F.struct(F.when(F.col("kinds") > hot, 1).otherwise(0).cast("long").alias("key"), "place")).alias("at"))
-    by_doc = keyed.select("id", F.crc32(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND((1 << TAG_BITS) - 1).alias("tag"), "text").repartition(parts, "id", "tag")
-    suffixes = by_doc.join(wanted, ["id", "tag"]).select("id", "text", "at").mapInArrow(_suffixes, SUFFIXES)
-    cold = suffixes.filter("key = 0").repartitionByRange(parts, "lead").sortWithinPartitions("lead").mapInArrow(_sort_bucket(piece_rows), SPANS)
-
-    passages = suffixes.filter("key <> 0").mapInArrow(_passages, "digest binary, id long, tag long, lo long")
+    several = segments.select("key", *[f"first.{c}" for c in (*who, "place")]).join(counts, "key")
+    wanted = several.groupBy(*who).agg(F.collect_list(F.struct(F.when(F.col("kinds") > hot, 1).otherwise(0).cast("long").alias("key"), "place")).alias("at"))
+    by_doc = thin(keyed).repartition(parts, *who)
+    names = [c.split()[0] for c in SUFFIXES.split(", ")]
+    suffixes = thin(full(by_doc.join(wanted, who), "id", "tag", "text", "at").mapInArrow(_suffixes, SUFFIXES))
+    sorted_ = suffixes.filter("key = 0").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
+    cold = thin(full(sorted_, *names).mapInArrow(_sort_bucket(piece_rows), SPANS))
+
+    passages = thin(full(suffixes.filter("key <> 0"), *names).mapInArrow(_passages, "digest binary, id long, tag long, lo long"))
     first = passages.groupBy("digest").agg(F.min(F.struct("id", "lo")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("digest", "f")
     warm = passages.join(first, "digest").filter((F.col("id") > F.col("f.id")) | ((F.col("id") == F.col("f.id")) & (F.col("lo") > F.col("f.lo"))))
-    warm = warm.select("id", "tag", "lo", (F.col("lo") + SPAN).alias("hi"))
+    warm = warm.select(*who, "lo", (F.col("lo") + SPAN).alias("hi"))
 
     spans = copies.unionByName(cold).unionByName(warm)
-    gathered = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = by_doc.join(gathered, ["id", "tag"], "left").select(F.nullif("id", F.lit(NO_ID)).alias("id"), "text", "spans")
+    gathered = spans.groupBy(*who).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    joined = by_doc.join(gathered, who, "left").select(F.nullif("id", F.lit(NO_ID)).alias("id"), "text", "spans")
     return joined.mapInArrow(_rebuilt(with_bytes), RESULT)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -182,3 +183,22 @@ def test_html(spark):
     pages = spark.createDataFrame([(i, "u", page.replace("Some", f"Some{i}")) for i in range(20)] + [(98, None, None), (99, "u", "")], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
     assert got[3] == "A & B\nSome3 words in a sentence, really.\nMore words in a sentence, too." and got[98] == got[99] == ""
+
+
+@pytest.mark.parametrize("id_", [None, 5])
+def test_suffix_dedup_keeps_apart_texts_of_one_id(spark, id_):
+    """Rows of one id lose what starts earlier under that id or a smaller one, and nothing else."""
+    import zlib
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = word(199)
+    first = word(41) + passage + passage
+    want = zlib.crc32(first.encode()) & 0x3FFFF
+    stem = word(478)
+    # a text of other bytes whose CRC agrees in the low 18 bits
+    other = next(t for t in (stem + f"{i:07d}" for i in range(10_000_000)) if zlib.crc32(t.encode()) & 0x3FFFF == want)
+    rows = [(id_, first), (id_, other), (9, word(300)), (id_, first)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_bytes=True).collect()
+    kept = sorted(bytes(r["kept"]).decode() for r in got)
+    assert kept == sorted([first[:-199], other, rows[2][1], first[:-199]])
