@@ -37,6 +37,8 @@ SCALE = 1_000_000
 FREQUENT, RIGHT, LEFT, RIVAL = 1, 2, 4, 8
 SEED = 42  # of the xxhash64 column function
 NAMES = ("x", "y", "z")
+#: Texts of a batch that are copied out at once.
+TEXTS = 1000
 
 
 def _hashes(words: pa.Array, lang: str) -> np.ndarray:
@@ -103,12 +105,15 @@ def _scan(n: int, flags, keep):
             langs, texts = batch.column(0).dictionary_encode(), batch.column(1)
             codes = langs.indices.to_numpy(zero_copy_only=False)
             for code, lang in enumerate(langs.dictionary.to_pylist()):
-                for tokens in windows(texts.take(pa.array(np.flatnonzero(codes == code)))):
-                    at = tokens.runs(n)
-                    if keep is not None and len(at):
-                        at = keep(flags.value, tokens, _hashes(tokens.words, lang), at)
-                    if len(at):
-                        yield _counted(lang, tokens, at, n)
+                own = np.flatnonzero(codes == code)
+                for i in range(0, len(own), TEXTS):
+                    for tokens in windows(texts.take(pa.array(own[i : i + TEXTS]))):
+                        at = tokens.runs(n)
+                        if keep is not None and len(at):
+                            at = keep(flags.value, tokens, _hashes(tokens.words, lang), at)
+                        if len(at):
+                            yield _counted(lang, tokens, at, n)
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from quillmill.llm.spans import chunks
 
-WINDOW_BYTES = 16 << 20
+WINDOW_BYTES = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 0 within a word, 1 between words, 2 between pieces.
@@ -49,7 +49,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, more: bool) -> Tokens:
     place = np.concatenate(([0], np.cumsum(end - start)))
     joined = np.zeros(len(start), bool)
     if len(start) > 1:
-        piece = np.cumsum(kind == 2, dtype=np.int64)[start]
+        piece = np.searchsorted(np.flatnonzero(kind == 2), start)
         text = np.searchsorted(offsets, start, "right")
         joined[:-1] = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
     values = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(place.astype(np.int64)), pa.py_buffer(_LOWER[data[inside]])])
