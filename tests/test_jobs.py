@@ -181,3 +181,17 @@ def test_selection_and_benchmark_tables_are_written(spark, tmp_path):
     ranked = runs.benchmark_score(spark.createDataFrame([("a", 0.5, 0.1), ("b", 0.7, 0.3)], "model string, accuracy double, brier double"), ["model"])
     tables.write_benchmark_tables(ranked, ["model"], str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b/overall")).count() == 2 and "accuracy" in spark.read.parquet(str(tmp_path / "b/classification")).columns
+
+
+def test_kernel_distance_over_subsets_that_hold_all_rows(spark):
+    """With subsets as large as the classes, each is the unbiased estimate over all rows."""
+    rng = np.random.default_rng(9)
+    sets = {(side, c): rng.normal(size=(20, 4)) + side * c for side in (0, 1) for c in (0, 1)}
+    a, b = (spark.createDataFrame([(100 * c + i, c, [float(x) for x in v]) for c in (0, 1) for i, v in enumerate(sets[(side, c)])], "id long, cls int, v array<double>") for side in (0, 1))
+    got = {r["cls"]: r["distance"] for r in distances.kernel_distance_subsets(a, b, subsets=3, size=24).collect()}
+    for c in (0, 1):
+        x, y = sets[(0, c)], sets[(1, c)]
+        k = lambda p, q: (p @ q.T / 4 + 1) ** 3
+        off = lambda m: (m.sum() - np.trace(m)) / (20 * 19)
+        assert got[c] == pytest.approx(off(k(x, x)) + off(k(y, y)) - 2 * k(x, y).mean())
+    assert got[1] > got[0]
