@@ -15,31 +15,49 @@ from quillmill.functions.columns import cos_to_euclid, squared_distance
 from quillmill.operators.running import same
 from quillmill.operators.selection import capped_sample
 from quillmill.operators.vectors import block_pairs, class_reference, class_vectors, knn_join
+from quillmill.storage import written
 
 
 def _stack(x: pd.Series) -> np.ndarray:
     return np.stack(x.to_numpy()).astype(np.float64)
 
 
-def moment_sums(df: DataFrame, v: str = "v") -> DataFrame:
-    """(pos, s): the sums of 1, of each place and of each product of two places, in one row-major list."""
+#: Keys whose sums one task holds before it passes them on.
+HELD_KEYS = 64
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for f in frames:
-            if len(f):
-                x = _stack(f[v])
-                part = np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel()))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pd.DataFrame({"pos": np.arange(len(total)), "s": total})
 
-    return df.select(v).mapInPandas(run, "pos long, s double").groupBy("pos").agg(F.sum("s").alias("s"))
+def moment_sums(df: DataFrame, v: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, pos, s): the sums of 1, of each place and of each product of two places, in one row-major list.
+
+    A task adds its rows up by key and passes on a list per key; rows with a null key are left out.
+    """
+    names = list(keys)
+    sound = df.dropna(subset=names) if names else df
 
+    def out(sums: dict) -> pd.DataFrame:
+        sizes = [len(s) for s in sums.values()]
+        held = {n: np.repeat(np.array([k[i] for k in sums], object), sizes) for i, n in enumerate(names)}
+        return pd.DataFrame(held | {"pos": np.concatenate([np.arange(n) for n in sizes]), "s": np.concatenate(list(sums.values()))})
 
-def mean_vector_moments(df: DataFrame, v: str = "v") -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and covariance (ddof 1). The driver gets a number per pair of places, whatever the rows."""
-    s = np.array([r["s"] for r in moment_sums(df, v).orderBy("pos").collect()])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {}
+        for f in frames:
+            for key, part in f.groupby(names) if names and len(f) else [((), f)] if len(f) else []:
+                x = _stack(part[v])
+                s = np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel()))
+                sums[key] = sums[key] + s if key in sums else s
+                if len(sums) > HELD_KEYS:
+                    yield out(sums)
+                    sums = {}
+        if sums:
+            yield out(sums)
+
+    types = "".join(f"{n} {df.schema[n].dataType.simpleString()}, " for n in names)
+    return sound.select(*names, v).mapInPandas(run, f"{types}pos long, s double").groupBy(*names, "pos").agg(F.sum("s").alias("s"))
+
+
+def _moments(s: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and covariance (ddof 1) from a list of sums."""
     if not len(s):
         return 0, np.zeros(0), np.zeros((0, 0))
     d = int(round((-1 + (1 + 4 * (len(s) - 1)) ** 0.5) / 2))
@@ -47,9 +65,13 @@ def mean_vector_moments(df: DataFrame, v: str = "v") -> tuple[int, np.ndarray, n
     return n, mean, (s[1 + d :].reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1, 1)
 
 
-def frechet_distance(a: DataFrame, b: DataFrame, v: str = "v") -> float | None:
-    """Distance of the two sets as normal distributions, not below 0; None with under two rows on a side."""
-    (n, m, s), (k, o, t) = mean_vector_moments(a, v), mean_vector_moments(b, v)
+def mean_vector_moments(df: DataFrame, v: str = "v") -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and covariance (ddof 1). The driver gets a number per pair of places, whatever the rows."""
+    return _moments(np.array([r["s"] for r in moment_sums(df, v).orderBy("pos").collect()]))
+
+
+def _frechet(a: tuple, b: tuple) -> float | None:
+    (n, m, s), (k, o, t) = a, b
     if min(n, k) < 2:
         return None
     w, q = np.linalg.eigh(s)
@@ -58,6 +80,22 @@ def frechet_distance(a: DataFrame, b: DataFrame, v: str = "v") -> float | None:
     return float(max(0.0, ((m - o) ** 2).sum() + np.trace(s) + np.trace(t) - 2 * root))
 
 
+def frechet_distance(a: DataFrame, b: DataFrame, v: str = "v") -> float | None:
+    """Distance of the two sets as normal distributions, not below 0; None with under two rows on a side."""
+    return _frechet(mean_vector_moments(a, v), mean_vector_moments(b, v))
+
+
+def frechet_by_class(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(cls, frechet) of the two sets (cls, v) in each class that both have; a class's task gets its sums, not its rows."""
+    sums = moment_sums(a, "v", ("cls",)).withColumn("side", F.lit(0)).unionByName(moment_sums(b, "v", ("cls",)).withColumn("side", F.lit(1)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [_moments(pdf[pdf["side"] == i].sort_values("pos")["s"].to_numpy()) for i in (0, 1)]
+        return pd.DataFrame({"cls": pdf["cls"].iloc[:1].to_numpy(), "frechet": [_frechet(*sides)]}) if min(s[0] for s in sides) else pd.DataFrame({"cls": [], "frechet": []})
+
+    return sums.groupBy("cls").applyInPandas(run, f"cls {a.schema['cls'].dataType.simpleString()}, frechet double")
+
+
 def _cubic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T / x.shape[1] + 1) ** 3
 
@@ -82,6 +120,25 @@ def kernel_distance_biased(a: DataFrame, b: DataFrame, *, cap: int = 1000, least
     return both.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "n long, distance double")
 
 
+def kernel_by_class(a: DataFrame, b: DataFrame, *, cap: int = 1000, least: int = 10) -> DataFrame:
+    """(cls, kernel): ``kernel_distance_biased`` of each class that both sets (id, cls, v) have."""
+
+    def drawn(df: DataFrame, side: int) -> DataFrame:
+        return capped_sample(df.select("id", "cls", "v").dropna(subset=["cls"]), ["cls"], "id", cap, place="place").withColumn("side", F.lit(side))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (pdf[pdf["side"] == i].sort_values("place")["v"] for i in (0, 1))
+        n = min(len(x), len(y))
+        if not n:
+            return pd.DataFrame({"cls": [], "kernel": []})
+        x, y = _stack(x[:n]), _stack(y[:n])
+        value = max(0.0, _cubic(x, x).mean() + _cubic(y, y).mean() - 2 * _cubic(x, y).mean()) if n >= least else 0.0
+        return pd.DataFrame({"cls": pdf["cls"].iloc[:1].to_numpy(), "kernel": [value]})
+
+    # a class's sample is bounded by the cap
+    return drawn(a, 0).unionByName(drawn(b, 1)).groupBy("cls").applyInPandas(run, f"cls {a.schema['cls'].dataType.simpleString()}, kernel double")
+
+
 def kernel_distance_subsets(a: DataFrame, b: DataFrame, *, subsets: int = 100, size: int = 24, seed: int = 0) -> DataFrame:
     """(cls, distance): unbiased cubic-kernel MMD of each class, the mean over subsets drawn by hash; both (id, cls, v)."""
 
@@ -113,23 +170,55 @@ def radii(rows: DataFrame, k: int) -> DataFrame:
     return rows.join(far, "id")
 
 
+def _balls(g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    """Of generated and real rows with radii: how many balls of the other side each is in, and whether its own ball is met."""
+    d = np.sqrt(np.maximum(2 - 2 * (_stack(g["v"]) @ _stack(r["v"]).T), 0))
+    in_real = d <= r["r"].to_numpy()[None, :] + 1e-12
+    in_generated = d <= g["r"].to_numpy()[:, None] + 1e-12
+    return pd.DataFrame({
+        "side": np.repeat([0, 1], [len(g), len(r)]), "cls": np.concatenate((g["cls"], r["cls"])), "id": np.concatenate((g["id"], r["id"])),
+        "balls": np.concatenate((in_real.sum(1), in_generated.any(0))), "covered": np.concatenate((np.zeros(len(g), int), in_real.any(0)))})
+
+
+def _shares(met: DataFrame, keys: list[str], k) -> DataFrame:
+    rows = met.groupBy(*keys, "side", "id").agg(F.sum("balls").alias("balls"), F.max("covered").alias("covered"))
+    of = lambda side, x: F.avg(F.when(F.col("side") == side, x))
+    hit = (F.col("balls") > 0).cast("double")
+    out = rows.groupBy(*keys).agg(of(0, hit).alias("precision"), of(1, hit).alias("recall"), of(0, F.col("balls")).alias("_balls"), of(1, F.col("covered")).alias("coverage"))
+    out = same(out, k, keys) if keys else out.withColumn("k", F.lit(k))
+    return out.select(*keys, "precision", "recall", (F.col("_balls") / F.col("k")).alias("density"), "coverage")
+
+
 def prdc(real: DataFrame, generated: DataFrame, k: int = 3) -> DataFrame:
     """One row (precision, recall, density, coverage) over balls to the k-th neighbour; both (id, cls, v), unit vectors."""
     k = max(1, min(k, real.count() - 1, generated.count() - 1))
+    met = block_pairs(radii(generated, k), radii(real, k), _balls, f"side int, cls {real.schema['cls'].dataType.simpleString()}, id long, balls long, covered long")
+    return _shares(met, [], k)
 
-    def meet(g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        d = np.sqrt(np.maximum(2 - 2 * (_stack(g["v"]) @ _stack(r["v"]).T), 0))
-        in_real = d <= r["r"].to_numpy()[None, :] + 1e-12
-        in_generated = d <= g["r"].to_numpy()[:, None] + 1e-12
-        return pd.DataFrame({
-            "side": np.repeat([0, 1], [len(g), len(r)]), "id": np.concatenate((g["id"], r["id"])),
-            "balls": np.concatenate((in_real.sum(1), in_generated.any(0))), "covered": np.concatenate((np.zeros(len(g), int), in_real.any(0)))})
 
-    met = block_pairs(radii(generated, k), radii(real, k), meet, "side int, id long, balls long, covered long")
-    rows = met.groupBy("side", "id").agg(F.sum("balls").alias("balls"), F.max("covered").alias("covered"))
-    of = lambda side, x: F.avg(F.when(F.col("side") == side, x))
-    hit = (F.col("balls") > 0).cast("double")
-    return rows.agg(of(0, hit).alias("precision"), of(1, hit).alias("recall"), (of(0, F.col("balls")) / k).alias("density"), of(1, F.col("covered")).alias("coverage"))
+def prdc_by_class(real: DataFrame, generated: DataFrame, k: int = 3) -> DataFrame:
+    """(cls, precision, recall, density, coverage): ``prdc`` of each class with two rows or more on both sides, in one plan."""
+    sizes = [df.dropna(subset=["cls"]).groupBy("cls").agg(F.count("*").alias(n)) for df, n in ((real, "_r"), (generated, "_g"))]
+    at = sizes[0].join(sizes[1], "cls").filter("_r > 1 AND _g > 1").select("cls", F.least(F.lit(k), F.col("_r") - 1, F.col("_g") - 1).cast("int").alias("k"))
+    at = written(at, "class-k")
+
+    def reach(rows: DataFrame) -> DataFrame:
+        near = knn_join(rows.select("id", "cls", "v"), rows.select("id", "cls", "v"), k, scope="own").select(F.col("qid").alias("id"), "similarity", "rnk")
+        far = near.join(rows.select("id", "cls"), "id").join(at, "cls").filter("rnk = k").select("id", cos_to_euclid("similarity").alias("r"))
+        return rows.select("id", "cls", "v").join(far, "id")
+
+    met = block_pairs(reach(generated), reach(real), _balls, f"side int, cls {real.schema['cls'].dataType.simpleString()}, id long, balls long, covered long", keys=["cls"])
+    return _shares(met, ["cls"], at)
+
+
+def set_distances(real: DataFrame, generated: DataFrame, k: int = 3) -> DataFrame:
+    """(cls, n_real, n_generated, frechet, kernel, precision, recall, density, coverage) of each class that both sets (id, cls, v) have.
+
+    A class with one row on a side has no Frechet distance and no balls: null there.
+    """
+    real, generated = (written(df.select("id", "cls", F.col("v").cast("array<double>").alias("v")), "set") for df in (real, generated))
+    n = real.groupBy("cls").agg(F.count("*").alias("n_real")).join(generated.groupBy("cls").agg(F.count("*").alias("n_generated")), "cls")
+    return n.join(frechet_by_class(real, generated), "cls", "left").join(kernel_by_class(real, generated), "cls", "left").join(prdc_by_class(real, generated, k), "cls", "left")
 
 
 def improved_precision_recall(real: DataFrame, generated: DataFrame, k: int = 3) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.columns import hinge_excess, rel_mse
+from quillmill.operators.distances import moment_sums
 
 SCHEMA = "id string, height int, width int, channels int, data binary"
 
@@ -150,8 +151,11 @@ def texture_gap(described: DataFrame, vectors: DataFrame, kind: str = "set", gen
     places = vectors.select("cls", kind, F.posexplode("v").alias("pos", "x")).groupBy("cls", kind, "pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c])
     stats = places.groupBy("cls", kind).agg(F.concat(in_order("m"), in_order("s")).alias("featstat"))
-    cells = vectors.select("cls", kind, F.col("v"), F.posexplode("v").alias("i", "x")).select("cls", kind, "i", "x", F.posexplode("v").alias("j", "y")).filter("i <= j")
-    gram = cells.groupBy("cls", kind, "i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("g")).groupBy("cls", kind).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "j", "g"))), lambda x: x["g"]).alias("gram"))
+    width = F.floor(F.sqrt(F.size("s")))
+    # after the rows' number and the width sums come width times width products
+    products = moment_sums(vectors, "v", ("cls", kind)).groupBy("cls", kind).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("s"))
+    upper = F.filter(F.slice("s", (width + 2).cast("int"), (width * width).cast("int")), lambda x, at: F.floor(at / width) <= at % width)
+    gram = products.select("cls", kind, F.transform(upper, lambda x: x / F.get("s", F.lit(0))).alias("gram"))
     sets = means.join(stats, ["cls", kind]).join(gram, ["cls", kind])
     a = sets.filter(F.col(kind) == generated).drop(kind)
     b = sets.filter(F.col(kind) == real).select("cls", *[F.col(c).alias(f"r_{c}") for c in ("wavelet", "tv", "fluor", "featstat", "gram")])

@@ -106,8 +106,8 @@ def diverse(scored: DataFrame, vectors: DataFrame, keys: list[str], item: str, t
 
 
 def selection_summary(chosen: DataFrame, keys: list[str], audit: DataFrame, near: float = 0.995) -> DataFrame:
-    """Per key: counts of candidates, of each reason and the means of the selected; ``audit`` has a row per key to join."""
-    means = [F.avg(F.when(F.col("selected"), F.col(m))).alias(f"mean_{m}") for m in ("own_mean", "margin", "score") if m in chosen.columns]
+    """Per key: counts of candidates and of each reason, and means over all candidates; ``audit`` has a row per key to join."""
+    means = [F.avg(m).alias(f"mean_{m}") for m in ("own_mean", "margin", "clip", "lpips", "score") if m in chosen.columns]
     counts = [
         F.count("*").alias("n_generated"), F.count_if("selected").alias("n_selected"), F.count_if(F.col("reason") == "near_duplicate").alias("near_duplicates_removed"),
         F.count_if(F.col("own_max") >= near).alias("near_copies_rejected"), F.count_if(F.col("margin") <= 0).alias("ambiguous_rejected")]
@@ -124,11 +124,12 @@ def best_worst_n(df: DataFrame, keys: list[str], score: str, item: str, n: int =
     return side("best", F.desc(score), F.col(item)).unionByName(side("worst", F.asc(score), F.desc(item)))
 
 
-def capped_sample(df: DataFrame, keys: list[str], item: str, n: int, seed: str = "0") -> DataFrame:
-    """At most ``n`` rows of each key, the lowest by hash of the item: the same rows at any partitioning."""
+def capped_sample(df: DataFrame, keys: list[str], item: str, n: int, seed: str = "0", place: str | None = None) -> DataFrame:
+    """At most ``n`` rows of each key, the lowest by hash of the item: the same rows at any partitioning; ``place`` names their order."""
     order = hash_number(F.concat_ws(":", F.lit(seed), F.col(item).cast("string")))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", item))
-    return df.withColumn("_h", order).withColumn("_r", place).filter(F.col("_r") <= n).drop("_h", "_r")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", item))
+    drawn = df.withColumn("_h", order).withColumn("_r", first).filter(F.col("_r") <= n).drop("_h")
+    return drawn.withColumnRenamed("_r", place) if place else drawn.drop("_r")
 
 
 def class_balanced_draws(df: DataFrame, class_name: str, item: str, n: int, seed: int = 0) -> DataFrame:
@@ -140,28 +141,3 @@ def class_balanced_draws(df: DataFrame, class_name: str, item: str, n: int, seed
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.get(F.array(*[F.lit(x) for x in names]), F.floor(unit("class") * len(names)).cast("int")).alias(class_name), unit("row").alias("_u"))
     draws = draws.join(F.broadcast(sizes), class_name).withColumn("_nth", F.floor(F.col("_u") * F.col("_of")) + 1)
     return draws.join(placed.select(F.col(class_name).alias("_c"), F.col("nth"), item), (F.col(class_name) == F.col("_c")) & (F.col("_nth") == F.col("nth"))).select("draw", class_name, item)
-
-
-def selection_pipeline(
-    candidates: DataFrame, real: DataFrame, *, near: float = 0.995, diversity: float = 0.98, k: int = 10, outliers=None, content: str | None = None
-) -> dict[str, DataFrame]:
-    """Scores with reasons, and the summary, of ``candidates`` (id, cls, v) against ``real`` (id, cls, v).
-
-    With ``content`` both tables have that column; copies of real items and later copies of a candidate
-    are left out first. ``outliers`` maps (id, cls, v) to (id, outlier).
-    """
-    audit = real.groupBy("cls").agg(F.count("*").alias("n_real"))
-    if content:
-        marked = exclude_real_copies(candidates, real, ["cls"], content)
-        own = dedup_by_content(marked.filter("real_copy = 0"), ["cls"], content, ["id"])
-        copies = marked.groupBy("cls").agg(F.sum("real_copy").alias("copies_excluded"), F.count_if(F.col("real_copy") == 0).alias("_own"))
-        left = own.groupBy("cls").agg(F.count("*").alias("_left"))
-        dropped = same(copies, left, ["cls"], "left").select("cls", "copies_excluded", (F.col("_own") - F.coalesce("_left", F.lit(0))).alias("duplicates_excluded"))
-        audit, candidates = same(audit, dropped, ["cls"], "left"), own
-    features = quality_features(candidates.select("id", "cls", "v"), real.select("id", "cls", "v"), k)
-    if outliers:
-        features = features.join(outliers(candidates.select("id", "cls", "v")).select(F.col("id").alias("qid"), "outlier"), "qid", "left")
-    scored = cut(composite_score(features, ["cls"], outlier="outlier" if outliers else None))
-    kept = diverse(scored, candidates.select("id", "v"), ["cls"], "qid", diversity, near=near)
-    chosen = select_top_n(kept, ["cls"], "qid", near=near, real=audit)
-    return {"scores": chosen, "summary": selection_summary(chosen, ["cls"], audit, near)}

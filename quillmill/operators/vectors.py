@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.columns import cosine, diag_mahalanobis, l2_normalize, total
 from quillmill.operators.cells import cells, kind, meet, stack, wanted_blocks
-from quillmill.storage import cut, written
+from quillmill.operators.running import running_sums, same
+from quillmill.storage import written
 
 BLOCK_ROWS = 4096
 CELL_ROWS = 2048
@@ -203,8 +204,17 @@ def prototype_probability(rows: DataFrame, reference: DataFrame, eps: float = 1e
 
 
 def quantile_threshold(df: DataFrame, keys: list[str], score: str, q: float = 0.95) -> DataFrame:
-    """(keys, threshold): the linearly interpolated quantile of validation scores."""
-    return df.groupBy(*keys).agg(F.percentile(score, F.lit(q)).alias("threshold"))
+    """(keys, threshold): the linearly interpolated quantile of validation scores; null scores are left out, a key of them alone has null.
+
+    Distinct scores are counted up in buckets of equal depth, so no task holds all those of a large key.
+    """
+    kinds = written(df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.count("*").alias("_n")), "scores")
+    upto = running_sums(kinds, keys, F.col("_s"), {"_upto": F.col("_n")})
+    sizes = kinds.groupBy(*keys).agg((F.lit(q) * (F.sum("_n") - 1)).alias("_at"))
+    value = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_s")))
+    low, high, share = value(F.floor("_at")), value(F.ceil("_at")), F.first(F.col("_at") - F.floor("_at"))
+    found = same(upto, sizes, keys).groupBy(*keys).agg((low * (1 - share) + high * share).alias("threshold"))
+    return same(df.select(*keys).distinct(), found, keys, "left") if keys else found
 
 
 def ood_rate(df: DataFrame, keys: list[str], score: str, threshold: str, nearest: str, pred: str) -> DataFrame:
@@ -212,20 +222,55 @@ def ood_rate(df: DataFrame, keys: list[str], score: str, threshold: str, nearest
     return df.groupBy(*keys).agg(F.avg((F.col(score) > F.col(threshold)).cast("double")).alias("ood_rate"), F.avg((F.col(nearest) == F.col(pred)).cast("double")).alias("prototype_agreement"))
 
 
-def diversity_filter(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, kept): greedy selection by priority, without walking the rows one by one.
+#: Pairs, about, that one range of priorities holds.
+RANGE_PAIRS = 500_000
+
+
+def _decided(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(pos, kept) of the rows of one range that can be decided: by known better rows, then by one another in order."""
+    known, better = {}, {}
+    for b, w, k in zip(pdf["better"].to_numpy(), pdf["worse"].to_numpy(), pdf["better_kept"].to_numpy(object), strict=True):
+        better.setdefault(w, []).append(b)
+        if k is not None and k == k:
+            known[b] = bool(k)
+    out = []
+    for w in sorted(better):
+        states = [known.get(b) for b in better[w]]
+        if any(states) or None not in states:
+            known[w] = not any(states)
+            out.append((w, known[w]))
+    return pd.DataFrame(out, columns=["pos", "kept"]).astype({"pos": "int64", "kept": "bool"})
+
+
+def diversity_filter(rows: DataFrame, pairs: DataFrame, *, range_pairs: int = RANGE_PAIRS, report: list | None = None) -> DataFrame:
+    """(id, kept): greedy selection by priority, without walking all rows one by one.
 
     ``rows`` is (id, priority), lower first and unique; ``pairs`` (a, b) are rows too alike to keep
-    both. In each round a row with no undecided better neighbour is kept and its neighbours go.
+    both. Rows are dealt to ranges of their priority. In each round every range decides in order what
+    the rows known so far let it decide, and only decisions on rows that others wait for are passed
+    on. As a row waits for better rows alone, the first range that is not done is done after the next
+    round: there are never more rounds than ranges, however long a chain is. ``report`` receives the
+    numbers of rounds and ranges.
     """
-    p = rows.select(F.col("id").alias("i"), "priority")
-    edges = pairs.join(p.select(F.col("i").alias("a"), F.col("priority").alias("pa")), "a").join(p.select(F.col("i").alias("b"), F.col("priority").alias("pb")), "b")
-    worse = cut(edges.select(F.when(F.col("pa") < F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("worse")).distinct())
-    state = cut(rows.select("id", F.lit(None).cast("boolean").alias("kept")))
-    while True:
-        known = state.select(F.col("id").alias("better"), F.col("kept").alias("better_kept"))
-        of = worse.join(known, "better").groupBy(F.col("worse").alias("id")).agg(F.max(F.coalesce("better_kept", F.lit(False))).alias("beaten"), F.max(F.col("better_kept").isNull()).alias("waits"))
-        step = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("beaten", F.lit(False)), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))
-        state = cut(state.join(of, "id", "left").select("id", step.alias("kept")))
-        if state.filter("kept is null").isEmpty():
-            return state
+    pairs = written(pairs.select("a", "b").filter("a <> b"), "alike")
+    ranges = max(1, -(-pairs.count() // range_pairs))
+    # ids that rise with the partition and the place in it
+    ranked = written(rows.repartitionByRange(ranges, "priority").sortWithinPartitions("priority").select("id", F.monotonically_increasing_id().alias("pos")), "ranked")
+    place = lambda side: ranked.select(F.col("id").alias(side), F.col("pos").alias(f"p{side}"))
+    edges = pairs.join(place("a"), "a").join(place("b"), "b").select(F.least("pa", "pb").alias("better"), F.greatest("pa", "pb").alias("worse")).distinct()
+    edges = written(edges, "edges")
+    waiting = edges.select(F.col("worse").alias("better"), F.lit(False).alias("_first")).distinct()
+    # a row that none is better than is kept
+    open_ = written(edges.join(waiting, "better", "left").select("better", "worse", F.coalesce("_first", F.lit(True)).alias("_first")).select("better", "worse", F.when(F.col("_first"), True).alias("better_kept")), "open")
+    gone, rounds = [], 0
+    while not open_.isEmpty():
+        rounds += 1
+        step = written(open_.groupBy(F.shiftright("worse", 33).alias("range")).applyInPandas(_decided, "pos long, kept boolean"), "decided")
+        gone.append(step.filter("NOT kept").select("pos"))
+        left = open_.join(step.select(F.col("pos").alias("worse")), "worse", "left_anti")
+        fresh = step.select(F.col("pos").alias("better"), F.col("kept").alias("_now"))
+        open_ = written(left.join(fresh, "better", "left").select("better", "worse", F.coalesce("better_kept", "_now").alias("better_kept")), "open")
+    if report is not None:
+        report.append((rounds, ranges))
+    dropped = reduce(DataFrame.unionByName, gone, ranked.select("pos").limit(0)).withColumn("kept", F.lit(False))
+    return ranked.join(dropped, "pos", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))

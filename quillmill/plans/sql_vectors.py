@@ -11,14 +11,36 @@ def _knn(test: str, k: int, name: str = "near", query: str = "q.id%2=1", databas
 
 
 PICK = "SELECT qid, did, round(s,6) AS similarity, CAST(rnk AS BIGINT) AS rnk FROM near"
-FEATURES = f"""WITH {EMB}, {_knn('q.cls=d.cls', 10, 'own')}, {_knn('q.cls<>d.cls', 10, 'oth')},
+
+
+def _features(query: str) -> str:
+    return f"""{_knn('q.cls=d.cls', 10, 'own', query)}, {_knn('q.cls<>d.cls', 10, 'oth', query)},
 a AS (SELECT qid, any_value(qcls) AS cls, avg(s) AS own_mean, max(s) AS own_max, min(sqrt(greatest(2-2*s,0))) AS nn_distance, avg(sqrt(greatest(2-2*s,0))) AS density FROM own GROUP BY qid),
 b AS (SELECT qid, avg(s) AS other_mean, max(s) AS other_max FROM oth GROUP BY qid),
 f AS (SELECT a.*, other_mean, other_max, coalesce(own_mean-other_mean,0) AS margin FROM a LEFT JOIN b USING (qid))"""
+
+
+FEATURES = f"WITH {EMB}, {_features('q.id%2=1')}"
 UNIT = """n AS (SELECT *, (own_mean-min(own_mean) OVER c)/(max(own_mean) OVER c-min(own_mean) OVER c) AS n1, (margin-min(margin) OVER c)/(max(margin) OVER c-min(margin) OVER c) AS n2, 1-(density-min(density) OVER c)/(max(density) OVER c-min(density) OVER c) AS n3, NOT (own_max>=0.42 OR margin<=0) AS ok, count(*) OVER c AS nc FROM f WINDOW c AS (PARTITION BY cls)),
 s AS (SELECT *, n1*round(0.266667e0/0.733333e0,6)+n3*round(0.04e0/0.733333e0,6)+n2*round(0.333333e0/0.733333e0,6) AS raw FROM n)"""
-LOF = f"""{_knn('q.cls=d.cls', 20, 'lk', 'q.id%2=1', 'd.id%2=1')}, ld AS (SELECT qid, did, sqrt(greatest(2-2*s,0)) AS d FROM lk), kd AS (SELECT qid, max(d) AS kd FROM ld GROUP BY qid), rd AS (SELECT l.qid, l.did, greatest(kd.kd, l.d) AS rd FROM ld l JOIN kd ON l.did=kd.qid),
+
+
+def _lof(query: str, database: str) -> str:
+    return f"""{_knn('q.cls=d.cls', 20, 'lk', query, database)}, ld AS (SELECT qid, did, sqrt(greatest(2-2*s,0)) AS d FROM lk), kd AS (SELECT qid, max(d) AS kd FROM ld GROUP BY qid), rd AS (SELECT l.qid, l.did, greatest(kd.kd, l.d) AS rd FROM ld l JOIN kd ON l.did=kd.qid),
 lrd AS (SELECT qid, 1/(avg(rd)+1e-10) AS lrd FROM rd GROUP BY qid), lofs AS (SELECT r.qid, avg(o.lrd)/any_value(m.lrd) AS lof FROM rd r JOIN lrd o ON r.did=o.qid JOIN lrd m ON r.qid=m.qid GROUP BY r.qid)"""
+
+
+LOF = _lof("q.id%2=1", "d.id%2=1")
+
+
+def _walk(ordered: str) -> str:
+    """Greedy walk over ``ordered`` (id, cls, i): ids kept so far, a row a step."""
+    return f"""nb AS (SELECT b.id, list(a.id) AS better FROM {ordered} a JOIN {ordered} b ON a.cls=b.cls AND a.i<b.i JOIN emb x ON x.id=a.id JOIN emb y ON y.id=b.id WHERE round(list_dot_product(x.v,y.v),12)>0.33 GROUP BY b.id),
+steps AS (SELECT o.id, o.i, coalesce(nb.better, []) AS better FROM {ordered} o LEFT JOIN nb USING (id)),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT walk.i+1, CASE WHEN list_has_any(walk.kept, s.better) THEN walk.kept ELSE list_append(walk.kept, s.id) END FROM walk JOIN steps s ON s.i=walk.i+1),
+held AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1) t)"""
+
+
 CELLS = "cells AS (SELECT id, cls, generate_subscripts(v,1) AS pos, unnest(v) AS x FROM emb)"
 
 
@@ -29,7 +51,24 @@ def _scored(train: str, eps: str = "0e0") -> str:
 BALLS = f"""{_knn('true', 3, 'rr', 'q.id%2=0', 'd.id%2=0')}, {_knn('true', 3, 'gg', 'q.id%2=1', 'd.id%2=1')}, r1 AS (SELECT qid, max(sqrt(greatest(2-2*s,0))) AS r FROM rr GROUP BY qid), r2 AS (SELECT qid, max(sqrt(greatest(2-2*s,0))) AS r FROM gg GROUP BY qid),
 met AS (SELECT g.id AS g, d.id AS r, sqrt(greatest(2-2*list_dot_product(g.v,d.v),0)) AS d, r1.r AS rr, r2.r AS gr FROM emb g JOIN emb d ON g.id%2=1 AND d.id%2=0 JOIN r1 ON d.id=r1.qid JOIN r2 ON g.id=r2.qid),
 pg AS (SELECT g, count(*) FILTER (d<=rr+1e-12) AS balls FROM met GROUP BY g), pr AS (SELECT r, count(*) FILTER (d<=gr+1e-12) AS balls, count(*) FILTER (d<=rr+1e-12) AS cov FROM met GROUP BY r)"""
+
+CAND = "q.id IN (SELECT id FROM cand)"
+SELECTION = f"""WITH RECURSIVE {EMB}, con AS (SELECT e.id, e.cls, d.text AS content FROM emb e LEFT JOIN documents d ON d.doc_id=CASE WHEN e.id%7=0 THEN e.id%14+14*e.cls ELSE e.id END),
+fresh AS (SELECT c.* FROM con c WHERE id%2=1 AND NOT EXISTS (SELECT 1 FROM con r WHERE r.id%2=0 AND r.cls=c.cls AND r.content IS NOT DISTINCT FROM c.content)),
+cand AS (SELECT id, cls FROM fresh QUALIFY row_number() OVER (PARTITION BY cls, content ORDER BY id)=1), {_features(CAND)}, {UNIT}, {_lof(CAND, CAND.replace('q.', 'd.'))},
+sc AS (SELECT s.*, CASE WHEN lof>1.5 THEN 1e0 ELSE 0e0 END AS outlier, round(raw*(1-0.25e0*CASE WHEN lof>1.5 THEN 1 ELSE 0 END),6) AS score FROM s LEFT JOIN lofs USING (qid)),
+ord AS (SELECT qid AS id, cls, row_number() OVER (ORDER BY cls, score DESC, qid) AS i FROM sc WHERE ok), {_walk('ord')},
+real_n AS (SELECT cls, count(*) AS n_real FROM emb WHERE id%2=0 GROUP BY cls),
+flagged AS (SELECT sc.*, NOT ok OR qid IN (SELECT id FROM held) AS kept, least(greatest(1,floor(nc*0.4)), greatest(1,floor(n_real*0.5))) AS most FROM sc JOIN real_n USING (cls)),
+placed AS (SELECT *, ok AND kept AND row_number() OVER (PARTITION BY cls, ok AND kept ORDER BY score DESC, qid)<=most AS selected FROM flagged),
+chosen AS (SELECT *, CASE WHEN ok AND NOT kept THEN 'near_duplicate' WHEN selected THEN 'top_quality' WHEN margin<=0 THEN 'cross_class_ambiguous' WHEN own_max>=0.42 THEN 'near_real_copy' ELSE 'below_quality_rank' END AS reason FROM placed)"""
 ORACLES: dict[str, str] = {
+    "diversity_filter": f"WITH RECURSIVE {EMB}, ord AS (SELECT id, 0 AS cls, row_number() OVER (ORDER BY id) AS i FROM emb), {_walk('ord')} SELECT id, CAST(id IN (SELECT id FROM held) AS INT) AS kept FROM emb",
+    "selection_pipeline": f"{SELECTION} SELECT qid, cls, outlier, score, CAST(ok AS INT) AS eligible, CAST(kept AS INT) AS kept, CAST(selected AS INT) AS selected, reason FROM chosen",
+    "selection_summary": f"""{SELECTION}, counts AS (SELECT cls, count(*) AS n_generated, count(*) FILTER (selected) AS n_selected, count(*) FILTER (reason='near_duplicate') AS near_duplicates_removed, count(*) FILTER (own_max>=0.42) AS near_copies_rejected,
+ count(*) FILTER (margin<=0) AS ambiguous_rejected, CAST(sum(outlier) AS BIGINT) AS outliers, round(avg(own_mean),5) AS mean_own_mean, round(avg(margin),5) AS mean_margin, round(avg(score),5) AS mean_score FROM chosen GROUP BY cls),
+ lost AS (SELECT c.cls, count(*)-count(f.id) AS copies_excluded, count(f.id)-count(k.id) AS duplicates_excluded FROM con c LEFT JOIN fresh f ON f.id=c.id LEFT JOIN cand k ON k.id=c.id WHERE c.id%2=1 GROUP BY c.cls)
+ SELECT * FROM counts JOIN real_n USING (cls) JOIN lost USING (cls)""",
     "knn_join": f"WITH {EMB}, {_knn('q.cls=d.cls', 10)} {PICK}",
     "nearest_pair": f"WITH {EMB}, {_knn('q.cls=d.cls', 1)} {PICK}",
     "other_class_knn": f"WITH {EMB}, {_knn('q.cls<>d.cls', 10)} {PICK}",

@@ -12,7 +12,8 @@ from quillmill.operators import vectors as V
 from quillmill.operators.outliers import isolation_forest_flag as forest
 from quillmill.operators.outliers import lof_flag as lof
 from quillmill.operators.running import same
-from quillmill.plans.fixtures import rounded, vectors
+from quillmill.operators.selection_job import selection_pipeline as pipeline
+from quillmill.plans.fixtures import rounded, table, vectors
 
 NEAR, DIVERSE = 0.42, 0.33
 
@@ -69,17 +70,33 @@ def selection_scores(spark, sf_dir):
     return chosen.select("qid", "cls", "score", F.col("eligible").cast("int").alias("eligible"), F.col("selected").cast("int").alias("selected"), "reason")
 
 
+def _with_content(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Candidates and real rows, each with a document's text as its content; every seventh id takes another's of its class."""
+    rows = vectors(spark, sf_dir)
+    of = F.when(F.col("id") % 7 == 0, F.col("id") % 14 + 14 * F.col("cls")).otherwise(F.col("id"))
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("content"))
+    held = rows.withColumn("_d", of).join(text, "_d", "left").drop("_d")
+    return held.filter("id % 2 = 1"), held.filter("id % 2 = 0")
+
+
 def _pipeline(spark, sf_dir) -> dict[str, DataFrame]:
-    return L.selection_pipeline(*_both(spark, sf_dir), near=NEAR, diversity=DIVERSE, outliers=lof)
+    return pipeline(*_with_content(spark, sf_dir), near=NEAR, diversity=DIVERSE, outliers=lof, content="content")
 
 
 def selection_pipeline(spark, sf_dir):
+    """Every candidate that is no copy, with its score, what was decided and why."""
     c = _pipeline(spark, sf_dir)["scores"]
-    return rounded(c.select("qid", "cls", "outlier", "score", "eligible", "kept", "selected", "reason"))
+    flags = [F.col(x).cast("int").alias(x) for x in ("eligible", "kept", "selected")]
+    return rounded(c.select("qid", "cls", "outlier", "score", *flags, "reason"))
 
 
 def selection_summary(spark, sf_dir):
-    return rounded(_pipeline(spark, sf_dir)["summary"])
+    return rounded(_pipeline(spark, sf_dir)["summary"], 5)
+
+
+def selection_distances(spark, sf_dir):
+    """Distances of the selected candidates from the real rows, class by class."""
+    return rounded(_pipeline(spark, sf_dir)["distances"])
 
 
 def best_worst_n(spark, sf_dir):
@@ -175,7 +192,7 @@ def pca_2d(spark, sf_dir):
 
 
 NAMES = (
-    "knn_join nearest_pair other_class_knn retrieve_similar l2_normalize quality_features composite_score selection_scores selection_pipeline selection_summary best_worst_n diversity_filter class_prototypes"
+    "knn_join nearest_pair other_class_knn retrieve_similar l2_normalize quality_features composite_score selection_scores selection_pipeline selection_summary selection_distances best_worst_n diversity_filter class_prototypes"
     " mahalanobis_ood prototype_probability ood_rate quantile_threshold lof_flag isolation_forest_flag frechet_distance mean_vector_moments kernel_distance_biased kernel_distance_subsets prdc"
     " improved_precision_recall memorization_check feature_separation pca_2d"
 )
