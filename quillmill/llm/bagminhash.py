@@ -15,7 +15,6 @@ the slots alone.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,11 +118,11 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "id long, crc long, h1 long, h2 long, bands array<long>"
+SKETCH = "id long, key long, h1 long, h2 long, bands array<long>"
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> one row each with a digest of its words and its bands (null without words)."""
+    """(id, text, key) -> one row each with a digest of its words and its bands (null without words)."""
     for batch in batches:
         for row, data, offsets in chunks(batch.column(1), 1 << 20):
             n = len(offsets) - 1
@@ -138,10 +137,8 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = bands(signatures(*counted(*shingles(doc, h)), n))
             words = np.bincount(doc, minlength=n) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(sig.ravel().view(np.int64)), mask=pa.array(~words))
-            raw = data.tobytes()
-            crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)), np.int64, n)
-            ids = batch.column(0).slice(row, n)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(crc), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], ["id", "crc", "h1", "h2", "bands"])
+            ids, key = batch.column(0).slice(row, n), batch.column(2).slice(row, n)
+            yield pa.RecordBatch.from_arrays([ids, key, pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], ["id", "key", "h1", "h2", "bands"])
 
 
 def overlap(texts_a: pa.Array, texts_b: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -32,6 +32,11 @@ SALTS = 16
 OUTSIDERS = 1000
 
 
+def text_key(text: Column) -> Column:
+    """64 bits of a text, which tell apart different texts of one id."""
+    return F.xxhash64(text)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes in ``edges`` (a, b): the least node of its component.
 
@@ -105,19 +110,20 @@ def _most_common(a: str, b: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, crc, class_id, class_size, is_first.
+    """One row per row of ``docs``: doc_id, key, class_id, class_size, is_first.
 
-    ``class_id`` is the least doc_id of the class and ``is_first`` marks its row (equal rows share
+    ``key`` is a 64-bit hash of the text, which tells rows of one id apart. ``class_id`` is the least doc_id of the class and ``is_first`` marks its row (equal rows share
     the mark). Texts of equal words are copies, so all texts without words form one class. A text
     of under five words is one shingle. Null texts count as empty and null ids sort first; an empty
     table gives no rows; other columns are not read.
     """
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
-    keyed = docs.select(ids, F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(ids, text.alias("text"), text_key(text).alias("key"))
     rows = written(keyed.mapInArrow(sketch, SKETCH), "sketches")
-    first = F.min(F.struct("id", "crc"))
+    first = F.min(F.struct("id", "key"))
     nodes = rows.groupBy("h1", "h2").agg(first.alias("head"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
-    nodes = written(nodes.select("h1", "h2", F.struct("head.id", "head.crc").alias("node"), "bands", "copies"), "nodes")
+    nodes = written(nodes.select("h1", "h2", F.struct("head.id", "head.key").alias("node"), "bands", "copies"), "nodes")
 
     banded = nodes.filter("bands is not null").select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("earliest")).filter("members > 1")
@@ -130,7 +136,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     starred = written(starred, "stars")
 
     wanted = starred.select("node").distinct()
-    keyed_node = docs.select(F.struct(ids, F.crc32(F.coalesce("text", F.lit(""))).cast("long").alias("crc")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed_node = keyed.select(F.struct("id", "key").alias("node"), "text")
     texts = written(keyed_node.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def ordered(x, y):
@@ -172,9 +178,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     sizes = counted.groupBy("label").agg(F.sum("copies").alias("class_size"))
     linked = _labelled(comp, sizes)
     sized = nodes.join(linked, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label"), F.coalesce("class_size", "copies").alias("class_size"))
-    return rows.select("id", "crc", "h1", "h2").join(sized, ["h1", "h2"]).select(
-        F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "crc", F.nullif(F.col("label.id"), F.lit(NO_ID)).alias("class_id"), "class_size",
-        ((F.col("id") == F.col("label.id")) & (F.col("crc") == F.col("label.crc"))).alias("is_first"),
+    return rows.select("id", "key", "h1", "h2").join(sized, ["h1", "h2"]).select(
+        F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "key", F.nullif(F.col("label.id"), F.lit(NO_ID)).alias("class_id"), "class_size",
+        ((F.col("id") == F.col("label.id")) & (F.col("key") == F.col("label.key"))).alias("is_first"),
     )
 
 
@@ -182,9 +188,9 @@ def keep_first(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with all columns of ``docs``: that of the least doc_id."""
     from pyspark.sql import Window
 
-    first = near_duplicates(docs.select("doc_id", "text"), threshold=threshold).filter("is_first").select(F.col("doc_id").alias("k_id"), F.col("crc").alias("k_crc")).distinct()
+    first = near_duplicates(docs.select("doc_id", "text"), threshold=threshold).filter("is_first").select(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.col("doc_id").alias("id"), F.crc32(F.coalesce("text", F.lit(""))).cast("long").alias("crc"))
-    kept = keyed.join(first, keyed["id"].eqNullSafe(first["k_id"]) & (keyed["crc"] == first["k_crc"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("id", "crc").orderBy("crc"))
+    keyed = docs.select(row, F.col("doc_id").alias("id"), text_key(F.coalesce("text", F.lit(""))).alias("key"))
+    kept = keyed.join(first, keyed["id"].eqNullSafe(first["k_id"]) & (keyed["key"] == first["k_key"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("id", "key").orderBy("key"))
     return kept.withColumn("nth", nth).filter("nth = 1").select("row.*")

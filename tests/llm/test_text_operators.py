@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -76,6 +77,23 @@ def test_near_duplicates(spark, texts):
     assert near_dedup.keep_first(docs_of(spark, texts)).count() == len(set(label))
 
 
+def test_near_duplicates_of_one_id_and_crc(spark):
+    """Texts that share id and CRC-32 stay apart, and each class keeps its own row."""
+    seen = {}
+    for i in range(2_000_000):
+        text = "one two three four " + hashlib.md5(str(i).encode()).hexdigest()
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            break
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (5, other), (5, text), (None, text + " five"), (None, near), (9, near + " x"), (5, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs)
+    assert sorted((r.class_size, r.doc_id is None, r.is_first) for r in got.collect()) == [(1, False, True), (1, True, True), (2, False, True), (2, False, True), (3, False, False), (3, False, False), (3, True, True)]
+    kept = sorted(((r.doc_id is None, r.doc_id, r.text) for r in near_dedup.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(False, 5, text), (False, 5, other), (True, None, text + " five"), (True, None, near)], key=str)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 80).astype(np.uint64)
