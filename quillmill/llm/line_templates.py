@@ -5,7 +5,8 @@ tokens, with tokens that hold digits generalised to ``<*>``. A template is eithe
 that masking, or what a group of a leaf's lines has in common: a leaf holds as many groups as it has
 sets of common tokens, and the whole leaf is one more. At each place the token that at least 70 % of
 a group's lines share is fixed, and elsewhere is a variable field; a line counts once for each
-different text. Templates with too few fixed tokens are no templates.
+different text. Templates with too few fixed tokens are no templates, and lines of fewer than
+``LEAF_TOKENS`` tokens are in no group: they recur as whole lines only.
 A template that occurs in enough different texts is boilerplate, and its lines are dropped from
 every document. Copies of a text count as one text. A whole line needs the fewer texts the longer it
 is: ``MIN_DOCS`` up to ten tokens, two from ``PASSAGE`` tokens on, where chance does not repeat it; so
