@@ -41,10 +41,13 @@ def wilcoxon_signed_rank(pairs: DataFrame, keys: list[str], digits: int = 12) ->
 
 def mcnemar(df: DataFrame, keys: list[str], item: str, member: str, correct: str) -> DataFrame:
     """(keys, member_a, member_b, only_a, only_b, statistic, p) of each pair of members in name order."""
-    own = df.select(*keys, item, F.col(member).alias("member_a"), F.col(correct).cast("int").alias("_a"))
-    other = df.select(*keys, item, F.col(member).alias("member_b"), F.col(correct).cast("int").alias("_b"))
-    both = same(own, other, [*keys, item]).filter("member_a < member_b")
-    counts = both.groupBy(*keys, "member_a", "member_b").agg(F.count_if(F.expr("_a = 1 AND _b = 0")).alias("only_a"), F.count_if(F.expr("_a = 0 AND _b = 1")).alias("only_b"))
+    # an item's members stand in one row, and equal rows are one row with a count: no table meets itself
+    judged = F.struct(F.col(member).alias("m"), F.col(correct).cast("int").alias("ok"))
+    items = df.groupBy(*keys, item).agg(F.sort_array(F.collect_list(judged)).alias("_all"))
+    kinds = items.groupBy(*keys, "_all").agg(F.count("*").alias("_n"))
+    both = kinds.select(*keys, "_n", "_all", F.inline("_all").alias("member_a", "_a")).select(*keys, "_n", "member_a", "_a", F.inline("_all").alias("member_b", "_b")).filter("member_a < member_b")
+    of = lambda test: F.sum(F.when(F.expr(test), F.col("_n")).otherwise(0))
+    counts = both.groupBy(*keys, "member_a", "member_b").agg(of("_a = 1 AND _b = 0").alias("only_a"), of("_a = 0 AND _b = 1").alias("only_b"))
     off = (F.col("only_a") + F.col("only_b")).cast("double")
     stat = F.when(off == 0, 0.0).otherwise(F.pow(F.abs(F.col("only_a") - F.col("only_b")) - 1, 2) / off)
     tested = counts.withColumn("statistic", stat).withColumn("p", p_chi2(F.col("statistic"), 1))
