@@ -43,3 +43,38 @@ def test_alignment_counts_rows_of_one_item(spark):
         hits = [sum(b[1] == x[1] for b in base) for x in own]
         assert r.both_n == sum(hits)
         assert r.aligned == int(sum(max(h, 1) for h in hits) == len(base) == sum(hits))
+
+
+def test_temperature_is_fitted_without_a_row_per_place(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, scale in ((None, 0.7), ("b", 3.0)):
+        for i in range(900):
+            z = rng.normal(0, 1, 2 + i % 2)
+            w = np.exp(z - z.max())
+            rows.append((k, int(rng.choice(len(z), p=w / w.sum())), [float(x) for x in scale * z]))
+    odd = [("b", 7, [1.0, 2.0]), ("b", 0, [0.5, None]), ("b", None, [0.5, 1.0]), ("b", 1, None), ("one", 0, [1.0, 0.0]), ("none", 5, [1.0]), ("none", 5, [])]
+    df = spark.createDataFrame([*rows, *odd], "k string, y int, z array<double>")
+    before, made = metrics.same, []
+
+    def watched(*args, **named):
+        made.append(before(*args, **named))
+        return made[-1]
+
+    metrics.same = watched
+    try:
+        got = {r.k: r for r in metrics.fit_temperature(df, ["k"], "y", "z").collect()}
+    finally:
+        metrics.same = before
+    # a pass once made a row per place of every row
+    assert made and all("Generate" not in plan(x) for x in made)
+    for k, scale in ((None, 0.7), ("b", 3.0)):
+        own = [(y, np.array(z)) for kk, y, z in rows if kk == k]
+
+        def loss(t, own=own):
+            return np.mean([np.log(np.exp(z / t).sum()) - z[y] / t for y, z in own])
+
+        at = got[k].temperature
+        assert abs(got[k].nll - loss(at)) < 1e-9 and loss(at) < min(loss(at * 1.001), loss(at / 1.001))
+        assert abs(at / scale - 1) < 0.3
+    assert got["one"].temperature == 1.0 and abs(got["one"].nll - np.log(1 + np.exp(-1))) < 1e-12 and got["none"].nll is None
