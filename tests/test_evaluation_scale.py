@@ -78,3 +78,11 @@ def test_temperature_is_fitted_without_a_row_per_place(spark):
         assert abs(got[k].nll - loss(at)) < 1e-9 and loss(at) < min(loss(at * 1.001), loss(at / 1.001))
         assert abs(at / scale - 1) < 0.3
     assert got["one"].temperature == 1.0 and abs(got["one"].nll - np.log(1 + np.exp(-1))) < 1e-12 and got["none"].nll is None
+
+
+def test_a_score_one_rounding_below_an_edge(spark):
+    p = 0.7 * (313.5 / 353.5) + 0.3 * 94 / 101
+    assert p < 0.9 and p * 10 == 9.0  # floor(p * 10), as the query's SQL has it
+    df = spark.createDataFrame([(1, p), (0, 0.85), (1, 1.0), (0, 0.0)], "y int, p double")
+    got = {round(r.bin_lower, 1): r.n for r in metrics.reliability_bins(df, [], "y", "p").collect()}
+    assert got == {0.0: 1, 0.8: 1, 0.9: 2}
