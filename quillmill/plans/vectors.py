@@ -19,7 +19,7 @@ NEAR, DIVERSE = 0.42, 0.33
 
 
 def _named(df: DataFrame) -> DataFrame:
-    return df.select("qid", "did", F.round("similarity", 6).alias("similarity"), F.col("rnk").cast("long"))
+    return df.select("qid", "did", C.rounded("similarity", 6).alias("similarity"), F.col("rnk").cast("long"))
 
 
 def _both(spark, sf_dir):

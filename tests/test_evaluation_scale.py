@@ -1,8 +1,11 @@
 """Evaluation queries on tables that once broke them: large ones, scores at an edge, skewed runs."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillmill import catalog
+from quillmill.functions.columns import rounded
 from quillmill.operators import metrics, stats
 
 
@@ -86,3 +89,26 @@ def test_a_score_one_rounding_below_an_edge(spark):
     df = spark.createDataFrame([(1, p), (0, 0.85), (1, 1.0), (0, 0.0)], "y int, p double")
     got = {round(r.bin_lower, 1): r.n for r in metrics.reliability_bins(df, [], "y", "p").collect()}
     assert got == {0.0: 1, 0.8: 1, 0.9: 2}
+
+
+def test_rounding_is_that_of_the_oracle(spark):
+    rng = np.random.default_rng(8)
+    # the first has the shortest digits of a tie and lies under it
+    values = [0.5291015625, 0.5, -2.5, 0.0, -1e-12, 1e300, float("inf"), *rng.normal(0, 3, 500).tolist(), *(rng.integers(-9999, 9999, 500) / 2000).tolist()]
+    df = spark.createDataFrame([(float(x),) for x in values], "x double")
+    c = duckdb.connect()
+    for digits in (0, 3, 9):
+        got = [r[0] for r in df.select(rounded("x", digits)).collect()]
+        assert got == [c.execute("select round(?::double, ?)", [float(x), digits]).fetchone()[0] for x in values]
+    assert df.select(rounded(F.lit(None).cast("double"), 3)).first()[0] is None
+
+
+def test_curve_with_a_threshold_at_a_tie(spark, tmp_path):
+    base = duckdb.sql("select * replace (event_id + 101000 as event_id, 123.84e0 as value) from '/root/testdata/sf0.001/events.parquet'")  # noqa: F841
+    duckdb.sql(f"copy (select * from base union all select * from '/root/testdata/sf0.001/events.parquet') to '{tmp_path}/events.parquet' (format parquet)")
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    df = catalog.queries()["roc_curve"](spark, str(tmp_path))
+    want = c.sql(f"select {', '.join(df.columns)} from ({catalog.oracles()['roc_curve']})").fetchall()
+    assert any(r[3] == 0.529101562 for r in want)
+    assert sorted(map(tuple, df.collect())) == sorted(want)
