@@ -64,7 +64,7 @@ def evaluation_pipeline(
     test = written(test.withColumn("pred", apply_threshold("p", F.col("threshold"))).withColumn("ok", (F.col("pred") == F.col(label)).cast("int")), "judged")
 
     runs = M.classification_metrics(test, run, label, "pred", [0, 1])
-    for part in (M.roc_auc(test, run, label, "p"), M.average_precision(test, run, label, "p"), M.ece_mce(test, run, label, "p"), M.brier_score(test, run, label, "p"), temperature, threshold):
+    for part in (M.auc_and_precision(test, run, label, "p"), M.ece_mce(test, run, label, "p"), M.brier_score(test, run, label, "p"), temperature, threshold):
         runs = same(runs, part, run, "left")
     runs = written(runs, "runs")  # a row a run
     out = {"runs": runs, "calibration": M.reliability_bins(test, run, label, "p"), "hard": M.hard_examples(test, run, item, label, "p", hard)}

@@ -112,3 +112,30 @@ def test_curve_with_a_threshold_at_a_tie(spark, tmp_path):
     want = c.sql(f"select {', '.join(df.columns)} from ({catalog.oracles()['roc_curve']})").fetchall()
     assert any(r[3] == 0.529101562 for r in want)
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_a_run_is_not_one_tasks_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, float(rng.integers(0, 60)) / 60, int(rng.integers(0, 2)), i, "ab"[i % 2]) for k in (None, "x") for i in range(300)] + [("none", 0.5, 0, 0, "a")]
+    df = spark.createDataFrame(rows, "k string, p double, y int, i int, m string").withColumn("q", 1 - F.col("p"))
+    curve = metrics.roc_curve(df, ["k"], "y", "p")
+    cuts = metrics.youden_threshold(df, ["k", "m"], "y", "p")
+    assert "SortMergeJoin" not in plan(curve) and "SortMergeJoin" not in plan(metrics.soft_vote(df, ["k"], "i", "m", "y", "p", cuts, 1))
+    both = {r.k: r for r in metrics.auc_and_precision(df, ["k"], "y", "p").collect()}
+    auc = {r.k: r.roc_auc for r in metrics.roc_auc(df, ["k"], "y", "p").collect()}
+    ap = {r.k: r.average_precision for r in metrics.average_precision(df, ["k"], "y", "p").collect()}
+    micro = {r.k: r.micro for r in metrics.roc_auc_macro_micro(df, ["k"], "y", {1: "p", 0: "q"}).collect()}
+    assert set(both) == {None, "x", "none"} and both["none"].roc_auc is None
+    for k in (None, "x"):
+        own = [r for r in rows if r[0] == k]
+        p, y = np.array([r[1] for r in own]), np.array([r[2] for r in own])
+
+        def area(p, y):
+            gap = p[y == 1][:, None] - p[y == 0]
+            return ((gap > 0) + (gap == 0) / 2).mean()
+
+        assert abs(both[k].roc_auc - area(p, y)) < 1e-12 and abs(auc[k] - area(p, y)) < 1e-12 and abs(both[k].average_precision - ap[k]) < 1e-12
+        assert abs(micro[k] - area(np.concatenate((p, 1 - p)), np.concatenate((y, 1 - y)))) < 1e-12
+    # equal rows are counted before each class has its own
+    each = metrics._one_against_rest(df, ["k"], "y", {1: "p", 0: "q"})
+    assert each.count() == 2 * len({(r[0], r[1], r[2]) for r in rows})
