@@ -29,6 +29,18 @@ MOST_BLOCKS = 65_536
 MOST_KINDS = 256
 
 
+#: Entries of a matrix of products that a task holds at once, about.
+CHUNK = 2_000_000
+#: Rows, with their vectors, that a task passes on at once.
+OUT_ROWS = 16_384
+
+
+def slices(rows: int, columns: int) -> Iterator[slice]:
+    """Runs of rows that make a matrix of about ``CHUNK`` entries with so many columns."""
+    step = max(1, CHUNK // max(columns, 1))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
 def stack(x: pd.Series) -> np.ndarray:
     return np.stack(x.to_numpy()).astype(np.float64)
 
@@ -126,8 +138,10 @@ def wanted_blocks(queries: DataFrame, c: Cells, k: int, scope: str, *, probes: i
                 np.put_along_axis(take, order, first, axis=1)
                 if after:
                     take = ~take & (bound >= part["least"].to_numpy()[:, None] - 1e-9)
-                row, at = np.nonzero(take & np.isfinite(bound))
-                yield pd.DataFrame({"qid": part["qid"].to_numpy()[row], "qcls": part["qcls"].to_numpy()[row], "qv": part["qv"].to_numpy()[row], "block": c.block[at]})
+                rows, at = np.nonzero(take & np.isfinite(bound))
+                for j in range(0, len(rows), OUT_ROWS):
+                    row = rows[j : j + OUT_ROWS]
+                    yield pd.DataFrame({"qid": part["qid"].to_numpy()[row], "qcls": part["qcls"].to_numpy()[row], "qv": part["qv"].to_numpy()[row], "block": c.block[at[j : j + OUT_ROWS]]})
 
     kind_ = queries.schema["qcls"].dataType.simpleString()
     return queries.mapInPandas(choose, f"qid long, qcls {kind_}, qv array<double>, block long")

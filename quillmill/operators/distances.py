@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.columns import cos_to_euclid, squared_distance
+from quillmill.operators.cells import slices
 from quillmill.operators.running import same
 from quillmill.operators.selection import capped_sample
 from quillmill.operators.vectors import block_pairs, class_reference, class_vectors, knn_join
@@ -172,12 +173,17 @@ def radii(rows: DataFrame, k: int) -> DataFrame:
 
 def _balls(g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
     """Of generated and real rows with radii: how many balls of the other side each is in, and whether its own ball is met."""
-    d = np.sqrt(np.maximum(2 - 2 * (_stack(g["v"]) @ _stack(r["v"]).T), 0))
-    in_real = d <= r["r"].to_numpy()[None, :] + 1e-12
-    in_generated = d <= g["r"].to_numpy()[:, None] + 1e-12
+    x, y, own, far = _stack(g["v"]), _stack(r["v"]).T, g["r"].to_numpy(), r["r"].to_numpy()
+    balls, met, covered = np.zeros(len(g), int), np.zeros(len(r), int), np.zeros(len(r), int)
+    for part in slices(len(g), len(r)):
+        d = np.sqrt(np.maximum(2 - 2 * (x[part] @ y), 0))
+        in_real = d <= far[None, :] + 1e-12
+        balls[part] = in_real.sum(1)
+        met |= (d <= own[part][:, None] + 1e-12).any(0)
+        covered |= in_real.any(0)
     return pd.DataFrame({
         "side": np.repeat([0, 1], [len(g), len(r)]), "cls": np.concatenate((g["cls"], r["cls"])), "id": np.concatenate((g["id"], r["id"])),
-        "balls": np.concatenate((in_real.sum(1), in_generated.any(0))), "covered": np.concatenate((np.zeros(len(g), int), in_real.any(0)))})
+        "balls": np.concatenate((balls, met)), "covered": np.concatenate((np.zeros(len(g), int), covered))})
 
 
 def _shares(met: DataFrame, keys: list[str], k) -> DataFrame:
@@ -256,11 +262,13 @@ def feature_separation(rows: DataFrame) -> DataFrame:
     tight = own.agg(F.avg(F.sqrt("d2")).alias("compactness"), F.avg("d2").alias("w_mean"))
 
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        a, b = _stack(x["v"]), _stack(y["v"])
-        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
-        d[x["id"].to_numpy()[:, None] == y["id"].to_numpy()] = 0
-        kinds = np.unique(y["cls"])
-        at = np.stack([d[:, y["cls"].to_numpy() == c].sum(1) for c in kinds], 1)
+        a, b, xid, yid, cls = _stack(x["v"]), _stack(y["v"]), x["id"].to_numpy(), y["id"].to_numpy(), y["cls"].to_numpy()
+        kinds, parts = np.unique(y["cls"]), []
+        for part in slices(len(a), len(b)):
+            d = np.sqrt(np.maximum((a[part] * a[part]).sum(1)[:, None] + (b * b).sum(1) - 2 * a[part] @ b.T, 0))
+            d[xid[part][:, None] == yid] = 0
+            parts.append(np.stack([d[:, cls == c].sum(1) for c in kinds], 1))
+        at = np.concatenate(parts)
         return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), len(kinds)), "other": np.tile(kinds, len(x)), "s": at.ravel()})
 
     far = block_pairs(rows.select("id", "cls", "v"), rows.select("id", "cls", "v"), sums, "id long, other int, s double").groupBy("id", "other").agg(F.sum("s").alias("s"))

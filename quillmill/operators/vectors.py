@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.columns import cosine, diag_mahalanobis, l2_normalize, total
-from quillmill.operators.cells import cells, kind, meet, stack, wanted_blocks
+from quillmill.operators.cells import cells, kind, meet, slices, stack, wanted_blocks
 from quillmill.operators.running import running_sums, same
 from quillmill.storage import written
 
-BLOCK_ROWS = 4096
+#: Rows of a side that one task compares; their products are made a few rows at a time.
+BLOCK_ROWS = 16_384
 CELL_ROWS = 2048
-#: So many pairs of blocks, or fewer, are compared without cells.
-WHOLE_BLOCKS = 4
+#: So many pairs of blocks, or fewer, are compared without cells: a row is then copied once per block of the other side.
+WHOLE_BLOCKS = 1600
 NEAR = "qid long, did long, similarity double"
 
 
@@ -30,26 +31,36 @@ def _best(k: int, scope: str):
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("did")
-        s = stack(left["qv"]) @ stack(right["dv"]).T
-        s[left["qid"].to_numpy()[:, None] == right["did"].to_numpy()[None, :]] = -np.inf
-        if scope != "all":
-            own = left["qcls"].to_numpy()[:, None] == right["dcls"].to_numpy()[None, :]
-            s[~own if scope == "own" else own] = -np.inf
-            s[left["qcls"].isna().to_numpy()[:, None] | right["dcls"].isna().to_numpy()[None, :]] = -np.inf
-        r = np.round(s, 12)
-        if r.shape[1] > k:
-            # all that reach the k-th value, so that ties are cut by id and not by the partition
-            low = -np.partition(-r, k - 1, axis=1)[:, k - 1]
-            rows, at = np.nonzero(r >= low[:, None])
-            order = np.lexsort((at, -r[rows, at], rows))
-            rows, at = rows[order], at[order]
-            first = np.searchsorted(rows, np.arange(len(left)))
-            some = np.arange(len(rows)) - first[rows] < k
+        q, d, qid, did = stack(left["qv"]), stack(right["dv"]).T, left["qid"].to_numpy(), right["did"].to_numpy()
+        codes = pd.factorize(pd.concat([left["qcls"], right["dcls"]]))[0]  # -1 for null
+        qc, dc = codes[: len(left)], codes[len(left) :]
+        found = []
+        for part in slices(len(q), len(did)):
+            s = q[part] @ d
+            s[qid[part][:, None] == did] = -np.inf
+            if scope != "all":
+                own = qc[part][:, None] == dc
+                s[~own if scope == "own" else own] = -np.inf
+                s[qc[part] < 0] = -np.inf
+                s[:, dc < 0] = -np.inf
+            if s.shape[1] > k:
+                # all that reach the k-th value, so that ties are cut by id and not by the partition
+                low = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                rows, at = np.nonzero(s >= (low - 1e-11)[:, None])
+                r = np.round(s[rows, at], 12)
+                reach = r >= np.round(low, 12)[rows]
+                rows, at, r = rows[reach], at[reach], r[reach]
+                order = np.lexsort((at, -r, rows))
+                rows, at = rows[order], at[order]
+                first = np.searchsorted(rows, np.arange(len(s)))
+                some = np.arange(len(rows)) - first[rows] < k
+                rows, at = rows[some], at[some]
+            else:
+                rows, at = np.divmod(np.arange(s.size), s.shape[1])
+            some = np.isfinite(s[rows, at])
             rows, at = rows[some], at[some]
-        else:
-            rows, at = np.divmod(np.arange(r.size), r.shape[1])
-        out = pd.DataFrame({"qid": left["qid"].to_numpy()[rows], "did": right["did"].to_numpy()[at], "similarity": s[rows, at]})
-        return out[np.isfinite(out["similarity"])]
+            found.append(pd.DataFrame({"qid": qid[part][rows], "did": did[at], "similarity": s[rows, at]}))
+        return pd.concat(found)
 
     return best
 
@@ -122,10 +133,17 @@ def similar_pairs(rows: DataFrame, above: float, *, keys: list[str] | None = Non
     own = rows.filter(sound).select("id", kin.alias("cls"), "v")
 
     def over(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        s = np.round(stack(x["qv"]) @ stack(y["dv"]).T, 12) > above
-        s &= (x["qid"].to_numpy()[:, None] < y["did"].to_numpy()) & (x["qcls"].to_numpy()[:, None] == y["dcls"].to_numpy())
-        i, j = np.nonzero(s)
-        return pd.DataFrame({"a": x["qid"].to_numpy()[i], "b": y["did"].to_numpy()[j]}).drop_duplicates()
+        q, d, qid, did = stack(x["qv"]), stack(y["dv"]).T, x["qid"].to_numpy(), y["did"].to_numpy()
+        codes = pd.factorize(pd.concat([x["qcls"], y["dcls"]]))[0]
+        qc, dc = codes[: len(x)], codes[len(x) :]
+        found = []
+        for part in slices(len(q), len(did)):
+            s = q[part] @ d
+            i, j = np.nonzero(s > above - 1e-11)
+            r, i = np.round(s[i, j], 12), i + part.start
+            some = (r > above) & (qid[i] < did[j]) & (qc[i] == dc[j])
+            found.append(pd.DataFrame({"a": qid[i[some]], "b": did[j[some]]}))
+        return pd.concat(found).drop_duplicates()
 
     if cell_rows is None and _blocks(own, block_rows) ** 2 <= WHOLE_BLOCKS:
         return _whole(own, own, over, "a long, b long", block_rows)
@@ -228,17 +246,21 @@ RANGE_PAIRS = 500_000
 
 def _decided(pdf: pd.DataFrame) -> pd.DataFrame:
     """(pos, kept) of the rows of one range that can be decided: by known better rows, then by one another in order."""
-    known, better = {}, {}
-    for b, w, k in zip(pdf["better"].to_numpy(), pdf["worse"].to_numpy(), pdf["better_kept"].to_numpy(object), strict=True):
-        better.setdefault(w, []).append(b)
-        if k is not None and k == k:
-            known[b] = bool(k)
-    out = []
-    for w in sorted(better):
-        states = [known.get(b) for b in better[w]]
-        if any(states) or None not in states:
-            known[w] = not any(states)
-            out.append((w, known[w]))
+    pdf = pdf.sort_values("worse")
+    worse, better, given = pdf["worse"].to_numpy(), pdf["better"].to_numpy(), pdf["better_kept"].to_numpy(object)
+    ids, at = np.unique(np.concatenate((better, worse)), return_inverse=True)
+    at = at[: len(better)]
+    # 1 kept, 0 not, -1 not known yet
+    state = np.full(len(ids), -1, np.int8)
+    known = pd.notna(given)
+    state[at[known]] = given[known].astype(bool)
+    names, first = np.unique(worse, return_index=True)
+    place, ends, out = np.searchsorted(ids, names), [*first[1:], len(worse)], []
+    for w, p, i, j in zip(names, place, first, ends, strict=True):
+        states = state[at[i:j]]
+        if (states == 1).any() or (states == 0).all():
+            state[p] = not (states == 1).any()
+            out.append((w, state[p] == 1))
     return pd.DataFrame(out, columns=["pos", "kept"]).astype({"pos": "int64", "kept": "bool"})
 
 

@@ -16,7 +16,7 @@ from quillmill.operators import vectors as V
 from quillmill.plans import vectors as vector_queries
 from quillmill.plans.fixtures import RUN, classified, history, members, rounded, table, vectors
 from quillmill.sources import tables as T
-from quillmill.storage import shared_dir
+from quillmill.storage import shared_dir, written
 from quillmill.streaming import jobs as J
 
 
@@ -62,7 +62,7 @@ def selected_manifest(spark, sf_dir):
 
 
 def concat_class_results(spark, sf_dir):
-    s = vector_queries.quality_features(spark, sf_dir)
+    s = written(vector_queries.quality_features(spark, sf_dir), "features")  # both parts are read from it
     return T.concat_class_results([s.filter("cls = 0"), s.filter("cls = 1").drop("density")]).select("qid", "cls", "own_mean", "density")
 
 
