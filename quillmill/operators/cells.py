@@ -41,6 +41,11 @@ def slices(rows: int, columns: int) -> Iterator[slice]:
     return (slice(i, i + step) for i in range(0, rows, step))
 
 
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each true entry."""
+    return np.divmod(np.flatnonzero(mask), max(mask.shape[1], 1))
+
+
 def stack(x: pd.Series) -> np.ndarray:
     return np.stack(x.to_numpy()).astype(np.float64)
 

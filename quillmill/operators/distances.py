@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.columns import cos_to_euclid, squared_distance
-from quillmill.operators.cells import slices
+from quillmill.operators.cells import places, slices
 from quillmill.operators.running import same
 from quillmill.operators.selection import capped_sample
 from quillmill.operators.vectors import block_pairs, class_reference, class_vectors, knn_join
@@ -168,19 +168,23 @@ def kernel_distance_subsets(a: DataFrame, b: DataFrame, *, subsets: int = 100, s
 def radii(rows: DataFrame, k: int) -> DataFrame:
     """(id, cls, v, r): distance of unit vectors to their k-th nearest other row."""
     far = knn_join(rows, rows, k).groupBy(F.col("qid").alias("id")).agg(F.max(cos_to_euclid("similarity")).alias("r"))
-    return rows.join(far, "id")
+    return written(rows.join(far, "id"), "radii")
 
 
 def _balls(g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
     """Of generated and real rows with radii: how many balls of the other side each is in, and whether its own ball is met."""
     x, y, own, far = _stack(g["v"]), _stack(r["v"]).T, g["r"].to_numpy(), r["r"].to_numpy()
     balls, met, covered = np.zeros(len(g), int), np.zeros(len(r), int), np.zeros(len(r), int)
+    # no product under this one is within a radius
+    low_own, low_far = (1 - x * x / 2 - 1e-9 for x in (own, far))
     for part in slices(len(g), len(r)):
-        d = np.sqrt(np.maximum(2 - 2 * (x[part] @ y), 0))
-        in_real = d <= far[None, :] + 1e-12
-        balls[part] = in_real.sum(1)
-        met |= (d <= own[part][:, None] + 1e-12).any(0)
-        covered |= in_real.any(0)
+        s = x[part] @ y
+        i, j = places(s >= np.minimum.outer(low_own[part], low_far))
+        d = np.sqrt(np.maximum(2 - 2 * s[i, j], 0))
+        in_real = d <= far[j] + 1e-12
+        balls[part] = np.bincount(i[in_real], minlength=len(s))
+        met[j[d <= own[part][i] + 1e-12]] = 1
+        covered[j[in_real]] = 1
     return pd.DataFrame({
         "side": np.repeat([0, 1], [len(g), len(r)]), "cls": np.concatenate((g["cls"], r["cls"])), "id": np.concatenate((g["id"], r["id"])),
         "balls": np.concatenate((balls, met)), "covered": np.concatenate((np.zeros(len(g), int), covered))})
@@ -211,7 +215,7 @@ def prdc_by_class(real: DataFrame, generated: DataFrame, k: int = 3) -> DataFram
     def reach(rows: DataFrame) -> DataFrame:
         near = knn_join(rows.select("id", "cls", "v"), rows.select("id", "cls", "v"), k, scope="own").select(F.col("qid").alias("id"), "similarity", "rnk")
         far = near.join(rows.select("id", "cls"), "id").join(at, "cls").filter("rnk = k").select("id", cos_to_euclid("similarity").alias("r"))
-        return rows.select("id", "cls", "v").join(far, "id")
+        return written(rows.select("id", "cls", "v").join(far, "id"), "radii")
 
     met = block_pairs(reach(generated), reach(real), _balls, f"side int, cls {real.schema['cls'].dataType.simpleString()}, id long, balls long, covered long", keys=["cls"])
     return _shares(met, ["cls"], at)

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quillmill.functions.columns import cosine, diag_mahalanobis, l2_normalize, total
-from quillmill.operators.cells import cells, kind, meet, slices, stack, wanted_blocks
+from quillmill.operators.cells import cells, kind, meet, places, slices, stack, wanted_blocks
 from quillmill.operators.running import running_sums, same
 from quillmill.storage import written
 
 #: Rows of a side that one task compares; their products are made a few rows at a time.
 BLOCK_ROWS = 16_384
 CELL_ROWS = 2048
-#: So many pairs of blocks, or fewer, are compared without cells: a row is then copied once per block of the other side.
+#: So many pairs of blocks, or fewer, are compared without cells, pack by pack.
 WHOLE_BLOCKS = 1600
+#: Rows of one pack, about.
+PACK_ROWS = 4096
+#: Partitions that the packs of the left and of the right side are read in, at most; a row of the left gives results once per right one.
+PACK_PARTS = 16, 6
 NEAR = "qid long, did long, similarity double"
 
 
@@ -27,44 +35,56 @@ def _blocks(df: DataFrame, rows: int) -> int:
 
 
 def _best(k: int, scope: str):
-    """The k most similar of a part's rows for each query; ties go to the lower id, and a query never meets its own id."""
+    """The k most similar of a part's rows for each query; ties go to the lower id, and a query never meets its own id.
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    With ``held``, what the queries found in other parts, the k best of both; only rows that reach a query's k-th are looked at.
+    """
+
+    def best(left: pd.DataFrame, right: pd.DataFrame, held: pd.DataFrame | None = None) -> pd.DataFrame:
         right = right.sort_values("did")
-        q, d, qid, did = stack(left["qv"]), stack(right["dv"]).T, left["qid"].to_numpy(), right["did"].to_numpy()
+        queries, rows_of, qids, dids = stack(left["qv"]), stack(right["dv"]), left["qid"].to_numpy(), right["did"].to_numpy()
         codes = pd.factorize(pd.concat([left["qcls"], right["dcls"]]))[0]  # -1 for null
         qc, dc = codes[: len(left)], codes[len(left) :]
-        found = []
-        for part in slices(len(q), len(did)):
-            s = q[part] @ d
-            s[qid[part][:, None] == did] = -np.inf
-            if scope != "all":
-                own = qc[part][:, None] == dc
-                s[~own if scope == "own" else own] = -np.inf
-                s[qc[part] < 0] = -np.inf
-                s[:, dc < 0] = -np.inf
-            if s.shape[1] > k:
-                # all that reach the k-th value, so that ties are cut by id and not by the partition
-                low = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                rows, at = np.nonzero(s >= (low - 1e-11)[:, None])
-                r = np.round(s[rows, at], 12)
-                reach = r >= np.round(low, 12)[rows]
-                rows, at, r = rows[reach], at[reach], r[reach]
-                order = np.lexsort((at, -r, rows))
-                rows, at = rows[order], at[order]
-                first = np.searchsorted(rows, np.arange(len(s)))
-                some = np.arange(len(rows)) - first[rows] < k
-                rows, at = rows[some], at[some]
-            else:
-                rows, at = np.divmod(np.arange(s.size), s.shape[1])
-            some = np.isfinite(s[rows, at])
-            rows, at = rows[some], at[some]
-            found.append(pd.DataFrame({"qid": qid[part][rows], "did": did[at], "similarity": s[rows, at]}))
-        return pd.concat(found)
+        reached = np.full(len(left), -np.inf) if held is None else _reached(held, qids, k)
+        found = [] if held is None else [held]
+        for c in np.unique(qc[qc >= 0]) if scope != "all" else [None]:
+            mine = np.arange(len(left)) if c is None else np.flatnonzero(qc == c)
+            theirs = np.arange(len(right)) if c is None else np.flatnonzero(dc == c if scope == "own" else (dc != c) & (dc >= 0))
+            d, did = rows_of[theirs].T, dids[theirs]
+            for part in slices(len(mine), len(did)) if len(did) else []:
+                at_q = mine[part]
+                s, qid, least = queries[at_q] @ d, qids[at_q], reached[at_q]
+                itself = np.flatnonzero(np.isin(qid, did))
+                if len(itself):
+                    s[itself] = np.where(qid[itself][:, None] == did, -np.inf, s[itself])
+                hits = s >= (least - 1e-11)[:, None]
+                if s.shape[1] > k and np.count_nonzero(hits) > 4 * k * len(s):
+                    # all that reach the k-th value, so that ties are cut by id and not by the partition
+                    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                    hits = s >= (least - 1e-11)[:, None]
+                rows, at = places(hits)
+                found.append(_first(pd.DataFrame({"qid": qid[rows], "did": did[at], "similarity": s[rows, at]}), k))
+        return _first(pd.concat(found), k) if found else pd.DataFrame({"qid": qids[:0], "did": dids[:0], "similarity": np.zeros(0)})
 
     return best
 
 
+def _first(near: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The first k rows of each query, in order."""
+    near = near[np.isfinite(near["similarity"].to_numpy())]
+    qid = near["qid"].to_numpy()
+    order = np.lexsort((near["did"].to_numpy(), -np.round(near["similarity"].to_numpy(), 12), qid))
+    qid = qid[order]
+    return near.iloc[order[np.arange(len(qid)) - np.searchsorted(qid, qid) < k]]
+
+
+def _reached(held: pd.DataFrame, qids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th similarity that each query holds, rounded; minus infinity where it holds fewer."""
+    full = held.groupby("qid")["similarity"].agg(["size", "min"])
+    least = full["min"].round(12).where(full["size"] >= k, -np.inf)
+    return least.reindex(qids).fillna(-np.inf).to_numpy()
+
+
 def knn_join(
     queries: DataFrame, database: DataFrame, k: int, *, scope: str = "all", block_rows: int = BLOCK_ROWS, cell_rows: int | None = None, probes: int | None = None, report: list | None = None
 ) -> DataFrame:
@@ -78,7 +98,7 @@ def knn_join(
     so many of them at least: an index, whose recall the caller measures.
     """
     if cell_rows is None and probes is None and _blocks(queries, block_rows) * _blocks(database, block_rows) <= WHOLE_BLOCKS:
-        return _ranked(_whole(queries, database, _best(k, scope), NEAR, block_rows), k)
+        return _ranked(_whole(queries, database, _best(k, scope), NEAR, block_rows, fold=True), k)
     c = cells(database, by_class=scope != "all", cell_rows=cell_rows or CELL_ROWS)
     q = queries.select(F.col("id").alias("qid"), F.col("cls").alias("qcls"), F.col("v").cast("array<double>").alias("qv"), kind("cls", c.kinds).alias("kind"))
     if scope != "all":
@@ -97,17 +117,58 @@ def knn_join(
     return _ranked(near, k)
 
 
-def _whole(queries: DataFrame, database: DataFrame, function, schema: str, block_rows: int) -> DataFrame:
-    """``function`` of every block of queries with every block of the database."""
-    nq, nd = _blocks(queries, block_rows), _blocks(database, block_rows)
-    q = queries.select(F.col("id").alias("qid"), F.col("cls").alias("qcls"), F.col("v").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nd - 1).cast("long"))).alias("db"))
-    d = database.select(F.col("id").alias("did"), F.col("cls").alias("dcls"), F.col("v").alias("dv"), F.pmod(F.xxhash64("id"), F.lit(nd)).alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
-    names = [x.split()[0] for x in schema.split(", ")]
+def _packs(rows: DataFrame, side: str, keys: list[str], pack_rows: int, parts: int) -> DataFrame:
+    """``rows`` stored as (<side>_<key>, <side>_no, <side>): arrays of about ``pack_rows`` rows, dealt by the hash of the id."""
+    no = F.pmod(F.xxhash64("id"), F.lit(_blocks(rows, pack_rows))).alias(f"{side}_no")
+    packed = rows.groupBy(*[F.col(x).alias(f"{side}_{x}") for x in keys], no).agg(F.collect_list(F.struct(*rows.columns)).alias(side))
+    return written(packed, "packs").coalesce(parts)
+
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return function(x, y) if len(x) and len(y) else pd.DataFrame({n: [] for n in names})
+def _every(left: DataFrame, right: DataFrame, function, schema: str, *, keys: list[str], block_rows: int, fold: bool = False) -> DataFrame:
+    """``function(x, y)`` of every pack of ``left`` with every pack of ``right`` of equal ``keys``.
 
-    return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(run, schema)
+    Each side is shuffled once, into packs; a task then reads a partition of packs of either side, so no row
+    is copied into a shuffle for the packs that it meets. With ``fold``, ``function(x, y, held)`` gives what
+    is held of x after y, and that alone is passed on, once a task and pack.
+    """
+    pack_rows = min(block_rows, PACK_ROWS)
+    a, b = _packs(left, "a", keys, pack_rows, PACK_PARTS[0]), _packs(right, "b", keys, pack_rows, PACK_PARTS[1])
+    on = reduce(lambda x, y: x & y, [F.col(f"a_{x}").eqNullSafe(F.col(f"b_{x}")) for x in keys], F.lit(True))
+    pairs = a.join(b.hint("shuffle_replicate_nl"), on) if keys else a.crossJoin(b.hint("shuffle_replicate_nl"))
+    names = [f"a_{x}" for x in (*keys, "no")]
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def rows_of(batch: pa.RecordBatch, side: str, i: int) -> pd.DataFrame:
+        return pa.RecordBatch.from_struct_array(batch.column(side)[i].values).to_pandas()
+
+    def passed(frame: pd.DataFrame) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, held, at = None, None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                now = [batch.column(n)[i].as_py() for n in names]
+                if now != at:
+                    if held is not None:
+                        yield passed(held)
+                    x, held, at = rows_of(batch, "a", i), None, now
+                y = rows_of(batch, "b", i)
+                if fold:
+                    held = function(x, y, held)
+                else:
+                    yield passed(function(x, y))
+        if held is not None:
+            yield passed(held)
+
+    return pairs.select(*names, "a", "b").mapInArrow(run, schema)
+
+
+def _whole(queries: DataFrame, database: DataFrame, function, schema: str, block_rows: int, *, fold: bool = False) -> DataFrame:
+    """``function`` of every pack of queries with every pack of the database."""
+    q = queries.select("id", F.col("id").alias("qid"), F.col("cls").alias("qcls"), F.col("v").alias("qv"))
+    d = database.select("id", F.col("id").alias("did"), F.col("cls").alias("dcls"), F.col("v").alias("dv"))
+    return _every(q, d, function, schema, keys=[], block_rows=block_rows, fold=fold)
 
 
 def _ranked(near: DataFrame, k: int) -> DataFrame:
@@ -139,7 +200,7 @@ def similar_pairs(rows: DataFrame, above: float, *, keys: list[str] | None = Non
         found = []
         for part in slices(len(q), len(did)):
             s = q[part] @ d
-            i, j = np.nonzero(s > above - 1e-11)
+            i, j = places(s > above - 1e-11)
             r, i = np.round(s[i, j], 12), i + part.start
             some = (r > above) & (qid[i] < did[j]) & (qc[i] == dc[j])
             found.append(pd.DataFrame({"a": qid[i[some]], "b": did[j[some]]}))
@@ -154,19 +215,12 @@ def similar_pairs(rows: DataFrame, above: float, *, keys: list[str] | None = Non
 
 
 def block_pairs(left: DataFrame, right: DataFrame, function, schema: str, *, keys: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``function(a, b)`` of every block of ``left`` with every block of ``right``, both Pandas frames with an id.
+    """``function(a, b)`` of every pack of ``left`` with every pack of ``right``, both Pandas frames with an id.
 
-    It sees each pair of rows of equal ``keys`` once and returns partial results for a later sum.
+    It sees each pair of rows of equal ``keys`` once and returns partial results for a later sum. Both
+    tables are read twice: pass stored ones if they take work.
     """
-    nl, nr, keys = _blocks(left, block_rows), _blocks(right, block_rows), keys or []
-    a = left.withColumn("_x", F.pmod(F.xxhash64("id"), F.lit(nl))).withColumn("_y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))
-    b = right.withColumn("_y", F.pmod(F.xxhash64("id"), F.lit(nr))).withColumn("_x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nl - 1).cast("long"))))
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return function(x, y) if len(x) and len(y) else pd.DataFrame({n: [] for n in names})
-
-    return a.groupBy(*keys, "_x", "_y").cogroup(b.groupBy(*keys, "_x", "_y")).applyInPandas(run, schema)
+    return _every(left, right, function, schema, keys=keys or [], block_rows=block_rows)
 
 
 def retrieve_similar(bank: DataFrame, query: list[float], k: int) -> DataFrame:
