@@ -106,11 +106,12 @@ def write_screening_tables(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def selected_manifest(chosen: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
-    """The selected rows as the next stage's input, written if a path is given."""
+    """The selected rows as the next stage's input; if a path is given, written and read back."""
     rows = chosen.filter("selected").select(*columns)
-    if path:
-        rows.write.mode("overwrite").parquet(path)
-    return rows
+    if not path:
+        return rows
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def fingerprint(files: DataFrame, config: str) -> str:

@@ -1,8 +1,12 @@
 """Pairs of packs: each row is shuffled once, whatever it meets, and shared results are made once."""
 
+import glob
+import uuid
+
 import numpy as np
 
 from quillmill.operators import distances, vectors
+from quillmill.sources import tables
 
 
 def frame(spark, n, seed, first=0):
@@ -38,3 +42,11 @@ def test_many_equal_vectors_over_many_packs(spark):
     for scope in ("all", "own", "other"):
         few, many = ({tuple(r) for r in vectors.knn_join(rows, rows, 4, scope=scope, block_rows=b).select("qid", "did", "rnk").collect()} for b in (4000, 7))
         assert few == many and len(few) == 4 * (200 if scope == "all" else 134)
+
+
+def test_a_manifest_is_read_back(spark, tmp_path):
+    path = f"{tmp_path}/{uuid.uuid4().hex}"
+    chosen = spark.range(9).selectExpr("id AS qid", "id % 3 = 0 AS selected")
+    rows = tables.selected_manifest(chosen, ["qid"], path)
+    assert sorted(r["qid"] for r in rows.collect()) == [0, 3, 6]
+    assert "FileScan" in plan(rows) and glob.glob(f"{path}/*.parquet")
