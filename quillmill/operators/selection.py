@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.columns import cos_to_euclid, eligible, hash_number, nan_to_null, redistribute_weights, selection_reason
 from quillmill.operators.running import numbered, same
 from quillmill.operators.vectors import diversity_filter, knn_join, similar_pairs
-from quillmill.storage import cut
+from quillmill.storage import cut, written
 
 #: Desired weights of the metrics and whether less is better.
 WEIGHTS = {"own_mean": 0.266667, "clip": 0.16, "lpips": 0.106667, "nn_distance": 0.093333, "density": 0.04, "margin": 0.333333}
@@ -70,7 +70,9 @@ def composite_score(features: DataFrame, keys: list[str], weights: dict[str, flo
     """``n_<metric>`` and ``score``: weighted sum over the metrics at hand, times 1 - 0.25 * outlier.
 
     Weights of absent metrics are spread over the others first; less is better of the ``inverted`` ones.
+    The features are stored once, as their ends and every use of the score read them again.
     """
+    features = written(features, "features")
     used = redistribute_weights(weights, set(features.columns))
     scaled = min_max_norm(features, keys, {m: m in inverted for m in used})
     terms = [F.coalesce(F.col(f"n_{m}"), F.lit(0.0)) * w for m, w in used.items() if include_nn_distance or m != UNCOUNTED]

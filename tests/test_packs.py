@@ -5,7 +5,7 @@ import uuid
 
 import numpy as np
 
-from quillmill.operators import distances, vectors
+from quillmill.operators import distances, outliers, selection, vectors
 from quillmill.sources import tables
 
 
@@ -44,6 +44,16 @@ def test_many_equal_vectors_over_many_packs(spark):
         assert few == many and len(few) == 4 * (200 if scope == "all" else 134)
 
 
+def test_stored_features_and_outliers_are_not_made_again(spark):
+    q, d = frame(spark, 60, 5), frame(spark, 60, 6, 1000)
+    features = selection.quality_features(q, d, 5).join(outliers.lof_flag(q, k=5).selectExpr("id AS qid", "outlier"), "qid", "left")
+    scored = selection.composite_score(features, ["cls"], outlier="outlier")
+    assert "MapInArrow" not in plan(scored) and "Cartesian" not in plan(scored)
+    assert "MapInArrow" not in plan(outliers.lof_flag(q, k=5))
+    assert "MapInArrow" not in plan(distances.radii(q, 3))
+    assert scored.count() == 60
+
+
 def test_a_manifest_is_read_back(spark, tmp_path):
     path = f"{tmp_path}/{uuid.uuid4().hex}"
     chosen = spark.range(9).selectExpr("id AS qid", "id % 3 = 0 AS selected")
