@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.columns import cos_to_euclid
 from quillmill.operators.selection import capped_sample
 from quillmill.operators.vectors import knn_join
+from quillmill.storage import written
 
 
 def _average_path(n: int) -> float:
@@ -88,7 +89,7 @@ def isolation_forest_flag(rows: DataFrame, *, trees: int = 100, sample: int = 25
 
 def lof_flag(rows: DataFrame, *, k: int = 20, threshold: float = 1.5, scope: str = "own") -> DataFrame:
     """(id, lof, outlier) of (id, cls, v), unit vectors: 1 where the local outlier factor is over the threshold."""
-    near = knn_join(rows, rows, k, scope=scope).select("qid", "did", cos_to_euclid("similarity").alias("d"))
+    near = written(knn_join(rows, rows, k, scope=scope).select("qid", "did", cos_to_euclid("similarity").alias("d")), "near")  # read three times
     reach = near.groupBy("qid").agg(F.max("d").alias("kd"))
     met = near.join(reach.select(F.col("qid").alias("did"), "kd"), "did").select("qid", "did", F.greatest("kd", "d").alias("rd"))
     lrd = met.groupBy("qid").agg((1 / (F.avg("rd") + 1e-10)).alias("lrd"))
