@@ -12,12 +12,12 @@ from quillmill.storage import cut
 
 
 def selection_pipeline(
-    candidates: DataFrame, real: DataFrame, *, near: float = 0.995, diversity: float = 0.98, k: int = 10, outliers=None, content: str | None = None
+    candidates: DataFrame, real: DataFrame, *, near: float = 0.995, diversity: float = 0.98, k: int = 10, outliers=None, content: str | None = None, distances: bool = True
 ) -> dict[str, DataFrame]:
     """Scores with reasons, the summary, and distances of the selected, of ``candidates`` (id, cls, v) against ``real`` (id, cls, v).
 
     With ``content`` both tables have that column; copies of real items and later copies of a candidate
-    are left out first. ``outliers`` maps (id, cls, v) to (id, outlier).
+    are left out first. ``outliers`` maps (id, cls, v) to (id, outlier). Without ``distances`` none are made.
     """
     audit = real.groupBy("cls").agg(F.count("*").alias("n_real"))
     if content:
@@ -34,4 +34,5 @@ def selection_pipeline(
     kept = diverse(scored, candidates.select("id", "v"), ["cls"], "qid", diversity, near=near)
     chosen = cut(select_top_n(kept, ["cls"], "qid", near=near, real=audit))
     taken = candidates.select("id", "cls", "v").join(chosen.filter("selected").select(F.col("qid").alias("id")), "id")
-    return {"scores": chosen, "summary": selection_summary(chosen, ["cls"], audit, near), "distances": set_distances(real, taken)}
+    out = {"scores": chosen, "summary": selection_summary(chosen, ["cls"], audit, near)}
+    return out | {"distances": set_distances(real, taken)} if distances else out

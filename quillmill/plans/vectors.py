@@ -79,8 +79,8 @@ def _with_content(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return held.filter("id % 2 = 1"), held.filter("id % 2 = 0")
 
 
-def _pipeline(spark, sf_dir) -> dict[str, DataFrame]:
-    return pipeline(*_with_content(spark, sf_dir), near=NEAR, diversity=DIVERSE, outliers=lof, content="content")
+def _pipeline(spark, sf_dir, distances: bool = False) -> dict[str, DataFrame]:
+    return pipeline(*_with_content(spark, sf_dir), near=NEAR, diversity=DIVERSE, outliers=lof, content="content", distances=distances)
 
 
 def selection_pipeline(spark, sf_dir):
@@ -96,7 +96,7 @@ def selection_summary(spark, sf_dir):
 
 def selection_distances(spark, sf_dir):
     """Distances of the selected candidates from the real rows, class by class."""
-    return rounded(_pipeline(spark, sf_dir)["distances"])
+    return rounded(_pipeline(spark, sf_dir, distances=True)["distances"])
 
 
 def best_worst_n(spark, sf_dir):

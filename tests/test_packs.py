@@ -4,6 +4,7 @@ import glob
 import uuid
 
 import numpy as np
+import pytest
 
 from quillmill.operators import distances, outliers, selection, vectors
 from quillmill.sources import tables
@@ -19,6 +20,19 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def runs(monkeypatch):
+    """Names of the tables of neighbours that were asked for."""
+    seen, real = [], vectors._every
+
+    def every(*args, **named):
+        seen.append(1)
+        return real(*args, **named)
+
+    monkeypatch.setattr(vectors, "_every", every)
+    return seen
+
+
 def test_rows_are_not_copied_into_a_shuffle(spark):
     q, d = frame(spark, 90, 1), frame(spark, 120, 2, 1000)
     near = vectors._whole(q, d, vectors._best(3, "own"), vectors.NEAR, 10, fold=True)
@@ -60,3 +74,12 @@ def test_a_manifest_is_read_back(spark, tmp_path):
     rows = tables.selected_manifest(chosen, ["qid"], path)
     assert sorted(r["qid"] for r in rows.collect()) == [0, 3, 6]
     assert "FileScan" in plan(rows) and glob.glob(f"{path}/*.parquet")
+
+
+def test_a_summary_makes_no_distances(spark, runs, monkeypatch):
+    from quillmill.operators import selection_job
+
+    monkeypatch.setattr(selection_job, "set_distances", lambda *a: pytest.fail("not asked for"))
+    got = selection_job.selection_pipeline(frame(spark, 40, 7), frame(spark, 40, 8, 1000), distances=False)
+    assert set(got) == {"scores", "summary"} and len(runs) == 3
+    assert got["summary"].agg({"n_generated": "sum"}).first()[0] == 40
