@@ -83,3 +83,16 @@ def test_a_summary_makes_no_distances(spark, runs, monkeypatch):
     got = selection_job.selection_pipeline(frame(spark, 40, 7), frame(spark, 40, 8, 1000), distances=False)
     assert set(got) == {"scores", "summary"} and len(runs) == 3
     assert got["summary"].agg({"n_generated": "sum"}).first()[0] == 40
+
+
+def test_a_metric_of_the_user_is_measured_once(spark):
+    from quillmill.plans import jobs
+
+    scored = jobs.extra_quality_metric(spark, "/root/testdata/sf0.001")
+    assert not any(x in plan(scored) for x in ("Cartesian", "CoGroup", "ArrowEvalPython"))
+    assert scored.count() == 250
+
+
+def test_packs_are_small(spark):
+    sizes = [r["n"] for r in vectors._packs(frame(spark, 300, 9), "a", ["cls"], 20, 16).selectExpr("size(a) AS n").collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 40
